@@ -27,6 +27,28 @@ _ODD = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 _CUT = re.compile(r"(?= \S)")
 
 
+class _Pieces:
+    """Distinct pieces with their ids end to end."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.chars = 0
+        self.starts, self.lens, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, pieces: list[str], lens: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.starts)
+        self.starts = np.concatenate([self.starts, len(self.store) + np.cumsum(lens) - lens])
+        self.lens, self.store = np.concatenate([self.lens, lens]), np.concatenate([self.store, ids])
+        self.codes.update(zip(pieces, range(n, n + len(pieces))))
+        self.chars += sum(map(len, pieces))
+
+
+def _runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its length says, end to end."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _cutting(spec: dict) -> str | None:
     norm, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
     if spec.get("post_processor") not in (None,) and (spec["post_processor"] or {}).get("type") != "ByteLevel":
@@ -43,10 +65,22 @@ def _cutting(spec: dict) -> str | None:
     return None
 
 
+#: Between a Latin letter or digit and one of these a pre-token always ends, with both patterns. Not after U+0130, whose lower
+#: case ends in a mark.
+_EDGE = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,;:!?])"
+_MADE: dict = {}
+
+
+def encoder(path: str, end_id: int | None = 1) -> "Encoder":
+    """The encoder of this Python worker: what it remembers serves all tasks that the worker runs."""
+    return _MADE.get((path, end_id)) or _MADE.setdefault((path, end_id), Encoder(path, end_id))
+
+
 class Encoder:
-    """ids of many texts at once. ``max_pieces`` and ``max_chars`` bound what is remembered."""
+    """ids of many texts at once. At most about ``max_pieces`` pieces of ``max_chars`` characters in all are remembered:
+    in two generations, of which the older is dropped when the younger is half full, and its pieces move when used."""
 
-    def __init__(self, path: str, end_id: int | None = 1, max_pieces: int = 300_000, max_chars: int = 8_000_000):
+    def __init__(self, path: str, end_id: int | None = 1, max_pieces: int = 800_000, max_chars: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,12 +89,8 @@ class Encoder:
         self.vocab = self.tok.get_vocab_size()
         self.cut = _cutting(json.loads(self.tok.to_str()))
         self.end_id, self.max_pieces, self.max_chars = end_id, max_pieces, max_chars
-        self._reset()
-
-    def _reset(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.chars = 0
-        self.starts, self.lens, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.old = _Pieces()
+        self.new = _Pieces()
 
     def _raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) straight from the library."""
@@ -73,50 +103,56 @@ class Encoder:
         return np.array(lens, np.int64), np.array(ids, np.uint32)
 
     def _lookup(self, pieces: list[str]) -> np.ndarray:
-        get = self.codes.get
-        found = [get(p) for p in pieces]
-        missing = list(dict.fromkeys(p for p, c in zip(pieces, found) if c is None))
-        if missing:
-            lens, ids = self._raw(missing)
-            n = len(self.starts)
-            self.starts = np.concatenate([self.starts, len(self.store) + np.cumsum(lens) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.store = np.concatenate([self.store, ids])
-            self.codes.update(zip(missing, range(n, n + len(missing))))
-            self.chars += sum(map(len, missing))
-            found = [get(p) for p in pieces]
+        """Codes in ``new`` of distinct pieces."""
+        new = self.new
+        found = list(map(new.codes.get, pieces))
+        if None in found:
+            missing = [p for p, c in zip(pieces, found) if c is None]
+            before = list(map(self.old.codes.get, missing))
+            fresh = [p for p, c in zip(missing, before) if c is None]
+            if fresh:
+                new.add(fresh, *self._raw(fresh))
+            if len(fresh) < len(missing):
+                known = np.array([c for c in before if c is not None], np.int64)
+                n = self.old.lens[known]
+                new.add([p for p, c in zip(missing, before) if c is not None], n, self.old.store[_runs(self.old.starts[known], n)])
+            found = list(map(new.codes.get, pieces))
         return np.array(found, np.int64)
 
-    def _by_pieces(self, flat: pa.Array, off: np.ndarray, lead: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _by_pieces(self, flat: pa.Array, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(flat):
+            return np.zeros(0, np.uint32), off
         enc = flat.dictionary_encode()
-        uniq = enc.dictionary.to_pylist()
-        codes = self._lookup([" " + u for u in uniq] if lead else uniq)[enc.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
-        if lead and len(off) > 1:
-            codes[off[:-1]] = self._lookup(flat.take(pa.array(off[:-1])).to_pylist())
-        n = self.lens[codes]
+        codes = self._lookup(enc.dictionary.to_pylist())[enc.indices.to_numpy()]
+        n = self.new.lens[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(self.starts[codes] - ends[:-1], n) + np.arange(ends[-1])
-        return self.store[at], ends[off]
+        return self.new.store[_runs(self.new.starts[codes], n)], ends[off]
+
+    def _cut_before_spaces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        if pc.any(pc.match_substring(texts, "\x01")).as_py():  # the mark itself occurs
+            lists = pa.array([_CUT.split(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+        else:
+            marked = pc.replace_substring(pc.replace_substring_regex(texts, _EDGE, "\\1\x01\\2"), " ", "\x01 ")
+            odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+            if odd.any():
+                even = iter(pc.split_pattern(marked.filter(pa.array(~odd)), "\x01").to_pylist())
+                rows = [_CUT.split(t) if o else next(even) for t, o in zip(texts.to_pylist(), odd.tolist())]
+                lists = pa.array(rows, pa.large_list(pa.large_string()))
+            else:
+                lists = pc.split_pattern(marked, "\x01")
+        off = lists.offsets.to_numpy().astype(np.int64)
+        return lists.flatten(), off - off[0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts, each with the end id, and the texts' offsets among them. Null is an empty text."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        if len(self.codes) > self.max_pieces or self.chars > self.max_chars:
-            self._reset()
+        if len(self.new.codes) > self.max_pieces // 2 or self.new.chars > self.max_chars // 2:
+            self.old, self.new = self.new, _Pieces()
         if self.cut == "drop":
-            ids, off = self._by_pieces(*split_words(texts, lower=False), False)
+            flat, off = split_words(pc.replace_substring_regex(texts, _EDGE, r"\1 \2"), lower=True)
+            ids, off = self._by_pieces(flat, off)
         elif self.cut == "space":
-            odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-            if odd.any():
-                lists = [_CUT.split(t) if o else None for t, o in zip(texts.to_pylist(), odd)]
-                plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ").to_pylist()
-                it = iter(plain)
-                lists = [[p[1:] if i else p for i, p in enumerate(x)] if x is not None else next(it) for x in lists]
-                lists = pa.array(lists, pa.large_list(pa.large_string()))
-            else:
-                lists = pc.split_pattern(texts, " ")
-            off = lists.offsets.to_numpy().astype(np.int64)
-            ids, off = self._by_pieces(lists.flatten(), off - off[0], True)
+            ids, off = self._by_pieces(*self._cut_before_spaces(texts))
         else:
             lens, ids = self._raw(texts.to_pylist())
             off = np.concatenate([[0], np.cumsum(lens)])

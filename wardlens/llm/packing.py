@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .encoding import Encoder
+from .encoding import encoder
 
 TIERS = (256, 512, 1024, 2048)
 STEP = 8
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = 1, step: in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            enc = enc or Encoder(tokenizer, end_id)
+            enc = enc or encoder(tokenizer, end_id)
             doc_ids = batch.column(0).to_pylist()
             for first, ids, off in enc.slices(batch.column(1), BLOCK):
                 sizes = np.diff(off).tolist()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import packing, quality_rules, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.query,
+    "op2_packing": packing.query,
     "op4_quality_rules": quality_rules.query,
 }
 ORACLE = {

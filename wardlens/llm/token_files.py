@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import local_path, parts, scratch, table
-from .encoding import Encoder
+from .encoding import encoder
 
 NO_ID = np.iinfo(np.int64).min
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -52,7 +52,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
             if not batch.num_rows:
                 continue
             if enc is None:
-                enc = Encoder(tokenizer, end_id)
+                enc = encoder(tokenizer, end_id)
                 kind = np.uint16 if enc.vocab <= 65536 and end_id < 65536 else np.uint32
                 files = {x: open(f"{tmp}.{x}", "wb") for x in ("bin", "off", "doc")}
                 files["off"].write(np.zeros(1, "<i8").tobytes())
