@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, token_files
+from . import decontamination, packing, quality_rules, token_files
 
 QUERIES = {
     "op1_token_files": token_files.query,
     "op2_packing": packing.query,
     "op4_quality_rules": quality_rules.query,
+    "op7_decontamination": decontamination.query,
 }
 ORACLE = {
     "op4_quality_rules": quality_rules.sql(),
+    "op7_decontamination": decontamination.sql(),
 }
