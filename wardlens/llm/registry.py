@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, token_files
+from . import decontamination, packing, quality_rules, token_files, url_filters
 
 QUERIES = {
     "op1_token_files": token_files.query,
     "op2_packing": packing.query,
     "op4_quality_rules": quality_rules.query,
     "op7_decontamination": decontamination.query,
+    "op8_url_filters": url_filters.query,
 }
 ORACLE = {
     "op4_quality_rules": quality_rules.sql(),
     "op7_decontamination": decontamination.sql(),
+    "op8_url_filters": url_filters.sql(),
 }
