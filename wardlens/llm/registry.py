@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, token_files, url_filters
+from . import decontamination, near_dedup, packing, quality_rules, token_files, url_filters
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op7_decontamination": decontamination.query,
     "op8_url_filters": url_filters.query,
+    "op10_near_dedup": near_dedup.query,
 }
 ORACLE = {
     "op4_quality_rules": quality_rules.sql(),
