@@ -92,7 +92,8 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
 
     Splits on runs of the six ASCII white-space characters only, in Arrow's C++ kernels.
     """
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    # A copy of its own buffers: kernels that map bytes in place misread a slice that has been cast.
+    texts = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)

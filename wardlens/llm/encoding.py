@@ -145,7 +145,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts, each with the end id, and the texts' offsets among them. Null is an empty text."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
         if len(self.new.codes) > self.max_pieces // 2 or self.new.chars > self.max_chars // 2:
             self.old, self.new = self.new, _Pieces()
         if self.cut == "drop":
