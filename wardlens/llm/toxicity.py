@@ -1,6 +1,6 @@
 """Toxicity (operator 3): weak supervision.
 
-1. Voters. Term lists vote on a text: words and word stems (first 4, 5 or 6 letters). Lists in four languages are built in;
+1. Voters. Term lists vote on a text: words and word stems (first 4 to 8 letters). Lists in four languages are built in;
    further terms are those that labelled training rows tie to the label (log odds with their standard error). Each kind
    of term gives two voters (one hit, two hits); patterns (shouting, insults at the reader) are voters too.
 2. Label model. A latent two-class model of the voters' patterns is fitted by expectation maximisation: each voter's rate of
@@ -30,9 +30,9 @@ from .common import byte_slices, crc_mod, split_words, table
 
 SAMPLE, TERMS = 20_000, 4_096
 LEAST_DOCS, LEAST_Z, LEAST_LOG_ODDS = 5, 3.0, 2.5
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: How often the given label is 1 where the latent class is 0, and 1.
-LABEL_RATES = (0.02, 0.95)
+LABEL_RATES = (0.01, 0.98)
 LEXICON = set(
     "idiot idiots moron morons stupid loser losers pathetic worthless scum trash garbage clown disgusting imbecile dumbass bastard "
     "bitch asshole retard retarded vermin subhuman filth filthy whore slut crap bullshit fuck fucking shit dickhead jerk scumbag "
