@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, packing, pii, quality_neighbours, quality_rules, token_files, toxicity, url_filters
+from . import decontamination, katz, near_dedup, packing, pii, quality_neighbours, quality_rules, token_files, toxicity, url_filters
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_neighbours": quality_neighbours.query,
     "op7_decontamination": decontamination.query,
     "op8_url_filters": url_filters.query,
+    "op9_katz": katz.query,
     "op10_near_dedup": near_dedup.query,
 }
 ORACLE = {
