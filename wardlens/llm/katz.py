@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, crc_mod, hash64, mix64, parts, scratch, split_words, table, written
 
-CHUNK = 16_000_000
+CHUNK = 5_000_000
 K = 5  # counts up to K are discounted
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -234,7 +234,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     def send_words(batches):
         for batch in batches:
-            for chunk, texts, tokens, hashes in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4)]):
+            for row in range(batch.num_rows):
+                chunk, texts, tokens, hashes = (batch.column(i)[row].as_py() for i in (0, 2, 3, 4))
                 h, w, doc, train = _tokens(texts, tokens)
                 x = np.frombuffer(hashes, "<u8")
                 c = np.bincount(w, weights=train[doc], minlength=len(x) + 1)[1:].astype(np.uint64)
@@ -279,7 +280,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     def loaded(batch):
         fs, root = pafs.FileSystem.from_uri(words_url)
-        for chunk, docs_, texts, tokens, hashes in zip(*[c.to_pylist() for c in batch.columns]):
+        for row in range(batch.num_rows):
+            chunk, docs_, texts, tokens, hashes = (c[row].as_py() for c in batch.columns)
             h, w, doc, train = _tokens(texts, tokens)
             gid, count = _numbers(fs, root, chunk, len(hashes) // 8, hashes, p, ends)
             yield chunk, docs_, h, w, doc, train, gid, count, _pairs(h, w, train, doc, gid, count, p, total)

@@ -111,14 +111,15 @@ def sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id may be among ``ids``: a bitmap of 2**BITMAP bits, at most 2**(BITMAP - 6) rows, is broadcast.
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with a column ``maybe``: false only if their doc_id is not among ``ids``.
 
-    Its size doesn't follow the data; when it fills up, more rows pass, and the joins that follow still decide."""
+    A bitmap of 2**BITMAP bits, in at most 2**(BITMAP - 6) rows, is broadcast. Its size doesn't follow the data; when it fills
+    up, more rows are true, and the joins that follow still decide."""
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP))
     bits = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("bits"))
-    out = docs.withColumn("h", h).withColumn("word", F.shiftright("h", 6)).join(F.broadcast(bits), "word")
-    return out.where(F.expr("(bits & shiftleft(1L, cast(h & 63 AS int))) <> 0")).select(*docs.columns)
+    out = docs.withColumn("h", h).withColumn("word", F.shiftright("h", 6)).join(F.broadcast(bits), "word", "left")
+    return out.select(*docs.columns, F.expr("coalesce(bits & shiftleft(1L, cast(h & 63 AS int)), 0L) <> 0").alias("maybe"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -156,7 +157,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     buckets = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("other")).where("leader <> other")
     buckets = written(buckets.join(sizes.select("key", "leader"), "key"), "buckets")
-    texts = written(picked(docs, buckets.select("doc_id").distinct()).dropDuplicates(["doc_id", "text"]), "candidates")
+    texts = marked(docs, buckets.select("doc_id").distinct()).where("maybe").select("doc_id", "text")
+    texts = written(texts.dropDuplicates(["doc_id", "text"]), "candidates")
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     # First every document with the least of its buckets' leaders: most near copies end in one component with it.
     first = buckets.where("leader < doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
@@ -177,12 +179,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 30) -> DataFrame:
-    """One document of each component, with its own columns; of rows with equal doc_id and text one stays."""
-    found = near_duplicates(docs.select("doc_id", "text"), size, percent, bands)
+    """One document of each component, with its own columns; of rows with equal doc_id and text one stays.
+
+    Only rows that a bitmap of the doc_ids in question lets through are shuffled; the rest are passed on where they are."""
+    names = docs.columns
+    inner = docs.select(F.col("doc_id"), F.col("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c not in ("doc_id", "text")])
+    found = near_duplicates(inner.select("doc_id", "text"), size, percent, bands)
+    found = written(found.where("doc_id IS NOT NULL").select("doc_id", "component_id"), "found")
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    alone = docs.where("doc_id IS NULL")
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(alone).select(*docs.columns)
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    flagged = marked(inner, gone.unionByName(again))
+    clear = flagged.where("NOT maybe OR doc_id IS NULL").drop("maybe")
+    asked = flagged.where("maybe AND doc_id IS NOT NULL").drop("maybe")
+    out = clear.unionByName(asked.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]))
+    return out.select(*[F.col(c if c in ("doc_id", "text") else f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
