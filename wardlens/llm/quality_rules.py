@@ -100,7 +100,10 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     judged = judge(inner.withColumn("text", F.col(f"c{names.index('text')}")))
-    return judged.where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    # A column that isn't deterministic keeps the filter above the measures: pushed below, it would hold a copy of
+    # every measure's expression wherever a rule names it.
+    judged = judged.withColumn("_keep", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.where("_keep").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
