@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -124,6 +126,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rename_clash(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the named columns: further columns, whatever their names, never reach an operator's own."""
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What a Python worker keeps between tasks: one thing at a time, so that a worker that serves several operators holds
+    no more than the largest of them."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        tidy()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run):
+    """``run`` for mapInArrow, tidying up when the task ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        tidy()
+
+    return wrapped

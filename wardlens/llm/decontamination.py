@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import UPPER, byte_slices, local_path, scratch, table
+from .common import UPPER, byte_slices, local_path, resident, scratch, table, tidied
 
 N = 13
 GROUP_WORDS = 40_000
@@ -58,15 +58,12 @@ def write_windows(benchmark: DataFrame) -> str:
     return path
 
 
-_AUTOMATA: dict = {}
-
-
 def _automaton(file: str, n: int):
     """(automaton, items of each window) for one file; the worker keeps the last one."""
-    if (file, n) not in _AUTOMATA:
+
+    def make():
         import ahocorasick
 
-        _AUTOMATA.clear()
         windows: dict[str, set] = {}
         t = pq.read_table(file)
         for item, text in zip(t.column("item_id").to_pylist(), t.column("words").to_pylist()):
@@ -74,12 +71,13 @@ def _automaton(file: str, n: int):
             for i in range(max(1, len(w) - n + 1)):
                 windows.setdefault(f" {' '.join(w[i : i + n])} ", set()).add(item)
         auto = ahocorasick.Automaton()
-        for k, (key, items) in enumerate(windows.items()):
+        for k, key in enumerate(windows):
             auto.add_word(key, (k, len(key)))
         if windows:
             auto.make_automaton()
-        _AUTOMATA[file, n] = (auto if windows else None), [sorted(x) for x in windows.values()]
-    return _AUTOMATA[file, n]
+        return (auto if windows else None), [sorted(x) for x in windows.values()]
+
+    return resident(("automaton", file, n), make)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text", spans: bool = True) -> DataFrame:
@@ -131,7 +129,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text",
                 col = pa.array([dict(zip(("n_words", "n_hit", "n_items", "item_ids", "spans"), o)) | {"spans": [{"start": s, "end": e} for s, e in o[4]]} for o in out], kind)
                 yield pa.RecordBatch.from_arrays([*batch.columns, col], [*[f"c{i}" for i in range(len(names))], "hits"])
 
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(tidied(run), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "hits")
 
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import byte_slices, split_words
+from .common import byte_slices, resident, split_words
 
 #: A space that another white-space character, or the end, follows: such texts are cut by a Python pattern instead.
 _ODD = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
@@ -68,12 +68,11 @@ def _cutting(spec: dict) -> str | None:
 #: Between a Latin letter or digit and one of these a pre-token always ends, with both patterns. Not after U+0130, whose lower
 #: case ends in a mark.
 _EDGE = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,;:!?])"
-_MADE: dict = {}
 
 
 def encoder(path: str, end_id: int | None = 1) -> "Encoder":
     """The encoder of this Python worker: what it remembers serves all tasks that the worker runs."""
-    return _MADE.get((path, end_id)) or _MADE.setdefault((path, end_id), Encoder(path, end_id))
+    return resident(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 class Encoder:

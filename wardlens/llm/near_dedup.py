@@ -28,25 +28,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, hash64, mix64, split_words, table, written
+from .common import byte_slices, hash64, mix64, resident, split_words, table, tidied, written
 from .components import components
 from .encoding import _runs
 
 BITS = 22
 BITMAP = 24
 ROWS = 5
-_TABLES: dict = {}
 
 
 def _permutations(coordinates: int):
     """(sigma, runs of pi): the same in every worker."""
-    if coordinates not in _TABLES:
+
+    def make():
         rng = np.random.default_rng(20250101)
         sigma = rng.permutation(1 << BITS).astype(np.uint32)
         pi = rng.permutation(1 << BITS).astype(np.uint32)
         pi = np.concatenate([pi, pi[:coordinates]])
-        _TABLES[coordinates] = sigma, np.lib.stride_tricks.sliding_window_view(pi, coordinates)
-    return _TABLES[coordinates]
+        return sigma, np.lib.stride_tricks.sliding_window_view(pi, coordinates)
+
+    return resident(("permutations", coordinates), make)
 
 
 def shingle_sets(texts: pa.Array, size: int):
@@ -108,7 +109,7 @@ def sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
                     [whole.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 part = part.filter(pa.array(ok, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 30) -> DataFrame:

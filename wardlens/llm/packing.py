@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidied
 from .encoding import encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = 1, step: in
             yield emit(windows, lambda row: held[row])
 
     schema = PIECES + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tidied(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

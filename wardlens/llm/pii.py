@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_slices, table
+from .common import byte_slices, table, tidied
 
 MALE = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Kenneth George Edward Hans Peter Klaus Jürgen Wolfgang Stefan Pierre Jean Michel André Philippe Luc José Juan Carlos Luis Miguel Javier Pedro Sergio".split()
 FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Anna Ursula Monika Petra Sabine Claudia Marie Nathalie Isabelle Sylvie Catherine Martine María Carmen Ana Isabel Laura Cristina Lucía Elena".split()
@@ -246,7 +246,7 @@ def replace_pii(docs: DataFrame, key: bytes = b"wardlens", text: str = "text") -
                         cols[size] = pc.if_else(pa.array(mask), pc.utf8_length(cols[at]).cast(cols[size].type), cols[size])
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(entities, kind)], [*[f"c{i}" for i in range(len(names))], "entities"])
 
-    return inner.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "entities")
+    return inner.mapInArrow(tidied(run), schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "entities")
 
 
 def collisions(replaced: DataFrame) -> DataFrame:
