@@ -109,10 +109,10 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
 
 
 def hash64(values: pa.Array) -> np.ndarray:
-    """A stable 64-bit hash for each string of an array."""
-    import pandas as pd
+    """The 64-bit xxHash of each string of an array."""
+    from xxhash import xxh64_intdigest
 
-    return pd.util.hash_array(np.asarray(values.to_pylist(), dtype=object), categorize=False)
+    return np.fromiter(map(xxh64_intdigest, values.cast(pa.large_binary()).to_pylist()), np.uint64, len(values))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

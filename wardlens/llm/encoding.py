@@ -79,7 +79,7 @@ class Encoder:
     """ids of many texts at once. At most about ``max_pieces`` pieces of ``max_chars`` characters in all are remembered:
     in two generations, of which the older is dropped when the younger is half full, and its pieces move when used."""
 
-    def __init__(self, path: str, end_id: int | None = 1, max_pieces: int = 800_000, max_chars: int = 12_000_000):
+    def __init__(self, path: str, end_id: int | None = 1, max_pieces: int = 600_000, max_chars: int = 9_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -162,7 +162,7 @@ class Encoder:
         out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(off))] = ids
         return out, off + np.arange(n + 1)
 
-    def slices(self, texts: pa.Array, limit: int = 4_000_000):
+    def slices(self, texts: pa.Array, limit: int = 2_000_000):
         """(first row, ids, offsets) for runs of rows of about ``limit`` bytes of text."""
         for a, b in byte_slices(texts, limit):
             ids, off = self.encode(texts.slice(a, b - a))
