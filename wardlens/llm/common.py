@@ -16,6 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Blocks of 4 MB and more are mapped by themselves and go back to the system when freed; Arrow takes them from there too. Left to
+# their own thresholds, allocators keep what a large batch once needed for as long as the worker lives.
+pa.set_memory_pool(pa.system_memory_pool())
+try:
+    ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)
+except (OSError, AttributeError):  # another C library
+    pass
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"

@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for a, b in byte_slices(whole.column(1), 8_000_000):
+            for a, b in byte_slices(whole.column(1), 4_000_000):
                 counts, digests, sigs, full = [], [], [], []
                 with np.errstate(over="ignore"):
                     for i, s in enumerate(shingle_sets(whole.column(1).slice(a, b - a), size)):
@@ -131,7 +131,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     def run(batches):
         last: tuple = (None, None)
         for whole in batches:
-            for i, j in byte_slices(whole.column(3), 8_000_000):
+            for i, j in byte_slices(whole.column(3), 4_000_000):
                 part = whole.slice(i, j - i)
                 left, right = part.column(2), part.column(3)
                 ok = []
