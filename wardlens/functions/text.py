@@ -48,6 +48,11 @@ def tokens(text: Column, split_hyphens: bool = True) -> Column:
     return _let(blocks, of)
 
 
+def fenced(value: Column) -> Column:
+    """The value, in a form that filters are not pushed through: pushed, they would compute it again for every name they use."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -77,7 +82,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
     A window ends after ``.``, ``!`` or ``?`` before white space, at a line's end, and after a colon that content follows.
     Token numbers begin again in each window; offsets stay those of the document. A text without tokens has no window."""
-    df = docs.select("doc_id", "text", tokens(F.coalesce("text", F.lit(""))).alias("_t"))
+    df = docs.select("doc_id", "text", fenced(tokens(F.coalesce("text", F.lit("")))).alias("_t"))
 
     def ends(t: Column, i: Column) -> Column:
         nxt = F.get("_t", i + 1)
@@ -98,7 +103,7 @@ def windows(docs: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return df.select("doc_id", parts.alias("windows"))
+    return df.select("doc_id", fenced(parts).alias("windows"))
 
 
 def display(text: Column) -> Column:

@@ -3,10 +3,474 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.lexicons import section_table, tui_table
+from ..operators import adjudicate, assertion, dictionary, evaluate, lookup, sections, warehouse
+from ..operators.assess import assess
+from . import fixtures, oracle
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.with_sections(T.windows(fixtures.notes(spark, sf_dir)))
+
+
+_BUILT: dict = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The dictionary, built once for a session and a folder and kept persisted: every later plan reads it as a table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        for old in _BUILT.values():
+            for t in old.values():
+                t.unpersist()
+        _BUILT.clear()
+        d = dictionary.build(fixtures.conso(spark, sf_dir), fixtures.sty(spark, sf_dir))
+        raw_terms = d["term"].persist()
+        d = d | {"term": raw_terms, "rare_term": dictionary.rare_word_index(raw_terms).persist(), "concept": d["concept"].persist(), "concept_tui": d["concept_tui"].persist()}
+        _BUILT[key] = d
+    return _BUILT[key]
+
+
+def matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    w, d = windows(spark, sf_dir), tables(spark, sf_dir)
+    return w, lookup.match(w, d["rare_term"], d["concept"]), d
+
+
+def annotated(spark: SparkSession, sf_dir: str, config: assertion.Config = assertion.PROFILES["default"]) -> DataFrame:
+    w, m, _ = matched(spark, sf_dir)
+    return assertion.assess_windows(w, m, config)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Affirmed concepts of each note."""
+    a = annotated(spark, sf_dir).where("NOT negated")
+    return a.groupBy("doc_id", "cui").agg(F.min("preferred_text").alias("concept"), F.count(F.lit(1)).alias("mentions"))
+
+
+_TOKEN_SUMS = "count(*) AS n_tokens, count_if(is_word) AS n_words, sum(CAST(b AS BIGINT)) AS sum_start, sum(CAST(e AS BIGINT)) AS sum_end, max(length(norm)) AS longest"
+
+
+def _token_sums(df: DataFrame) -> DataFrame:
+    t = df.select("doc_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("t"))
+    return t.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.count_if("t.is_word").alias("n_words"), F.sum(F.col("t.start").cast("long")).alias("sum_start"), F.sum(F.col("t.end").cast("long")).alias("sum_end"), F.max(F.length("t.norm")).cast("long").alias("longest")
+    )
+
+
+@register("tokens_documents", oracle.query(oracle.tokens("documents"), f"SELECT doc_id, {_TOKEN_SUMS} FROM tok GROUP BY doc_id"))
+def tokens_documents(spark, sf_dir):
+    """T1, T4 over whole documents."""
+    return _token_sums(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+@register("tokens_notes", oracle.query([f"notes AS ({fixtures.NOTES})", *oracle.tokens("notes")], 'SELECT doc_id, i, text_ AS text, norm, b AS "start", e AS "end", is_word FROM tok'))
+def tokens_notes(spark, sf_dir):
+    t = fixtures.notes(spark, sf_dir).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("t"))
+    return t.select("doc_id", "t.i", "t.text", "t.norm", "t.start", "t.end", "t.is_word")
+
+
+@register("windows_notes", oracle.query([f"notes AS ({fixtures.NOTES})", *oracle.tokens("notes"), *oracle.windows("notes")], 'SELECT doc_id, win, n AS n_tokens, w_b AS "start", w_e AS "end", array_to_string(norms, \' \') AS norms FROM wn'))
+def windows_notes(spark, sf_dir):
+    """Sentence windows with the colon rule."""
+    w = windows(spark, sf_dir)
+    return w.select("doc_id", "win", F.size("tokens").alias("n_tokens"), F.element_at("tokens", 1)["start"].alias("start"), F.element_at("tokens", -1)["end"].alias("end"), F.array_join(F.transform("tokens", lambda t: t["norm"]), " ").alias("norms"))
+
+
+_DOCS1 = "d1 AS (SELECT doc_id, text FROM documents)"
+
+
+@register("windows_documents", oracle.query([_DOCS1, *oracle.tokens("d1"), *oracle.windows("d1")], "SELECT doc_id, count(*) AS n_windows, max(n)::BIGINT AS longest, sum(w_b::BIGINT) AS starts FROM wn GROUP BY doc_id"))
+def windows_documents(spark, sf_dir):
+    w = T.windows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    x = w.select("doc_id", F.explode("windows").alias("w")).select("doc_id", F.size("w").alias("n"), F.element_at("w", 1)["start"].alias("s"))
+    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("n").cast("long").alias("longest"), F.sum(F.col("s").cast("long")).alias("starts"))
+
+
+@register("sections_notes", oracle.query([f"notes AS ({fixtures.NOTES})", *oracle.tokens("notes"), *oracle.windows("notes"), *oracle.section_ctes()], f"SELECT doc_id, win, section, header_end, coalesce(section IN ({oracle.listed(sections.NEGATIVE)}), false) AS negative FROM sw"))
+def sections_notes(spark, sf_dir):
+    """Headings, header-only windows, carry-forward."""
+    return windows(spark, sf_dir).select("doc_id", "win", "section", "header_end", sections.negative_findings(F.col("section")).alias("negative"))
+
+
+for _name, _cols in {"concept": "cui, preferred_text, best_group", "concept_tui": "cui, tui", "term": "norm, text, cui, sab, tty", "rare_term": "rare_word, norm, cui, word_index, token_count"}.items():
+    register(f"dictionary_{_name}", oracle.query(oracle.dictionary(), f"SELECT {_cols} FROM {_name}"))(lambda spark, sf_dir, n=_name: tables(spark, sf_dir)[n])
+
+
+@register("dictionary_counts", oracle.query(oracle.dictionary(), "SELECT (SELECT count(*) FROM term) AS terms, (SELECT count(DISTINCT norm) FROM term) AS distinct_norms, (SELECT count(*) FROM concept) AS concepts, (SELECT count(*) FROM concept_tui) AS concept_tuis"))
+def dictionary_counts(spark, sf_dir):
+    return dictionary.counts(tables(spark, sf_dir))
+
+
+@register("dictionary_groups", oracle.query(oracle.dictionary(), "SELECT best_group, count(*) AS n FROM concept GROUP BY best_group"))
+def dictionary_groups(spark, sf_dir):
+    return dictionary.group_histogram(tables(spark, sf_dir)["concept"])
+
+
+@register("dictionary_token_counts", oracle.query(oracle.dictionary(), "SELECT word, c AS n FROM rc"))
+def dictionary_token_counts(spark, sf_dir):
+    return dictionary.token_counts(tables(spark, sf_dir)["term"])
+
+
+@register("dictionary_index_stats", oracle.query([*oracle.dictionary(), "pk AS (SELECT rare_word, count(*) AS c FROM rare_term GROUP BY rare_word)"], "SELECT sum(c)::BIGINT AS n_rows, count(*) AS n_keys, max(c) AS largest, round(avg(c), 6) AS avg_candidates FROM pk"))
+def dictionary_index_stats(spark, sf_dir):
+    return dictionary.index_stats(tables(spark, sf_dir)["rare_term"])
+
+
+@register("resolve_terms", oracle.query([*oracle.dictionary(), "asked AS (SELECT * FROM (VALUES ('Red Widget', 'red widget'), (' BOLT ', 'bolt'), ('nothing', 'nothing')) v(asked, norm))"], "SELECT DISTINCT asked, cui, preferred_text, best_group FROM asked JOIN term USING (norm) JOIN concept USING (cui)"))
+def resolve_terms(spark, sf_dir):
+    d = tables(spark, sf_dir)
+    return dictionary.resolve(d["term"], d["concept"], ["Red Widget", " BOLT ", "nothing"])
+
+
+_MATCHED = [f"notes AS MATERIALIZED ({fixtures.NOTES})", *oracle.tokens("notes"), *oracle.windows("notes"), *oracle.dictionary(), *oracle.matches()]
+
+
+@register("lookup_notes", oracle.query(_MATCHED, 'SELECT doc_id, win, cui, term, "start", "end", ts AS tok_start, te AS tok_end, preferred_text, grp FROM mc'))
+def lookup_notes(spark, sf_dir):
+    """Rare-word lookup with every overlap kept, concepts attached."""
+    return matched(spark, sf_dir)[1].select("doc_id", "win", "cui", "term", "start", "end", "tok_start", "tok_end", "preferred_text", "grp")
+
+
+_GREEDY = [
+    # Rounds of the greedy choice: among what is left, a span that no better span overlaps is kept, and what it overlaps goes.
+    "cand AS MATERIALIZED (SELECT DISTINCT doc_id, win, \"start\" AS s, \"end\" AS e FROM mc)",
+    "ov AS MATERIALIZED (SELECT a.doc_id, a.win, a.s, a.e, b.s AS bs, b.e AS be FROM cand a JOIN cand b USING (doc_id, win) WHERE (a.s <> b.s OR a.e <> b.e) AND a.s < b.e AND b.s < a.e AND (b.e - b.s > a.e - a.s OR (b.e - b.s = a.e - a.s AND b.s < a.s)))",
+    "k1 AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM ov WHERE ov.doc_id = c.doc_id AND ov.win = c.win AND ov.s = c.s AND ov.e = c.e))",
+    "k2 AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM ov JOIN k1 ON k1.doc_id = ov.doc_id AND k1.win = ov.win AND k1.s = ov.bs AND k1.e = ov.be WHERE ov.doc_id = c.doc_id AND ov.win = c.win AND ov.s = c.s AND ov.e = c.e))",
+]
+
+
+@register("overlaps_resolved", oracle.query([*_MATCHED, *_GREEDY], 'SELECT mc.doc_id, mc.win, cui, term, "start", "end" FROM mc JOIN k2 ON k2.doc_id = mc.doc_id AND k2.win = mc.win AND k2.s = mc."start" AND k2.e = mc."end"'))
+def overlaps_resolved(spark, sf_dir):
+    """O1: longest spans first, co-extensive ones all kept."""
+    return lookup.resolve_overlaps(matched(spark, sf_dir)[1]).select("doc_id", "win", "cui", "term", "start", "end")
+
+
+_AN = oracle.annotations()
+_OUT = 'doc_id, win, section, cui, term, "start", "end", negated, subject, history_of, uncertain, conditional, preferred_text, grp'
+
+
+@register("annotations_default", oracle.query(_AN, f"SELECT {_OUT.replace('conditional', 'CAST(NULL AS BOOLEAN) AS conditional')} FROM an"))
+def annotations_default(spark, sf_dir):
+    """A1 to A4 with the default profile; conditional isn't assessed, so it is null."""
+    return annotated(spark, sf_dir).select(*_OUT.replace('"', "").split(", "))
+
+
+@register("annotations_all", oracle.query(oracle.annotations(assertion.CANDIDATE_HISTORY_SECTIONS, True), f"SELECT {_OUT} FROM an"))
+def annotations_all(spark, sf_dir):
+    """The recall profile with conditional on: section rules, header mentions dropped."""
+    a = annotated(spark, sf_dir, assertion.profile("clinical_recall", conditional=True))
+    return a.select(*_OUT.replace('"', "").split(", "))
+
+
+@register("negation_evidence", oracle.query(_AN, "SELECT doc_id, win, cui, term, ts AS tok_start, phrase AS cue, dir, count(*) AS n FROM hit WHERE attr = 'negated' GROUP BY ALL"))
+def negation_evidence(spark, sf_dir):
+    """The cues behind each negated match."""
+    e = annotated(spark, sf_dir).select("doc_id", "win", "cui", "term", "tok_start", F.explode("negated_causes").alias("c"))
+    return e.groupBy("doc_id", "win", "cui", "term", "tok_start", F.col("c.cue").alias("cue"), F.col("c.dir").alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("phrase_spans", oracle.query(_AN, "SELECT attr, role, phrase, count(*) AS n, sum(s::BIGINT) AS starts FROM sp GROUP BY attr, role, phrase"))
+def phrase_spans(spark, sf_dir):
+    """Every cue span of the notes."""
+    s = windows(spark, sf_dir).select(F.explode(assertion.phrase_spans(F.col("tokens"))).alias("x"))
+    return s.groupBy("x.attr", "x.role", "x.phrase").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.s").cast("long")).alias("starts"))
+
+
+@register("disorders_only", oracle.query(_AN, "SELECT doc_id, cui, \"start\", negated FROM an WHERE grp = 'DISORDER'"))
+def disorders_only(spark, sf_dir):
+    """the group filter comes after assessment."""
+    return annotated(spark, sf_dir, assertion.profile(groups=("DISORDER",))).select("doc_id", "cui", "start", "negated")
+
+
+_FACT = [*_AN, "dim AS (SELECT n.doc_id, source, coalesce(k, 0) AS n_annotations FROM notes n LEFT JOIN (SELECT doc_id, count(*) AS k FROM an GROUP BY doc_id) USING (doc_id))"]
+
+
+def _load(spark, sf_dir):
+    return warehouse.load(annotated(spark, sf_dir).drop(*[f"{a}_causes" for a in assertion.ATTRIBUTES]), fixtures.notes(spark, sf_dir))
+
+
+@register("warehouse_documents", oracle.query(_FACT, "SELECT doc_id, source, n_annotations FROM dim"))
+def warehouse_documents(spark, sf_dir):
+    return _load(spark, sf_dir)["documents"]
+
+
+@register("top_concepts", oracle.query(_FACT, "SELECT cui, min(preferred_text) AS concept, min(grp) AS grp, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM an WHERE NOT negated GROUP BY cui ORDER BY documents DESC, mentions DESC, cui LIMIT 20"))
+def top_concepts(spark, sf_dir):
+    return warehouse.top_concepts(annotated(spark, sf_dir))
+
+
+@register("by_group", oracle.query(_FACT, "SELECT grp, count(*) AS mentions, count(DISTINCT cui) AS distinct_concepts, count_if(negated) AS negated FROM an GROUP BY grp"))
+def by_group(spark, sf_dir):
+    return warehouse.by_group(annotated(spark, sf_dir))
+
+
+@register("negation_rate", oracle.query(_FACT, "SELECT cui, min(preferred_text) AS concept, count(*) AS mentions, count_if(negated) AS negated, round(100.0::DOUBLE * count_if(negated) / count(*), 1) AS pct_negated FROM an GROUP BY cui HAVING count(*) >= 5 ORDER BY pct_negated DESC, mentions DESC, cui LIMIT 20"))
+def negation_rate(spark, sf_dir):
+    return warehouse.negation_rate(annotated(spark, sf_dir))
+
+
+@register("co_occurrence", oracle.query([*_FACT, "dc AS (SELECT doc_id, cui, min(preferred_text) AS c FROM an WHERE grp = 'DISORDER' AND NOT negated GROUP BY doc_id, cui)"], "SELECT a.cui AS cui_a, b.cui AS cui_b, min(a.c) AS concept_a, min(b.c) AS concept_b, count(*) AS documents FROM dc a JOIN dc b ON a.doc_id = b.doc_id AND a.cui < b.cui GROUP BY a.cui, b.cui HAVING count(*) >= 2 ORDER BY documents DESC, cui_a, cui_b LIMIT 20"))
+def co_occurrence(spark, sf_dir):
+    return warehouse.co_occurrence(annotated(spark, sf_dir))
+
+
+_ONE = "C0000003"
+
+
+@register("cohort", oracle.query(_FACT, f"SELECT source, count_if(NOT negated) AS affirmed, count_if(negated) AS negated FROM an JOIN dim USING (doc_id) WHERE cui = '{_ONE}' GROUP BY doc_id, source"))
+def cohort(spark, sf_dir):
+    t = _load(spark, sf_dir)
+    return warehouse.cohort(t["annotations"], t["documents"], _ONE)
+
+
+@register("doc_sizes", oracle.query(_FACT, "SELECT source, n_annotations FROM dim ORDER BY n_annotations DESC, source LIMIT 20"))
+def doc_sizes(spark, sf_dir):
+    return warehouse.doc_sizes(_load(spark, sf_dir)["documents"])
+
+
+@register("cohort_status", oracle.query(_FACT, f"SELECT d.doc_id, coalesce(count_if(cui = '{_ONE}' AND NOT negated), 0) AS affirmed, coalesce(count_if(cui = '{_ONE}' AND negated), 0) AS negated, CASE WHEN count_if(cui = '{_ONE}' AND NOT negated) > 0 THEN 'affirmed' WHEN count_if(cui = '{_ONE}' AND negated) > 0 THEN 'negated_only' ELSE 'absent' END AS status FROM dim d LEFT JOIN an USING (doc_id) GROUP BY d.doc_id"))
+def cohort_status(spark, sf_dir):
+    """Every document has a status."""
+    return warehouse.cohort_status(annotated(spark, sf_dir), fixtures.notes(spark, sf_dir), [_ONE])
+
+
+@register("problem_list", oracle.query(_FACT, "SELECT doc_id, cui, min(preferred_text) AS label, count_if(NOT negated) AS n, count_if(negated) AS n_negated FROM an WHERE grp IN ('DISORDER', 'FINDING') GROUP BY doc_id, cui"))
+def problem_list(spark, sf_dir):
+    return warehouse.problem_list(annotated(spark, sf_dir), ["DISORDER", "FINDING"])
+
+
+@register(
+    "load_report",
+    oracle.query(_FACT, "SELECT 'negated' AS attribute, count(*) AS assessed, count_if(negated) AS positive FROM an UNION ALL SELECT 'history_of', count(*), count_if(history_of) FROM an UNION ALL SELECT 'uncertain', count(*), count_if(uncertain) FROM an UNION ALL SELECT 'conditional', 0, 0 UNION ALL SELECT 'generic', 0, 0 UNION ALL SELECT 'subject', count(*), count_if(subject = 'family_member') FROM an"),
+)
+def load_report(spark, sf_dir):
+    return warehouse.load_report(annotated(spark, sf_dir))
+
+
+@register("sql_surface", oracle.query(_FACT, "SELECT grp, subject, count(*) AS n FROM an GROUP BY grp, subject"))
+def sql_surface(spark, sf_dir):
+    """Q7: one SELECT over the warehouse's tables."""
+    return warehouse.read_only_sql(spark, "SELECT grp, subject, count(*) AS n FROM annotations GROUP BY grp, subject", _load(spark, sf_dir))
+
+
+# Evaluation: the reference drops some annotations, moves others by one and turns some values.
+_EVAL = [
+    *_AN,
+    "pr AS (SELECT doc_id, \"start\" AS b, \"end\" AS e, cui, negated AS v, row_number() OVER (PARTITION BY doc_id ORDER BY \"start\", \"end\", cui, term) AS o FROM an)",
+    "go AS (SELECT doc_id, b + doc_id % 2 AS b, e + doc_id % 2 AS e, cui, (v <> (doc_id % 7 = 0)) AS v, o FROM pr WHERE (doc_id + b) % 5 <> 0)",
+]
+
+
+def _occurrences(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    a = annotated(spark, sf_dir)
+    o = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "cui", "term"))
+    p = a.select("doc_id", F.col("start").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), "cui", F.col("negated").alias("value"), o.alias("order"))
+    g = p.where((F.col("doc_id") + F.col("begin")) % 5 != 0)
+    shift = F.col("doc_id") % 2
+    g = g.select("doc_id", (F.col("begin") + shift).alias("begin"), (F.col("end") + shift).alias("end"), "cui", (F.col("value") != (F.col("doc_id") % 7 == 0)).alias("value"), "order")
+    return g, p
+
+
+_SETS = [
+    *_EVAL,
+    "gs AS (SELECT DISTINCT doc_id, cui FROM go)", "ps AS (SELECT DISTINCT doc_id, cui FROM pr WHERE (doc_id + length(cui) + o) % 3 <> 0)",
+    "fo AS (SELECT coalesce(gs.doc_id, ps.doc_id) AS doc_id, gs.cui AS g, ps.cui AS p FROM gs FULL JOIN ps ON gs.doc_id = ps.doc_id AND gs.cui = ps.cui)",
+    "pd AS (SELECT n.doc_id, count_if(g IS NOT NULL AND p IS NOT NULL) AS tp, count_if(g IS NULL AND p IS NOT NULL) AS fp, count_if(p IS NULL AND g IS NOT NULL) AS fn FROM notes n LEFT JOIN fo USING (doc_id) GROUP BY n.doc_id)",
+    "pq AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS recall FROM pd)",
+    "pf AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)::DOUBLE AS f1 FROM pq)",
+]
+
+
+def _sets(spark, sf_dir):
+    g, p = _occurrences(spark, sf_dir)
+    p = p.where((F.col("doc_id") + F.length("cui") + F.col("order")) % 3 != 0)
+    return evaluate.set_scores(g, p, fixtures.notes(spark, sf_dir), ["cui"])
+
+
+@register("parity_by_document", oracle.query(_SETS, "SELECT doc_id, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM pf"))
+def parity_by_document(spark, sf_dir):
+    """Distinct concepts of each document."""
+    s = _sets(spark, sf_dir)
+    return s.select("doc_id", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register(
+    "parity_micro_macro",
+    oracle.query([*_SETS, "ag AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf, count(*) AS n_docs FROM pf)", "ah AS (SELECT *, tp::DOUBLE / (tp + fp) AS p, tp::DOUBLE / (tp + fn) AS r FROM ag)"], "SELECT tp, fp, fn, n_docs, round(mp, 8) AS macro_precision, round(mr, 8) AS macro_recall, round(mf, 8) AS macro_f1, round(p, 8) AS micro_precision, round(r, 8) AS micro_recall, round(2 * p * r / (p + r), 8) AS micro_f1 FROM ah"),
+)
+def parity_micro_macro(spark, sf_dir):
+    """Pooled and averaged scores."""
+    m = evaluate.micro_macro(_sets(spark, sf_dir))
+    return m.select("tp", "fp", "fn", "n_docs", *[F.round(c, 8).alias(c) for c in m.columns if c.startswith(("macro_", "micro_"))])
+
+
+@register("document_polarity", oracle.query([*_EVAL, "gd AS (SELECT doc_id, cui, bool_or(v) AS g FROM go GROUP BY doc_id, cui)", "pdd AS (SELECT doc_id, cui, bool_or(v) AS p FROM pr GROUP BY doc_id, cui)"], "SELECT doc_id, count(*) AS common, count_if(g AND p) AS tp, count_if(NOT g AND p) AS fp, count_if(g AND NOT p) AS fn, count_if(g = p) AS agree FROM gd JOIN pdd USING (doc_id, cui) GROUP BY doc_id"))
+def document_polarity(spark, sf_dir):
+    """Polarity collapsed to documents."""
+    return evaluate.document_polarity(*_occurrences(spark, sf_dir)).select("doc_id", "common", "tp", "fp", "fn", "agree")
+
+
+@register("alignment")
+def alignment(spark, sf_dir):
+    """Greedy alignment; held against a brute-force version in the tests."""
+    return evaluate.align(*_occurrences(spark, sf_dir))
+
+
+@register("attribute_scores")
+def attribute_scores(spark, sf_dir):
+    return evaluate.attribute_scores(evaluate.align(*_occurrences(spark, sf_dir)))
+
+
+@register("disagreements", oracle.query([*_EVAL, "ga AS (SELECT DISTINCT doc_id, cui FROM go)", "fpx AS (SELECT cui, count(*) AS fp_mentions, count(DISTINCT doc_id) AS fp_docs FROM pr WHERE (doc_id, cui) NOT IN (SELECT (doc_id, cui) FROM ga) GROUP BY cui)"], "SELECT cui, fp_mentions, fp_docs, 0::BIGINT AS fn_docs FROM fpx ORDER BY fp_mentions DESC, cui LIMIT 20"))
+def disagreements(spark, sf_dir):
+    """Concepts by their disagreements."""
+    return evaluate.disagreements(*_occurrences(spark, sf_dir))
+
+
+@register("label_scores", "SELECT count_if(quality = 1 AND toxic = 1) AS tp, count_if(quality = 0 AND toxic = 1) AS fp, count_if(quality = 1 AND toxic = 0) AS fn, count_if(quality = 1 AND toxic = 1)::DOUBLE / count_if(toxic = 1) AS precision FROM labels")
+def label_scores(spark, sf_dir):
+    """G1, G8 over a table of two booleans."""
+    t = spark.read.parquet(f"{sf_dir}/labels.parquet").agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("tp"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("fp"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("fn"))
+    return t.withColumn("precision", evaluate.prf()["precision"])
+
+
+@register("latency_stats", "WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT round(avg(value), 6) AS mean, max(CASE WHEN i = least(CAST(floor(n * 0.5) AS BIGINT), n - 1) THEN value END) AS median, max(CASE WHEN i = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) THEN value END) AS p95, max(CASE WHEN i = least(CAST(floor(n * 0.99) AS BIGINT), n - 1) THEN value END) AS p99, max(value) AS max FROM s")
+def latency_stats(spark, sf_dir):
+    """Index-based percentiles."""
+    return evaluate.latency(spark.read.parquet(f"{sf_dir}/events.parquet"), "value").withColumn("mean", F.round("mean", 6))
+
+
+@register("duplicate_labels", "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang HAVING count(*) > 1")
+def duplicate_labels(spark, sf_dir):
+    """G19."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("label"), F.col("source").alias("path"))
+    return evaluate.duplicate_labels(d).select("label", "n")
+
+
+# Adjudication over pairs that need no alignment: each annotation with a reference value by rule.
+_CASES = [
+    *_AN,
+    "ca AS (SELECT DISTINCT 'negated:' || doc_id || ':' || \"start\" || ':' || \"end\" || ':' || cui AS case_id, doc_id, CASE WHEN g AND negated THEN 'both_positive' WHEN negated THEN 'engine_only' WHEN g THEN 'reference_only' ELSE 'both_negative' END AS stratum FROM (SELECT *, (negated <> ((doc_id + \"start\") % 9 = 0)) AS g FROM an))",
+    "sa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('0|' || case_id), case_id) AS r FROM ca) WHERE r <= CASE stratum WHEN 'both_positive' THEN 150 WHEN 'both_negative' THEN 600 ELSE 1000000000 END)",
+    "po AS (SELECT stratum, population, coalesce(sampled, 0) AS sampled FROM (SELECT stratum, count(*) AS population FROM ca GROUP BY stratum) LEFT JOIN (SELECT stratum, count(*) AS sampled FROM sa GROUP BY stratum) USING (stratum))",
+    "ve AS (SELECT case_id, stratum, CASE doc_id % 10 WHEN 0 THEN 'unclear' WHEN 1 THEN 'negated' WHEN 2 THEN 'affirmed' ELSE CASE WHEN stratum IN ('both_positive', 'reference_only') THEN 'negated' ELSE 'affirmed' END END AS verdict FROM sa)",
+    "sc2 AS (SELECT stratum, count_if(verdict = 'negated') AS positives, count_if(verdict <> 'unclear') AS judged, count_if(verdict = 'unclear') AS unclear FROM ve GROUP BY stratum)",
+]
+
+
+def _cases(spark, sf_dir):
+    a = annotated(spark, sf_dir)
+    g = F.col("negated") != ((F.col("doc_id") + F.col("start")) % 9 == 0)
+    pairs = a.select("doc_id", "cui", F.col("start").alias("p_begin"), F.col("end").alias("p_end"), g.alias("value"), F.col("negated").alias("p_value"))
+    return adjudicate.stratify(pairs, "negated").distinct()
+
+
+def _verdicts(sampled):
+    d = F.col("doc_id") % 10
+    v = F.when(d == 0, "unclear").when(d == 1, "negated").when(d == 2, "affirmed").when(F.col("stratum").isin("both_positive", "reference_only"), "negated").otherwise("affirmed")
+    return sampled.select("case_id", v.alias("verdict"))
+
+
+@register("review_sample", oracle.query(_CASES, "SELECT case_id, stratum FROM sa"))
+def review_sample(spark, sf_dir):
+    """Strata and a reproducible sample."""
+    return adjudicate.sample(_cases(spark, sf_dir)).select("case_id", "stratum")
+
+
+@register("review_design", oracle.query(_CASES, "SELECT stratum, population, sampled, coalesce(positives, 0) AS positives, coalesce(judged, 0) AS judged, coalesce(unclear, 0) AS unclear FROM po LEFT JOIN sc2 USING (stratum)"))
+def review_design(spark, sf_dir):
+    """E4 beside the design."""
+    c = _cases(spark, sf_dir)
+    s = adjudicate.sample(c)
+    n = adjudicate.stratum_counts(s, _verdicts(s), "negated")
+    return adjudicate.design(c, s).join(n, "stratum", "left").fillna(0)
+
+
+_RATE = "coalesce(positives::DOUBLE / nullif(judged, 0), 0)"
+_FLAG = "stratum IN ('both_positive', 'engine_only')"
+
+
+@register(
+    "review_estimate",
+    oracle.query([*_CASES, f"es AS (SELECT sum(CASE WHEN {_FLAG} THEN population * {_RATE} ELSE 0 END) AS tp, sum(CASE WHEN {_FLAG} THEN population ELSE 0 END) AS fl, sum(CASE WHEN {_FLAG} THEN 0 ELSE population * {_RATE} END) AS mi FROM po LEFT JOIN sc2 USING (stratum))", "et AS (SELECT tp / fl AS p, tp / (tp + mi) AS r FROM es)"], "SELECT round(p, 8) AS precision, round(r, 8) AS recall, round(2 * p * r / (p + r), 8) AS f1 FROM et"),
+)
+def review_estimate(spark, sf_dir):
+    """E5: reweighted precision and recall."""
+    c = _cases(spark, sf_dir)
+    s = adjudicate.sample(c)
+    e = adjudicate.reweighted(adjudicate.stratum_counts(s, _verdicts(s), "negated"), adjudicate.design(c, s))
+    return e.select(*[F.round(x, 8).alias(x) for x in e.columns])
+
+
+@register("review_interval")
+def review_interval(spark, sf_dir):
+    """Bootstrap intervals; the draws have no SQL counterpart."""
+    c = _cases(spark, sf_dir)
+    s = adjudicate.sample(c)
+    return adjudicate.bootstrap(adjudicate.stratum_counts(s, _verdicts(s), "negated"), adjudicate.design(c, s))
+
+
+@register("variant_score", oracle.query([*_CASES, "wj AS (SELECT stratum, population::DOUBLE / count(*) AS w FROM ve JOIN po USING (stratum) WHERE verdict <> 'unclear' GROUP BY stratum, population)", "vx AS (SELECT verdict = 'negated' AS t, length(case_id) % 2 = 0 AS p, w FROM ve JOIN wj USING (stratum) WHERE verdict <> 'unclear')"], "SELECT round(sum(CASE WHEN t AND p THEN w ELSE 0 END), 6) AS tp, round(sum(CASE WHEN NOT t AND p THEN w ELSE 0 END), 6) AS fp, round(sum(CASE WHEN t AND NOT p THEN w ELSE 0 END), 6) AS fn FROM vx"))
+def variant_score(spark, sf_dir):
+    """Horvitz-Thompson sums of a variant's predictions."""
+    c = _cases(spark, sf_dir)
+    s = adjudicate.sample(c)
+    p = s.select("case_id", (F.length("case_id") % 2 == 0).alias("predicted"))
+    h = adjudicate.horvitz_thompson(s, _verdicts(s), p, adjudicate.design(c, s), "negated")
+    return h.select(*[F.round(x, 6).alias(x) for x in h.columns])
+
+
+@register("errors_by_cue", oracle.query([*_AN, "ge AS (SELECT *, (negated <> ((doc_id + \"start\") % 9 = 0)) AS g FROM an)"], "SELECT phrase AS cue, count_if(g) AS correct, count_if(NOT g) AS wrong FROM ge JOIN hit h USING (doc_id, win, cui, term, ts, te) WHERE h.attr = 'negated' GROUP BY phrase"))
+def errors_by_cue(spark, sf_dir):
+    """Every cue behind a prediction counts."""
+    a = annotated(spark, sf_dir)
+    g = F.col("negated") != ((F.col("doc_id") + F.col("start")) % 9 == 0)
+    e = a.where("negated").select(g.alias("g"), F.explode("negated_causes").alias("c"))
+    return e.groupBy(F.col("c.cue").alias("cue")).agg(F.count_if("g").alias("correct"), F.count_if(~F.col("g")).alias("wrong"))
+
+
+@register("assessed_spans", oracle.query([*_AN], "SELECT row_number() OVER (ORDER BY doc_id, \"start\", \"end\", cui, term) AS span_id, doc_id, \"start\", \"end\", cui, negated, subject, uncertain, true AS assessed FROM an WHERE doc_id % 3 = 0"))
+def assessed_spans(spark, sf_dir):
+    """Spans that the caller brings are assessed as the engine's own are."""
+    from pyspark.sql import Window
+
+    w, m, d = matched(spark, sf_dir)
+    k = F.row_number().over(Window.orderBy("doc_id", "start", "end", "cui", "term")).cast("long")
+    s = m.where("doc_id % 3 = 0").select("doc_id", k.alias("span_id"), "start", "end", "cui")
+    out = assess(fixtures.notes(spark, sf_dir), w, s, d["concept"])
+    return out.select("span_id", "doc_id", "start", "end", "cui", "negated", "subject", "uncertain", "assessed")
+
+
+@register("section_lexicon", f"SELECT section, count(*) AS n, bool_or(neg) AS is_negative FROM {oracle.values([(p, s, str(n).lower() == 'true') for p, s, n in oracle.sections()], 'phrase, section, neg')} GROUP BY section".replace("True", "true").replace("False", "false"))
+def section_lexicon(spark, sf_dir):
+    """W6."""
+    return section_table(spark).groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_negative").alias("is_negative"))
+
+
+@register("semantic_groups", f"SELECT grp, count(*) AS n, count_if(w = '1') AS whitelisted FROM {oracle.values([(t, g, w) for t, _, g, _, w in oracle.rows('tui')], 'tui, grp, w')} GROUP BY grp")
+def semantic_groups(spark, sf_dir):
+    return tui_table(spark).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_whitelist").alias("whitelisted"))
+
+
+@register("tokens_conversations", oracle.query(["d2 AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)", *oracle.tokens("d2")], f"SELECT doc_id, {_TOKEN_SUMS} FROM tok GROUP BY doc_id"))
+def tokens_conversations(spark, sf_dir):
+    return _token_sums(spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
