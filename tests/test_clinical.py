@@ -1,6 +1,7 @@
 """The engine on small notes, and its queries against DuckDB on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,5 +161,6 @@ def test_queries_agree_with_duckdb(spark, name):
     cols = sorted(df.columns)
     want = con.sql(catalog.ORACLE[name]).df()
     assert sorted(want.columns) == cols
-    key = lambda rows: sorted(str(tuple(None if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r)) for r in rows)
+    plain = lambda x: None if x is None or x != x else bool(x) if isinstance(x, (bool, np.bool_)) else x if isinstance(x, str) else round(float(x), 6)
+    key = lambda rows: sorted(str([plain(x) for x in r]) for r in rows)
     assert key(map(tuple, df.select(*cols).toPandas().itertuples(index=False))) == key(want[cols].itertuples(index=False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 from pathlib import Path
 
@@ -64,21 +65,19 @@ def tui_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, n, g, int(c), w == "1") for t, n, g, c, w in rows("tui")], "tui string, name string, grp string, grp_code int, in_whitelist boolean")
 
 
-def quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _constant(value: dict, kind: str) -> Column:
+    """A constant map. It is written as one JSON literal, which the optimiser folds; spelled out entry by entry, its thousands of
+    nodes would be walked by every rule of every plan."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
 
 
 def phrase_map() -> Column:
     """A constant map from a phrase's first token to all phrases that begin with it."""
-    by: dict[str, list[tuple[str, str, str]]] = {}
-    for a, r, p in lexicon():
-        by.setdefault(p.split(" ")[0], []).append((a, r, p))
-    entries = []
-    for first, ps in sorted(by.items()):
-        structs = ", ".join(f"named_struct('attr', {quoted(a)}, 'role', {quoted(r)}, 'phrase', {quoted(p)}, 'n', {len(p.split(' '))})" for a, r, p in sorted(ps))
-        entries.append(f"{quoted(first)}, array({structs})")
-    return F.expr(f"map({', '.join(entries)})")
+    by: dict[str, list[dict]] = {}
+    for a, r, p in sorted(lexicon()):
+        by.setdefault(p.split(" ")[0], []).append({"attr": a, "role": r, "phrase": p, "n": len(p.split(" "))})
+    return _constant(by, "map<string,array<struct<attr:string,role:string,phrase:string,n:int>>>")
 
 
 def section_map() -> Column:
-    return F.expr("map(" + ", ".join(f"{quoted(p)}, {quoted(s)}" for p, s, _ in sections()) + ")")
+    return _constant({p: s for p, s, _ in sections()}, "map<string,string>")

@@ -45,7 +45,7 @@ def align(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
     def step(acc: Column, x: Column) -> Column:
         cand = F.filter(
-            F.transform("ps", lambda q, i: F.struct(-(F.least(x["end"], q["end"]) - F.greatest(x["begin"], q["begin"])).alias("k"), q["begin"].alias("b"), i.cast("int").alias("i"))),
+            F.transform("ps", lambda q, i: F.struct((F.greatest(x["begin"], q["begin"]) - F.least(x["end"], q["end"])).alias("k"), q["begin"].alias("b"), i.cast("int").alias("i"))),
             lambda c: (c["k"] < 0) & ~F.array_contains(acc["used"], c["i"]),
         )
         best = F.try_element_at(F.array_sort(cand), F.lit(1))["i"]

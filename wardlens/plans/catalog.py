@@ -52,9 +52,19 @@ def matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dic
     return w, lookup.match(w, d["rare_term"], d["concept"]), d
 
 
+_ANNOTATED: dict = {}
+
+
 def annotated(spark: SparkSession, sf_dir: str, config: assertion.Config = assertion.PROFILES["default"]) -> DataFrame:
-    w, m, _ = matched(spark, sf_dir)
-    return assertion.assess_windows(w, m, config)
+    """The notes' annotations. As a warehouse is loaded once and then asked, those of one configuration are kept persisted."""
+    key = (spark.sparkContext.applicationId, sf_dir, config)
+    if key not in _ANNOTATED:
+        for old in _ANNOTATED.values():
+            old.unpersist()
+        _ANNOTATED.clear()
+        w, m, _ = matched(spark, sf_dir)
+        _ANNOTATED[key] = assertion.assess_windows(w, m, config).persist()
+    return _ANNOTATED[key]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
