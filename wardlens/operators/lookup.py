@@ -31,7 +31,7 @@ def match(windows: DataFrame, rare_term: DataFrame, concept: DataFrame, longest:
     index = rare_term.where(F.length("norm") >= LEAST_CHARS).select(F.col("rare_word").alias("word"), F.col("norm").alias("term"), "cui", "word_index", "token_count")
     j = a.join(index, "word").withColumn("tok_start", F.col("i") - F.col("word_index"))
     j = j.where("tok_start >= 0 AND tok_start + token_count <= n")
-    span = F.slice("near", F.col("tok_start") - F.col("from") + 1, F.col("token_count"))
+    span = F.slice("near", F.greatest(F.col("tok_start") - F.col("from") + 1, F.lit(1)), F.col("token_count"))
     j = j.withColumn("span", span)
     j = j.where((F.col("token_count") == 1) | (F.concat_ws(" ", F.transform("span", lambda t: t["norm"])) == F.col("term")))
     out = j.select(

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.lexicons import section_table, tui_table
 from ..operators import adjudicate, assertion, dictionary, evaluate, lookup, sections, warehouse
 from ..operators.assess import assess
+from ..session import stored
 from . import fixtures, oracle
 
 QUERIES: dict = {}
@@ -33,17 +34,13 @@ _BUILT: dict = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The dictionary, built once for a session and a folder and kept persisted: every later plan reads it as a table."""
+    """The dictionary, built once for a session and a folder and stored: every later plan reads it as a table."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        for old in _BUILT.values():
-            for t in old.values():
-                t.unpersist()
         _BUILT.clear()
         d = dictionary.build(fixtures.conso(spark, sf_dir), fixtures.sty(spark, sf_dir))
-        raw_terms = d["term"].persist()
-        d = d | {"term": raw_terms, "rare_term": dictionary.rare_word_index(raw_terms).persist(), "concept": d["concept"].persist(), "concept_tui": d["concept_tui"].persist()}
-        _BUILT[key] = d
+        d = d | {n: stored(d[n], n) for n in ("term", "concept", "concept_tui")}
+        _BUILT[key] = d | {"rare_term": stored(dictionary.rare_word_index(d["term"]), "rare_term")}
     return _BUILT[key]
 
 
@@ -56,14 +53,12 @@ _ANNOTATED: dict = {}
 
 
 def annotated(spark: SparkSession, sf_dir: str, config: assertion.Config = assertion.PROFILES["default"]) -> DataFrame:
-    """The notes' annotations. As a warehouse is loaded once and then asked, those of one configuration are kept persisted."""
+    """The notes' annotations. As a warehouse is loaded once and then asked, those of one configuration are kept as a table."""
     key = (spark.sparkContext.applicationId, sf_dir, config)
     if key not in _ANNOTATED:
-        for old in _ANNOTATED.values():
-            old.unpersist()
         _ANNOTATED.clear()
         w, m, _ = matched(spark, sf_dir)
-        _ANNOTATED[key] = assertion.assess_windows(w, m, config).persist()
+        _ANNOTATED[key] = stored(assertion.assess_windows(w, m, config), "annotations")
     return _ANNOTATED[key]
 
 

@@ -26,3 +26,21 @@ def local_session(cores: int | None = None, app: str = "wardlens", memory: str =
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df, name: str):
+    """Write a table to the folder that all executors share (``spark.checkpoint.dir``; only where it is unset, a folder of the
+    driver's) and read it back: later plans start from a file, not from a long lineage."""
+    import atexit
+    import shutil
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        root = "file://" + tempfile.mkdtemp(prefix="wardlens-")
+        atexit.register(shutil.rmtree, root[7:], True)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
