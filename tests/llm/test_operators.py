@@ -235,6 +235,47 @@ def test_katz(spark, docs, empty):
     assert katz.score(empty).count() == 0
 
 
+def good_turing(n):
+    """Katz's discounts in plain Python: from the numbers, else from a log-linear least-squares fit over the gaps of zeros."""
+    k = len(n) - 1
+
+    def katz_of(m):
+        common = (k + 1) * m[k] / m[0]
+        return [1.0] + [((r + 1) * m[r] / (r * m[r - 1]) - common) / (1 - common) for r in range(1, k + 1)]
+
+    if all(n) and (k + 1) * n[k] < n[0] and all(0 < x < 1 for x in katz_of(n)[1:]):
+        return katz_of(n)
+    at = [r for r in range(1, k + 2) if n[r - 1]]
+    after = at[1:] + [2 * at[-1] - at[-2]]
+    z = [n[r - 1] / (0.5 * (t - q)) for q, r, t in zip([0] + at[:-1], at, after)]
+    x, y = [np.log(r) for r in at], [np.log(v) for v in z]
+    b = sum((u - np.mean(x)) * (v - np.mean(y)) for u, v in zip(x, y)) / sum((u - np.mean(x)) ** 2 for u in x)
+    assert b < -1
+    return katz_of([r**b for r in range(1, k + 2)])
+
+
+# Training rows of sf0.1, sf0.01 and sf0.001, words and pairs: d(4) of the numbers as they are is above 1. Then even numbers, and gaps.
+@pytest.mark.parametrize("n", [[215810, 61309, 26017, 14862, 13741, 7222], [1655711, 262472, 56325, 23262, 20048, 8151], [51654, 14844, 5474, 2713, 2570, 1129], [206781, 32217, 5097, 1904, 2579, 670], [16971, 3831, 1233, 563, 507, 210], [45803, 5857, 1222, 308, 371, 88], [1000, 400, 220, 140, 97, 71], [500, 90, 0, 20, 0, 3]])
+def test_discounts_are_good_turing(n):
+    d = katz.discounts(n)
+    assert np.allclose(d, good_turing(n)) and ((d[1:] > 0) & (d[1:] < 1)).all() and (np.diff(d[1:]) > 0).all()
+
+
+def test_discounts_without_good_turing():
+    for n in ([0] * 6, [7, 0, 0, 0, 0, 0], [10, 10, 10, 10, 10, 10], [1, 2, 3, 4, 5, 6]):
+        d = katz.discounts(n)
+        assert ((d[1:] > 0) & (d[1:] < 1)).all()
+
+
+def test_katz_on_bumpy_counts(spark, monkeypatch):
+    """Words and pairs with more fives than fours, as in the given documents."""
+    texts = [" ".join(f"v{c}x{i}" for i in range(n) for _ in range(c)) for c, n in ((1, 300), (2, 90), (3, 40), (4, 20), (5, 24), (6, 9))]
+    bumpy = [(i, t) for i, t in enumerate(texts, 20) if zlib.crc32(str(i).encode()) % 10] + [(i, "v1x3 v2x5 new v4x1 v5x2") for i in range(60, 90)]
+    got = sorted((r.doc_id, round(r.score, 6)) for r in katz.score(spark.createDataFrame(bumpy, "doc_id long, text string")).collect())
+    monkeypatch.setattr(katz, "discounts", good_turing)
+    assert np.allclose(got, [(w[0], w[5]) for w in katz_reference(bumpy)], atol=1e-5)
+
+
 def labelled(spark):
     rng = np.random.default_rng(5)
     common = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]

@@ -16,7 +16,8 @@ packed by target partition, and gets back what it needs to know about them, in t
   on the driver.
 
 So a shuffle carries each distinct item of a chunk once, packed and compressed, never one row a token, and the tables of
-counts are partitioned by word and by context. Discounts need only the numbers of items with counts 1 ... 6.
+counts are partitioned by word and by context. Discounts need only the numbers of items with counts 1 ... 6; where those are too
+bumpy for Good-Turing, a log-linear fit takes their place.
 
 Edge cases: a null or empty text is the end token alone; repeated rows count as often as they come; a null doc_id has
 crc32 0 and so is held out; without training rows all probabilities fall to one unknown word, of probability 1, and base scores are
@@ -70,17 +71,30 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def smoothed(n: list[int]) -> np.ndarray | None:
+    """Gale's log-linear smoothing of the numbers of items: exp(a + b log r) for r = 1 ... K + 1, each number that isn't 0 averaged
+    over the gap of zeros around it. None if they fall no faster than 1 / r: then Good-Turing raises counts."""
+    r = np.array([i + 1 for i, x in enumerate(n) if x], float)
+    if len(r) < 2:
+        return None
+    gap = np.append(r[1:], 2 * r[-1] - r[-2]) - np.append(0, r[:-1])
+    b, a = np.polyfit(np.log(r), np.log(2 * np.array([x for x in n if x]) / gap), 1)
+    return np.exp(a + b * np.log(np.arange(1, K + 2))) if b < -1 else None
+
+
 def discounts(n: list[int]) -> np.ndarray:
-    """d(0) ... d(K) from the numbers of items with counts 1 ... K + 1: Katz's, or absolute ones where those are no discounts."""
-    d = np.ones(K + 1)
-    common = (K + 1) * n[K] / n[0] if n[0] else 1.0
-    if all(n) and common < 1:
-        r = np.arange(1, K + 1)
-        star = (r + 1) * np.array(n[1 : K + 1]) / np.array(n[:K])
-        d[1:] = (star / r - common) / (1 - common)
-    if not ((d[1:] > 0) & (d[1:] < 1)).all():
-        cut = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-        d[1:] = (np.arange(1, K + 1) - cut) / np.arange(1, K + 1)
+    """d(0) ... d(K) from the numbers of items with counts 1 ... K + 1: Katz's from the numbers as they are, or where one of those
+    is no discount, Katz's from the smoothed numbers; absolute ones only where Good-Turing has none at all."""
+    d, r = np.ones(K + 1), np.arange(1, K + 1)
+    for m in (np.array(n, float) if all(n) else None, smoothed(n)):
+        if m is None or (K + 1) * m[K] >= m[0]:
+            continue
+        common = (K + 1) * m[K] / m[0]
+        d[1:] = ((r + 1) * m[1:] / m[:K] / r - common) / (1 - common)
+        if ((d[1:] > 0) & (d[1:] < 1)).all():
+            return d
+    cut = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+    d[1:] = (r - cut) / r
     return d
 
 
