@@ -329,3 +329,17 @@ def test_url_filters(spark):
     assert (got[202].rule, got[202].verdict) == ("example.org/es/", "block") and got[203].rule == "example.org/en/1" and got[204].rule is None
     assert (got[205].rule, got[205].verdict) == ("com/de/", "block")
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string, bad int")).count() == 0
+
+
+def test_url_filters_deep_paths(spark):
+    """Variable segments below the third level are generalised and merged as those above are."""
+    p = [(i, f"http://a.example.net/x/{i % 9}/y/bad-{i:x}z", 1) for i in range(60)] + [(i, f"http://a.example.net/x/{i % 9}/w/good-{i:x}z", 0) for i in range(100, 260)]
+    p += [(i, f"http://b.example.net/2020/1/2/news/s{i % 12}/{i}", 1) for i in range(300, 360)]  # few names: merged, not generalised
+    p += [(i, f"http://c.example.net/q/r/s/t{i % 2}/u", i % 2) for i in range(400, 480)]  # they differ at the fourth level: apart
+    p += [(500, "http://a.example.net/x/3/y/bad-new", None), (501, "http://a.example.net/x/3/w/good-new", None), (502, "http://a.example.net/x", None)]
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(p, "page_id long, url string, bad int")).collect()}
+    assert len(got) == len(p)
+    assert {(got[i].template, got[i].verdict) for i in [*range(60), 500]} == {("x/{n}/y/*", "block")}
+    assert {(got[i].template, got[i].verdict) for i in [*range(100, 260), 501]} == {("x/{n}/w/*", "allow")} and got[502].template == "x"
+    assert {(got[i].template, got[i].verdict) for i in range(300, 360)} == {("{n}/{n}/{n}/news/*/{n}", "block")}
+    assert {(got[i].template, got[i].verdict) for i in range(400, 480)} == {("q/r/s/t0/u", "allow"), ("q/r/s/t1/u", "block")}

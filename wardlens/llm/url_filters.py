@@ -9,7 +9,7 @@
 
 Fixed rules of host suffix and path prefix come before the tree. Each level's table is written to the shared folder,
 so plans stay short and lost executors cost one level. All groups are sums that are combined before the shuffle; joins on
-a hot host are left to adaptive skew splitting. The tree's depth is ``DEPTH`` segments; all further ones form one last part.
+a hot host are left to adaptive skew splitting. The tree is as deep as the longest path; each level costs two tables.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule and gets its template's verdict
 (allow, as a template without labels always does); repeated pages are judged alike; an empty table gives no
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table, written
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: The SQL has so many levels: the tree's results for tables whose paths are no longer.
 DEPTH = 3
 #: A node with more than MANY children turns those with less than RARE of its pages into ``*``.
 MANY, RARE = 20, 0.05
@@ -52,66 +53,65 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def shapes(path: Column) -> dict[str, Column]:
+def shape(path: Column) -> Column:
     def general(x: Column) -> Column:
         x = F.regexp_replace(x, r"^[0-9]+(?=\.[A-Za-z]{1,5}$|$)", "{n}")
         return F.regexp_replace(x, r"^(?=[A-Fa-f-]*[0-9])[0-9A-Fa-f-]{8,}$", "{h}")
 
-    parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), general)
-    out = {f"s{d}": F.coalesce(F.get(parts, F.lit(d - 1)), F.lit("")) for d in range(1, DEPTH + 1)}
-    return out | {"rest": F.array_join(F.slice(parts, DEPTH + 1, F.greatest(F.size(parts) - DEPTH, F.lit(1))), "/")}
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), general)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, s1.., rest (a shape) with m1.. (its template) and the template's n_pages, n_labelled, n_bad, purity, verdict.
+    """host, s (a shape: its segments) with m (its template, padded with '') and the template's n_pages, n_labelled, n_bad, purity, verdict.
 
     ``pages`` has host, path and bad (1, 0, or null: no label)."""
-    keys = ["host", *[f"s{d}" for d in range(1, DEPTH + 1)], "rest"]
     t = (
-        pages.select("host", "bad", *[c.alias(n) for n, c in shapes(F.col("path")).items()])
-        .groupBy(*keys)
+        pages.select("host", "bad", shape(F.col("path")).alias("s"))
+        .groupBy("host", "s")
         .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("b"))
     )
-    t = written(t.withColumns({f"m{d}": F.col(f"s{d}") for d in range(1, DEPTH + 1)}), "shapes")
-    total = t.agg(F.sum("l"), F.sum("b")).first()
+    t = written(t, "shapes")
+    total = t.agg(F.sum("l"), F.sum("b"), F.max(F.size("s"))).first()
     prior = (total[1] or 0) / total[0] if total[0] else 0.0
-    for d in range(1, DEPTH + 1):
-        above = ["host", *[f"m{i}" for i in range(1, d)]]
-        nodes = t.groupBy(*above, f"m{d}").agg(F.sum("n").alias("n_child"))
+    depth = total[2] or 0
+    t = t.withColumn("m", F.concat("s", F.array_repeat(F.lit(""), F.lit(depth) - F.size("s"))))
+    for d in range(1, depth + 1):
+        up, below = F.slice("m", 1, d - 1), F.slice("m", d + 1, depth)
+        t = t.withColumns({"up": up, "x": F.get("m", F.lit(d - 1))})
+        nodes = t.groupBy("host", "up", "x").agg(F.sum("n").alias("n_child"))
         # Named segments only: an absent one or one already general is no variable name.
-        parents = nodes.where(f"m{d} <> '' AND m{d} NOT LIKE '{{_}}%'").groupBy(*above).agg(F.count(F.lit(1)).alias("k"), F.sum("n_child").alias("n_all"))
-        wild = nodes.join(parents, above).where((F.col("k") > MANY) & (F.col("n_child") < RARE * F.col("n_all")) & F.expr(f"m{d} <> '' AND m{d} NOT LIKE '{{_}}%'"))
-        t = t.join(wild.select(*above, f"m{d}", F.lit(True).alias("wild")), [*above, f"m{d}"], "left")
-        t = written(t.withColumn(f"m{d}", F.when(F.col("wild"), "*").otherwise(F.col(f"m{d}"))).drop("wild"), f"general{d}")
-    m = ["host", *[f"m{d}" for d in range(1, DEPTH + 1)], "rest"]
-    for d in range(DEPTH, 0, -1):
-        others = [c for c in m if c != f"m{d}"]
-        leaf = t.groupBy(*m).agg(F.sum("l").alias("ll"), F.sum("b").alias("bb"))
-        pool = leaf.groupBy(*others).agg(F.count(F.lit(1)).alias("k"), F.sum("ll").alias("pl"), F.sum("bb").alias("pb"))
+        named = F.expr("x <> '' AND x NOT LIKE '{_}%'")
+        parents = nodes.where(named).groupBy("host", "up").agg(F.count(F.lit(1)).alias("k"), F.sum("n_child").alias("n_all"))
+        wild = nodes.join(parents, ["host", "up"]).where((F.col("k") > MANY) & (F.col("n_child") < RARE * F.col("n_all")) & named)
+        t = t.join(wild.select("host", "up", "x", F.lit(True).alias("wild")), ["host", "up", "x"], "left")
+        t = written(t.withColumn("m", F.when(F.col("wild"), F.concat(up, F.array(F.lit("*")), below)).otherwise(F.col("m"))).drop("wild", "up", "x"), f"general{d}")
+    for d in range(depth, 0, -1):
+        up, below = F.slice("m", 1, d - 1), F.slice("m", d + 1, depth)
+        leaf = t.groupBy("host", "m").agg(F.sum("l").alias("ll"), F.sum("b").alias("bb")).withColumn("others", F.concat(up, below))
+        pool = leaf.groupBy("host", "others").agg(F.count(F.lit(1)).alias("k"), F.sum("ll").alias("pl"), F.sum("bb").alias("pb"))
         p = F.try_divide(F.col("pb"), F.col("pl"))
         z = F.abs(F.try_divide(F.col("bb"), F.col("ll")) - p)
         error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("ll")) - F.try_divide(F.lit(1.0), F.col("pl"))))
         apart = F.coalesce((F.col("ll") >= LEAST) & (z > Z * error), F.lit(False))
-        merge = leaf.join(pool, others).where((F.col("k") > 1) & ~apart).select(*m, F.lit(True).alias("merge"))
-        t = t.join(merge, m, "left").withColumn(f"m{d}", F.when(F.col("merge"), "*").otherwise(F.col(f"m{d}"))).drop("merge")
+        merge = leaf.join(pool, ["host", "others"]).where((F.col("k") > 1) & ~apart).select("host", "m", F.lit(True).alias("merge"))
+        t = t.join(merge, ["host", "m"], "left").withColumn("m", F.when(F.col("merge"), F.concat(up, F.array(F.lit("*")), below)).otherwise(F.col("m"))).drop("merge")
         t = written(t, f"merged{d}")
-    stats = t.groupBy(*m).agg(F.sum("n").alias("n_pages"), F.sum("l").alias("n_labelled"), F.sum("b").alias("n_bad"))
+    stats = t.groupBy("host", "m").agg(F.sum("n").alias("n_pages"), F.sum("l").alias("n_labelled"), F.sum("b").alias("n_bad"))
     purity = 1 - (F.col("n_bad") + WEIGHT * prior) / (F.col("n_labelled") + WEIGHT)
     stats = stats.withColumn("purity", purity)
     stats = stats.withColumn("verdict", F.when((F.col("n_labelled") > 0) & (F.col("purity") < LEAST_PURITY), "block").otherwise("allow"))
-    return t.select(*keys, *m[1:-1]).join(stats, m)
+    return t.select("host", "s", "m").join(stats, ["host", "m"])
 
 
 def judge(pages: DataFrame) -> DataFrame:
     """``pages``: page_id, url, bad (1 bad, 0 good, null unknown). One row a page with host, path, rule, verdict and template."""
-    keys = ["host", *[f"s{d}" for d in range(1, DEPTH + 1)], "rest"]
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("bad").cast("long").alias("bad"))
     known = templates(rows)
-    name = F.regexp_replace(F.concat_ws("/", *[f"m{d}" for d in range(1, DEPTH + 1)], "rest"), "/+$", "")
-    known = known.select(*keys, name.alias("template"), "purity", F.col("verdict").alias("learned"))
-    rows = rows.select("page_id", "host", "path", *[c.alias(n) for n, c in shapes(F.col("path")).items()])
+    name = F.regexp_replace(F.array_join("m", "/"), "/+$", "")
+    known = known.select("host", "s", name.alias("template"), "purity", F.col("verdict").alias("learned"))
+    rows = rows.select("page_id", "host", "path", shape(F.col("path")).alias("s"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    out = rows.join(known, keys, "left")
+    out = rows.join(known, ["host", "s"], "left")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("learned"), F.lit("allow")).alias("verdict"), "template", "purity")
 
 
