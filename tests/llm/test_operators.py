@@ -182,6 +182,37 @@ def test_surrogates(spark, empty):
     assert pii.replace_pii(empty).count() == 0
 
 
+def test_later_mentions_of_names(spark):
+    """Every mention of a detected name goes, titled or not; known pairs need no title; other words stay."""
+    texts = [
+        "Mr. John Smith called. John Smith said that Smith's dog left, Smith-led, (Smith) and John too; Smithson and Johnny stay.",
+        "Afterwards Mary Weber met Mr Xaver Qualmann. Then Qualmann and Mary spoke to Xaver Qualmann at smith@mail8.example.com.",
+        "Frau Κλειω Παππας came; Παππας left. Karen left nobody: Smith.",
+        "My name is Robert. Robert knows Mr. Robert Miller and Miller knows Robert.",
+        "José García-Lorca and José García, Lucía Gómez",
+        "John went to Smith Street, Mary to Weber Lane.",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string").repartition(3)
+    out = pii.replace_pii(d)
+    assert pii.collisions(out).count() == 0
+    got = {r.doc_id: r for r in out.collect()}
+    s = pii.Surrogates(b"wardlens")
+    js, mw, xq, kp = s.name("John Smith", ""), s.name("Mary Weber", ""), s.name("Xaver Qualmann", ""), s.name("Κλειω Παππας", "")
+    (j, sm), (ma, we), (xa, qu), (_, pa) = js.split(), mw.split(), xq.split(), kp.split()
+    assert got[0].text == f"Mr. {js} called. {js} said that {sm}'s dog left, {sm}-led, ({sm}) and {j} too; Smithson and Johnny stay."
+    assert got[1].text.startswith(f"Afterwards {mw} met Mr {xq}. Then {qu} and {ma} spoke to {xq} at ") and "smith@mail8" not in got[1].text
+    assert got[2].text == f"Frau {kp} came; {pa} left. Karen left nobody: Smith."
+    ro, mi = s.name("Robert", ""), s.name("Miller", "")
+    assert got[3].text == f"My name is {ro}. {ro} knows Mr. {s.name('Robert Miller', '')} and {mi} knows {ro}."
+    assert [e.surrogate for e in got[4].entities] == [s.name(x, "") for x in ("José García-Lorca", "José García", "Lucía Gómez")]
+    assert got[5].text == texts[5] and not got[5].entities
+    for i, r in got.items():
+        old, at = texts[i % len(texts)], 0
+        for e in r.entities:  # spans are those of the original, in order and apart
+            assert at <= e.start < e.end and old[e.start : e.end] not in (e.surrogate, "")
+            at = e.end
+
+
 def test_bijections():
     s = pii.Surrogates(b"key")
     assert len({s.permute(x, 1000, "t") for x in range(1000)}) == 1000

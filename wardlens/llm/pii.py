@@ -12,6 +12,9 @@ same surrogate wherever it stands (coreference), without a table of entities:
 * a known first or last name is permuted within its list (first names by gender), any other name letter by letter,
   walking on while the result is a known name. A title keeps its place, and "Mr Smith" after "John Smith" agrees with it.
 
+Names are found after titles and "name" phrases, and as pairs of a known first and last name. A second pass over a text in which
+names were found replaces every other whole-word mention of them in it: the full name, its last and its first name.
+
 ``collisions`` tests the two properties on real output all the same.
 
 Edge cases: null text stays null; texts without entities, empty ones included, are returned as they are; repeated rows get
@@ -52,8 +55,12 @@ PATTERNS = [
     ("number", r"(?<![\w.,-])(?:\d{4}[ -]){3}\d{4}(?![\w-])|(?<![\w.,-])\d{9,19}(?!\w)"),
     ("name", rf"(?:\b(?P<he>{HE})\b|\b(?P<she>{SHE})\b|\b(?:Dr|Prof|[Mm]y name is|[Nn]ame:))\.? (?P<name_value>{_NAME}(?: {_NAME})?)"),
 ]
+#: A known first and last name need no title.
+PATTERNS.append(("pair", rf"\b(?=[A-Z])(?P<pair_value>(?:{'|'.join(MALE + FEMALE)}) (?:{'|'.join(LAST)})(?:[-'’][A-ZÀ-ÖØ-ÞΑ-ΩА-Я][a-zà-öø-ÿα-ωа-я]+)?)(?!\w)"))
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 _MAYBE = rf"[0-9]|@|://|(?i:password|passwd|pwd|secret|token|key)|\b(?:{HE}|{SHE}|Dr|Prof|[Mm]y name is|[Nn]ame:)\b"
+_MAYBE += rf"|(?:{'|'.join(MALE + FEMALE)}) (?:{'|'.join(LAST)})"
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"]
 _ALPHABETS += ["".join(map(chr, range(a, b + 1))) for a, b in ((0x3B1, 0x3C1), (0x391, 0x3A1), (0x430, 0x44F), (0x410, 0x42F), (0x5D0, 0x5EA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))]
 _OF = {c: a for a in _ALPHABETS for c in a}
@@ -184,6 +191,8 @@ class Surrogates:
         if kind == "name":
             gender = "male" if m.group("he") else "female" if m.group("she") else ""
             return *m.span("name_value"), self.name(m.group("name_value"), gender)
+        if kind == "pair":
+            return *m.span("pair_value"), self.name(m.group("pair_value"), "")
         if kind == "ip":
             return *m.span(), self.ip(m.group())
         if kind == "number":
@@ -195,11 +204,48 @@ class Surrogates:
             return *m.span(), m.group()[:4] + self.shaped(m.group()[4:], "aws")
         return *m.span(), self.shaped(m.group(), kind)
 
+    def mentions(self, text: str, spans: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+        """Mentions outside ``spans`` of the names among them, whole words only: one pass over the text's capitalised words."""
+        whole, last, first = {}, {}, {}
+        for kind, a, b, new in spans:
+            if kind == "name":
+                old, new = text[a:b].split(" "), new.split(" ")
+                whole[" ".join(old)] = ("name", " ".join(new))
+                last[old[-1]] = ("name", new[-1])
+                if len(old) > 1:
+                    first[old[0]] = ("first_name", new[0])
+        if not whole:
+            return []
+        known = first | last | whole  # where one word is several of them: the whole name, then the last name
+        taken = iter([(a, b) for _, a, b, _ in spans])
+        a, b = next(taken)
+        free = []
+        for m in _WORD.finditer(text):
+            while b <= m.start():
+                a, b = next(taken, (len(text), len(text) + 1))
+            if m.end() <= a:
+                free.append(m.span())
+        out, at = [], 0
+        for i, (a, b) in enumerate(free):
+            if a < at:
+                continue
+            ends = [b] if i + 1 == len(free) or free[i + 1][0] != b + 1 or text[b] != " " else [free[i + 1][1], b]
+            for end in ends:
+                if text[a:end] in known:
+                    kind, new = known[text[a:end]]
+                    out.append((kind, a, end, new))
+                    at = end
+                    break
+        return out
+
     def replace(self, text: str) -> tuple[str, list[dict]]:
-        out, found, at = [], [], 0
+        spans = []
         for m in FINDER.finditer(text):
             kind = next(k for k, _ in PATTERNS if m.group(k) is not None)
-            a, b, new = self.of(kind, m)
+            spans.append(("name" if kind == "pair" else kind, *self.of(kind, m)))
+        spans = sorted(spans + self.mentions(text, spans), key=lambda s: s[1])
+        out, found, at = [], [], 0
+        for kind, a, b, new in spans:
             out += [text[at:a], new]
             found.append({"kind": kind, "start": a, "end": b, "surrogate": new, "digest": hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=8, key=self.key[:64]).hexdigest()})
             at = b
