@@ -2,7 +2,7 @@
 
 1. Voters. Term lists vote on a text: words and word stems (first 4 to 8 letters). Lists in four languages are built in;
    further terms are those that labelled training rows tie to the label (log odds with their standard error). Each kind
-   of term gives two voters (one hit, two hits); patterns (shouting, insults at the reader) are voters too.
+   of term gives two voters (one hit, two hits), the four languages' lists together; one pattern (shouting) is a voter too.
 2. Label model. A latent two-class model of the voters' patterns is fitted by expectation maximisation: each voter's rate of
    firing in either class (its accuracies), and the correlations that remain given the class, by which the weight of
    voters that repeat each other is shared. The training rows' own labels are one more voter, of set accuracy
