@@ -3,7 +3,7 @@
 The measures are built-in expressions only. Long texts stay in their row: nothing is exploded or shuffled.
 
 Edge cases: a null or empty text has no words and fails the base rule; repeated rows are judged alike, each for
-itself; an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are ignored by the query
+itself; very long texts are judged whole, in time of n log n; an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are ignored by the query
 and passed through by ``filter_documents``.
 """
 
@@ -32,11 +32,13 @@ RULES: list[tuple[str, str, int, float | None, float | None]] = [
     ("stop_word_ratio", "n_stop_words / n_words", 40, 0.03, None),
     ("dup_line_ratio", "n_dup_lines / n_lines", 20, None, 0.3),
 ]
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 
 def measures(df: DataFrame) -> DataFrame:
-    """Adds the counts. ``_w`` and other helpers are dropped again; a clash with the caller's columns is theirs to avoid."""
+    """Adds the counts. The caller's columns must not be called as a measure or begin with ``_``; ``filter_documents`` renames them."""
+    names = [f"`{c}`" for c in df.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
     df = df.withColumn("_w", F.array_remove(F.split(text, SPACE + "+"), ""))
     df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -67,10 +69,13 @@ def measures(df: DataFrame) -> DataFrame:
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.when(F.col("_rep"), covered).otherwise(F.lit(0)).cast("long"),
-            "n_stop_words": F.size(F.filter("_w", lambda x: x.isin(STOP_WORDS))).cast("long"),
+            "n_stop_words": F.size(F.filter("_w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long"),
         }
     )
-    return df.drop("_w", "_lines", "_h", "_win", "_rep", "_sorted", "_pos")
+    # The struct isn't deterministic to the optimiser, so filters stay above it: pushed below, they would hold a copy of every
+    # measure's expression wherever a rule names it.
+    df = df.withColumn("_m", F.when(F.monotonically_increasing_id() >= 0, F.struct(*MEASURES)))
+    return df.select(*names, *[F.col("_m")[m].alias(m) for m in MEASURES])
 
 
 def compile_rules(rules=RULES) -> Column:
@@ -100,10 +105,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     judged = judge(inner.withColumn("text", F.col(f"c{names.index('text')}")))
-    # A column that isn't deterministic keeps the filter above the measures: pushed below, it would hold a copy of
-    # every measure's expression wherever a rule names it.
-    judged = judged.withColumn("_keep", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return judged.where("_keep").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return judged.where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +146,7 @@ m AS (
          (length(t_) - length(regexp_replace(t_, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols,
          len(l_)::bigint AS n_lines, (len(l_) - len(list_distinct(l_)))::bigint AS n_dup_lines,
          coalesce(rep_, 0)::bigint AS n_repeat_words,
-         len(list_filter(w_, lambda x: x IN ({_sql_stop()})))::bigint AS n_stop_words
+         len(list_filter(w_, lambda x: lower(x) IN ({_sql_stop()})))::bigint AS n_stop_words
   FROM r LEFT JOIN y USING (rid_)),
 j AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM m),
 k AS (SELECT *, (NOT base_failed AND {' AND '.join(cond)}) AS kept FROM j)
