@@ -23,7 +23,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go."""
+    """Documents with a passage of 13 benchmark words or more go, long ones too."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
