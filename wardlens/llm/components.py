@@ -27,15 +27,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, root) for every node but the roots: the least id that it reaches. ``links``: a, b, distinct, a < b."""
     links = written(links, "links")
     before = None
-    for _ in range(most):
+    while True:
         links = written(_star(_star(links, True), False), "stars")
         # A fixed point has every node hung on its root. Sums of hashes tell whether the step changed anything.
         now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             return links.select(F.col("b").alias("id"), F.col("a").alias("root"))
         before = now
-    raise RuntimeError(f"components did not settle in {most} steps")

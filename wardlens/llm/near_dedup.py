@@ -15,7 +15,8 @@
 Nothing is collected but counts. Hot buckets, digests and ids are combined before shuffles or split by adaptive joins.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer words than a
-shingle make one shingle; rows that share a doc_id are one node, and each row is returned; a null doc_id is never linked,
+shingle make one shingle; rows that share a doc_id are one node, whatever their texts, and each row is returned with its own set's size;
+ties go to the least doc_id; very long texts are a slice of their own and used whole; a null doc_id is never linked,
 has a null component and is kept; an empty table gives no rows; columns besides those named are ignored by the query.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, hash64, mix64, resident, split_words, table, tidied, written
+from .common import UPPER, byte_slices, hash64, mix64, resident, split_words, table, tidied, written
 from .components import components
 from .encoding import _runs
 
@@ -154,16 +155,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sk = written(sketches(docs, size, bands), "sketches")
     known = sk.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.join(classes, "digest").where("doc_id = rep").select("doc_id", "n_shingles", "bands")
+    # Repeated rows are combined before the shuffle; both keys together spread a digest that many doc_ids have.
+    reps = known.dropDuplicates(["doc_id", "digest"]).join(classes.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"], "left_semi")
     buckets = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("other")).where("leader <> other")
     buckets = written(buckets.join(sizes.select("key", "leader"), "key"), "buckets")
     texts = marked(docs, buckets.select("doc_id").distinct()).where("maybe").select("doc_id", "text")
     texts = written(texts.dropDuplicates(["doc_id", "text"]), "candidates")
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    # A doc_id whose rows have different sets is one node all the same: its classes are linked.
+    several = written(known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    own = known.join(several, "doc_id").join(classes, "digest").select("doc_id", "rep").distinct()
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    tied = written(own.join(least, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "tied")
     # First every document with the least of its buckets' leaders: most near copies end in one component with it.
     first = buckets.where("leader < doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    links = written(verified(first, texts, size, percent), "links1")
+    links = written(verified(first, texts, size, percent).unionByName(tied).distinct(), "links1")
     roots = components(links)
     tagged = buckets.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -199,3 +206,26 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 30)
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85, bands=20)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def sql(size: int = 3, percent: int = 85) -> str:
+    """DuckDB SQL of ``query``: every pair that shares a shingle is compared on whole sets; labels spread along the links."""
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT r, doc_id, x FROM (
+    SELECT r, doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(list_slice(w, i, i + {size - 1}), ' ')) END) AS x FROM w)),
+sz AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS h FROM sh GROUP BY r),
+cl AS (SELECT h, min(r) AS r, min(n) AS n FROM sz WHERE doc_id IS NOT NULL GROUP BY h),
+cs AS (SELECT cl.r, cl.n, sh.x FROM cl JOIN sh USING (r)),
+pr AS (
+  SELECT a.r AS a, b.r AS b FROM cs a JOIN cs b ON a.x = b.x AND a.r < b.r AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+nd AS (SELECT DISTINCT 'c' || cl.r AS c, 'd' || sz.doc_id AS d FROM sz JOIN cl USING (h) WHERE doc_id IS NOT NULL),
+ed AS MATERIALIZED (SELECT 'c' || a AS a, 'c' || b AS b FROM pr UNION SELECT 'c' || b, 'c' || a FROM pr UNION SELECT c, d FROM nd UNION SELECT d, c FROM nd),
+rc AS (SELECT DISTINCT c AS s, c AS t FROM nd UNION SELECT rc.s, ed.b FROM rc JOIN ed ON rc.t = ed.a),
+lo AS (SELECT s, min(CAST(substr(t, 2) AS BIGINT)) AS root FROM rc WHERE t LIKE 'd%' GROUP BY s),
+co AS (SELECT sz.r, root FROM sz JOIN cl USING (h) JOIN lo ON lo.s = 'c' || cl.r WHERE doc_id IS NOT NULL)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, w.doc_id) AS component_id, coalesce(w.doc_id = coalesce(root, w.doc_id), true) AS kept
+FROM w LEFT JOIN (SELECT r, n FROM sz) z ON z.r = w.r LEFT JOIN co ON co.r = w.r"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_near_dedup": near_dedup.query,
 }
 ORACLE = {
+    "op10_near_dedup": near_dedup.sql(),
     "op4_quality_rules": quality_rules.sql(),
     "op7_decontamination": decontamination.sql(),
     "op8_url_filters": url_filters.sql(),

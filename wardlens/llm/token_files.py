@@ -1,13 +1,13 @@
 """Token-ID output (operator 1): flat unsigned integer files with 64-bit document offsets, read back memory-mapped.
 
-Rows are range-partitioned by (doc_id, hash of the text), so that no partition holds more than its share even if one
-doc_id has a third of all rows, and each task writes one shard: ``.bin`` (ids, 16 bits where the vocabulary
+Rows are range-partitioned by (doc_id, hash of the text, row number), so that no partition holds more than its share even if one
+doc_id, or one row, has a third of all rows, and each task writes one shard: ``.bin`` (ids, 16 bits where the vocabulary
 fits), ``.off`` (n + 1 offsets, 64 bits) and ``.doc`` (doc_ids, 64 bits). A shard is written under another name and
 renamed, so a lost or repeated task leaves whole files only. The number of ids before a shard is a prefix sum over
 the manifest, which has one row a shard.
 
 Edge cases: a null or empty text has the end id alone; a null doc_id sorts first; rows that share a doc_id each keep
-their own entry, ordered by the text's hash, then text; an empty table writes no shard and returns no row; columns
+their own entry, ordered by the text's hash, then text; a very long text is encoded whole, as a slice of its own; an empty table writes no shard and returns no row; columns
 besides ``doc_id`` and ``text`` are ignored.
 """
 
@@ -37,7 +37,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
         .withColumn("h", F.xxhash64("text"))
-        .repartitionByRange(n, "doc_id", "h")
+        .repartitionByRange(n, "doc_id", "h", F.monotonically_increasing_id())  # the last splits rows that are the same
         .sortWithinPartitions("doc_id", "h", "text")
         .select("doc_id", "text")
     )
