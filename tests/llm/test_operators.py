@@ -219,51 +219,68 @@ def test_bijections():
     assert len({s.shaped(f"{x:03d}", "t") for x in range(1000)}) == 1000
 
 
-def katz_reference(texts):
-    toks = [(d, WORDS(t) + [None]) for d, t, *_ in texts]
+def katz_reference(texts, order=3):
+    """Backoff as it is written, one token at a time; every context's distribution is summed up and must come to one."""
+    toks = [(d, ["\0", *WORDS(t), None]) for d, t, *_ in texts]
     train = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 != 0
-    c1, c2, ch = Counter(), Counter(), Counter()
+    c = {n: Counter() for n in range(1, order + 1)}
     for d, w in toks:
-        if train(d):
-            c1.update(w)
-            for h, x in zip(["\0", *w[:-1]], w):
-                c2[h, x] += 1
-                ch[h] += 1
-    n, v = sum(c1.values()), len(c1)
-    d1, d2 = (katz.discounts([sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]) for c in (c1, c2))
-    lost = sum((1 - d1[c]) * c for c in c1.values() if c <= katz.K)
-    p1 = lambda w: (d1[c1[w]] if c1[w] <= katz.K else 1) * c1[w] / n if c1[w] else lost / n
-    alpha, scale, plain = {}, {}, {}
-    for h in ch:
-        own = {w: c for (g, w), c in c2.items() if g == h}
-        left = sum((1 - d2[c]) * c for c in own.values() if c <= katz.K)
-        plain[h] = left <= 0
-        scale[h] = ch[h] + plain[h]
-        alpha[h] = (1 if plain[h] else left) / scale[h] / (1 - sum(map(p1, own)))
-        seen = sum((d2[c] if c <= katz.K and not plain[h] else 1) * c / scale[h] for c in own.values())
-        assert seen + alpha[h] * (1 - sum(map(p1, own))) == pytest.approx(1)
+        for i in range(1, len(w) if train(d) else 0):
+            for n in range(1, min(order, i + 1) + 1):
+                c[n][tuple(w[i - n + 1 : i + 1])] += 1
+    total, v, k = sum(c[1].values()), len(c[1]), katz.K
+    d = {n: katz.discounts([sum(x == r for x in c[n].values()) for r in range(1, k + 2)]) for n in c}
+    after = {}
+    for n in range(2, order + 1):
+        for g in c[n]:
+            after.setdefault(g[:-1], []).append(g[-1])
+    unknown = sum((1 - d[1][x]) * x for x in c[1].values() if x <= k) / total
+    memo = {}
+
+    def context(h):
+        """(is nothing discounted, size, backoff weight)"""
+        if h not in memo:
+            counts = [c[len(h) + 1][*h, w] for w in after[h]]
+            left = sum((1 - d[len(h) + 1][x]) * x for x in counts if x <= k)
+            plain, size = left <= 0, sum(counts)
+            scale = size + plain
+            lower = sum(prob(w, h[1:]) for w in after[h])
+            alpha = (1 if plain else left) / scale / (1 - lower)
+            memo[h] = plain, scale, alpha
+            assert sum(prob(w, h) for w in after[h]) + alpha * (1 - lower) == pytest.approx(1)
+        return memo[h]
+
+    def prob(w, h):
+        x = c[len(h) + 1][*h, w]
+        if not h:
+            return (d[1][x] if x <= k else 1) * x / total if x else unknown
+        if h not in after:
+            return prob(w, h[1:])
+        plain, scale, alpha = context(h)
+        return (d[len(h) + 1][x] if x <= k and not plain else 1) * x / scale if x else alpha * prob(w, h[1:])
+
     out = []
-    for d, w in toks:
-        s = 0
-        for h, x in zip(["\0", *w[:-1]], w):
-            c = c2[h, x]
-            s += np.log10((d2[c] if c <= katz.K and not plain[h] else 1) * c / scale[h]) if c else np.log10(alpha.get(h, 1) * p1(x))
-        out.append((-1 if d is None else d, len(w), sum(c1[x] > 0 for x in w), n, round(float(sum(np.log10((c1[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)), 6), round(float(s), 6)))
+    for doc, w in toks:
+        n = len(w) - 1
+        score = sum(np.log10(prob(w[i], tuple(w[max(0, i - order + 1) : i]))) for i in range(1, n + 1))
+        base = sum(np.log10((c[1][(x,)] + 0.1) / (total + 0.1 * (v + 1))) for x in w[1:])
+        out.append((-1 if doc is None else doc, n, sum(c[1][(x,)] > 0 for x in w[1:]), total, round(float(base), 6), round(float(score), 6)))
     return sorted(out)
 
 
-def test_katz(spark, docs, empty):
+@pytest.mark.parametrize(("order", "p", "chunk"), [(3, "2", 5_000_000), (3, "40", 700), (2, "40", 5_000_000), (4, "3", 700)])
+def test_katz(spark, docs, empty, order, p, chunk):
+    """With 40 partitions some contexts are hot; with small chunks some n-grams are in one chunk only and aren't sent."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for p in ("2", "40"):  # with 40 partitions some contexts are hot
-            spark.conf.set("spark.sql.shuffle.partitions", p)
-            got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score(docs).collect())
-            want = katz_reference(rows())
-            assert [g[:4] for g in got] == [w[:4] for w in want]
-            assert np.allclose([g[4:] for g in got], [w[4:] for w in want], atol=1e-5)
+        spark.conf.set("spark.sql.shuffle.partitions", p)
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score(docs, order, chunk).collect())
+        want = katz_reference(rows(), order)
+        assert [g[:4] for g in got] == [w[:4] for w in want]
+        assert np.allclose([g[4:] for g in got], [w[4:] for w in want], atol=1e-5)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert katz.score(empty).count() == 0
+    assert katz.score(empty, order).count() == 0
 
 
 def good_turing(n):

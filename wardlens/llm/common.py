@@ -34,23 +34,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. It is ``spark.checkpoint.dir``; only where that is unset (tests) one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = getattr(spark, "_wardlens_shared", None)
+    """The folder of this session below the one that all executors share, ``spark.checkpoint.dir``. Only a local master, as in
+    tests, may go without; elsewhere executors would write to folders that the others can't see. Hadoop removes it at the end."""
+    made = getattr(spark, "_wardlens_shared", None)
+    if made is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if found is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="wardlens-")
-            spark._wardlens_shared = found
             atexit.register(shutil.rmtree, found[7:], True)
-    return found.rstrip("/")
+        made = f"{found.rstrip('/')}/wardlens-{uuid.uuid4().hex[:12]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        spark._wardlens_shared = made
+    return made
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; the interpreter's end removes it where it is a local path."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, local_path(path), True)
-    return path
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop(spark: SparkSession, *urls: str) -> None:
+    """Remove paths of the shared folder that nothing reads any more."""
+    for url in urls:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(url)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that have ended: Spark removes them once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def local_path(url: str) -> str:

@@ -1,32 +1,34 @@
-"""LM scoring (operator 9): Katz backoff with Good-Turing discounts, over words.
+"""LM scoring (operator 9): Katz backoff with Good-Turing discounts, over words, of any order (the query's is 3).
 
-P(w | h) = d(c(h, w)) c(h, w) / c(h) where the pair was seen, else alpha(h) P(w), with
-alpha(h) = (1 - sum of the seen) / (1 - sum of P over the seen words), so that every context's distribution sums to one
-over the vocabulary and one unknown word; P(w) = d(c(w)) c(w) / N, and what the discounts leave is the unknown word's. The
-first word's context is the text's start, and the last word is the end.
+P_n(w | h) = d_n(c(h w)) c(h w) / c(h) where the n-gram was seen, else alpha(h) P_{n-1}(w | h'), h' being h without its first word,
+and alpha(h) = (1 - sum of the seen) / (1 - sum of P_{n-1} over the words seen after h), so that every context's distribution
+sums to one over the vocabulary and one unknown word; P_1(w) = d_1(c(w)) c(w) / N, and what the discounts leave is the unknown
+word's. A text's first word has the text's start as its context, the second the start and the first word, and so on;
+the last word is the end. Each token is evaluated from the unigram upwards, which is the recursion read from its end.
 
 Counts cover all training rows, and nothing has a cap. Texts are read once, in chunks of about ``CHUNK`` bytes, whose words
-are numbered within the chunk (table ``chunks``). Then twice the same round trip: each chunk sends its distinct items,
+are numbered within the chunk (table ``chunks``). Then one round trip for each order: each chunk sends its distinct n-grams,
 packed by target partition, and gets back what it needs to know about them, in the same order:
 
 * words go to the partition of their hash, and come back with a global number and count;
-* pairs go to the partition of their context, with the words' counts, and come back with the pair's count, and the context's
-  sums (how many seen words have counts 1 ... 5, and their unigram mass). A context with more than a partition's share of all
-  tokens is spread over several partitions by word; its partial sums, at most two a partition in all, are added up
-  on the driver.
-
-So a shuffle carries each distinct item of a chunk once, packed and compressed, never one row a token, and the tables of
-counts are partitioned by word and by context. Discounts need only the numbers of items with counts 1 ... 6; where those are too
-bumpy for Good-Turing, a log-linear fit takes their place.
-
-Edge cases: a null or empty text is the end token alone; repeated rows count as often as they come; a null doc_id has
-crc32 0 and so is held out; without training rows all probabilities fall to one unknown word, of probability 1, and base scores are
-log10(0.1 / 0.1); an empty table gives no rows; columns besides ``doc_id`` and ``text`` are ignored.
+* n-grams go to the partition of their context, and come back with their count, whether another chunk has them too, and the
+  context's sums: how many words were seen after it 1 ... K times or oftener, and the same by their counts after h'. All are whole
+  numbers, so the weights are exactly normalised whatever order they are added in.
+
+An n-gram whose context only one chunk has is not sent: that chunk knows all about it. A context with more than a partition's
+share of all tokens is spread over several partitions by word; its partial sums, at most two a partition in all, are added up
+on the driver. The number of partitions grows with the number of chunks, so what a task holds doesn't grow. Discounts
+need only the numbers of items with counts 1 ... K + 1; where those are too bumpy for Good-Turing, a log-linear fit takes their place.
+
+Edge cases: a null or empty text is the end token alone; a very long text is a chunk of its own; repeated rows count as often
+as they come; a null doc_id has crc32 0 and so is held out; without training rows all probabilities fall to one unknown word,
+of probability 1, and base scores are log10(0.1 / 0.1); an empty table gives no rows; columns besides ``doc_id`` and ``text``
+are ignored.
 """
 
 from __future__ import annotations
 
-import io
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -35,39 +37,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, crc_mod, hash64, mix64, parts, scratch, split_words, table, written
+from .common import byte_slices, crc_mod, hash64, mix64, parts, release, scratch, split_words, table, written
 
 CHUNK = 5_000_000
 K = 5  # counts up to K are discounted
+ORDER = 3
+CHUNKS_A_PART = 4
+MESSAGE = "chunk long, part int, blob binary"
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned integers or doubles in one compressed blob; each byte plane of an integer array by itself."""
-    out = io.BytesIO()
+    """Arrays of unsigned integers in one blob: each byte plane by itself, compressed where that is shorter."""
+    out = []
     for a in arrays:
-        if a.dtype.kind == "f":
-            width, raw = 0, np.ascontiguousarray(a, "<f8").tobytes()
-        else:
-            width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-            raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(len(a), 8)[:, :width].T).tobytes()
-        z = _ZSTD.compress(raw, asbytes=True)
-        out.write(np.array([width, len(a), len(raw), len(z)], "<i8").tobytes() + z)
-    return out.getvalue()
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(len(a), 8)[:, :width].T).tobytes()
+        z = _ZSTD.compress(raw, asbytes=True) if len(raw) > 40 else raw
+        short = len(z) < len(raw)
+        out += [struct.pack("<bii", width, len(a), len(z) if short else -1), z if short else raw]
+    return b"".join(out)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(blob):
-        width, n, size, z = np.frombuffer(blob, "<i8", 4, at).tolist()
-        raw = _ZSTD.decompress(blob[at + 32 : at + 32 + z], decompressed_size=size, asbytes=True) if size else b""
-        if width == 0:
-            out.append(np.frombuffer(raw, "<f8"))
-        else:
-            full = np.zeros((n, 8), np.uint8)
-            full[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
-            out.append(full.reshape(-1).view("<u8"))
-        at += 32 + z
+        width, n, z = struct.unpack_from("<bii", blob, at)
+        at += 9
+        size = z if z >= 0 else width * n
+        raw = blob[at : at + size]
+        at += size
+        if z >= 0:
+            raw = _ZSTD.decompress(raw, decompressed_size=width * n, asbytes=True)
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+        out.append(full.reshape(-1).view("<u8"))
     return out
 
 
@@ -116,13 +120,13 @@ class Unigrams:
         return np.where(c > 0, d * c / self.scale, self.unknown)
 
 
-def make_chunks(docs: DataFrame) -> DataFrame:
+def make_chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     """chunk, and a blob each of the texts' lengths and folds, the token numbers and the words' hashes. Token 0 is the end."""
 
     def run(batches):
         task, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b in byte_slices(batch.column(1), CHUNK):
+            for a, b in byte_slices(batch.column(1), size):
                 flat, off = split_words(batch.column(1).slice(a, b - a))
                 enc = flat.dictionary_encode()
                 codes = enc.indices.to_numpy() if len(flat) else np.zeros(0, np.int64)
@@ -148,28 +152,174 @@ def make_chunks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, docs array<long>, texts binary, tokens binary, words binary")
 
 
-def _tokens(texts: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, words, text of each pair) of a chunk, and below the train flags: contexts and words by the chunk's numbers."""
-    n, train = (x.astype(np.int64) for x in unpack(texts))
-    (t,) = unpack(tokens)
-    ends = np.cumsum(n + 1) - 1
-    w = np.zeros(len(t) + len(n), np.int64)
-    inner = np.ones(len(w), bool)
-    inner[ends] = False
-    w[inner] = t.astype(np.int64)
-    h = np.zeros(len(w), np.int64)
-    h[1:] = w[:-1]  # after an end comes a start, and both are 0
-    doc = np.repeat(np.arange(len(n)), n + 1)
-    return h, w, doc, train
-
-
-def _by_chunk(rows: DataFrame, url: str, n: int) -> None:
-    """Write what came back for each chunk to one file of the shared folder, blobs in order of their partitions."""
-    ordered = rows.where("chunk >= 0").repartition(n, "chunk").sortWithinPartitions("chunk", "part")
+class _Grams:
+    """The n-grams of one order in a chunk. ``tok``: tokens that have one; ``of``: the n-gram that ends at each token, or -1."""
+
+    def __init__(self, tok, ctx, w, width, train, n_ctx):
+        keys, which = np.unique(ctx * width + w[tok], return_inverse=True)
+        self.tok, self.ctx, self.n_ctx = tok, ctx, n_ctx
+        self.of = np.full(len(w), -1, np.int64)
+        self.of[tok] = which
+        self.h, self.w = keys // width, keys % width
+        self.own = np.bincount(which, weights=train[tok], minlength=len(keys)).astype(np.int64)
+        self.at = np.zeros(len(keys), np.int64)  # some token where each stands
+        self.at[which] = tok
+
+
+class Chunk:
+    """A chunk's texts as numbers, and what the round trips have brought back so far, order by order."""
+
+    def __init__(self, texts: bytes, tokens: bytes, hashes: bytes):
+        n, train = (x.astype(np.int64) for x in unpack(texts))
+        (t,) = unpack(tokens)
+        ends = np.cumsum(n + 1) - 1
+        w = np.zeros(len(t) + len(n), np.int64)
+        inner = np.ones(len(w), bool)
+        inner[ends] = False
+        w[inner] = t.astype(np.int64)
+        self.w, self.texts = w, len(n)
+        self.doc = np.repeat(np.arange(len(n)), n + 1)
+        self.pos = np.arange(len(w)) - (ends - n)[self.doc]
+        self.is_train = train
+        self.train = train[self.doc]
+        self.hashes = np.frombuffer(hashes, "<u8")
+        self.grams: dict[int, _Grams] = {}
+
+    def word_rows(self, p: int) -> list[tuple]:
+        c = np.bincount(self.w, weights=self.train, minlength=len(self.hashes) + 1)[1:].astype(np.uint64)
+        part = (self.hashes % np.uint64(p)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(p + 1))
+        return [(k, self.hashes[order[i:j]], c[order[i:j]]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+
+    def take_words(self, back: list, p: int, ends: int) -> None:
+        """Global numbers and counts of the words; word 0 is the end, and as a context the start."""
+        n = len(self.hashes) + 1
+        self.gid, self.count = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        self.count[0] = ends
+        order = np.argsort((self.hashes % np.uint64(p)).astype(np.int64), kind="stable")
+        if back:
+            self.gid[1:][order] = np.concatenate([b[0] for b in back])
+            self.count[1:][order] = np.concatenate([b[1] for b in back]).astype(np.int64)
+
+    def build(self, n: int, p: int, total: int) -> _Grams:
+        """The n-grams of order ``n``, and in which order the sent ones go to which partitions. Lower orders must be there."""
+        if n == 2:
+            tok = np.arange(len(self.w))
+            ctx = np.where(self.pos > 0, np.concatenate([[0], self.w[:-1]]), 0) if len(self.w) else tok
+            g = _Grams(tok, ctx, self.w, len(self.gid), self.train, len(self.gid))
+            g.total, shared, g.words = self.count, np.ones(len(self.gid), bool), self.gid[None, :]
+            g.lower, g.suffix = self.count[g.w], np.zeros(len(self.gid), np.int64)
+        else:
+            low = self.grams[n - 1]
+            tok = np.flatnonzero(self.pos >= n - 2)
+            g = _Grams(tok, low.of[tok - 1], self.w, len(self.gid), self.train, len(low.h))
+            g.total, shared = low.count, low.shared
+            g.words = np.concatenate([low.words[:, low.h], self.gid[None, low.w]])
+            g.lower = low.count[low.of[g.at]]
+            place = np.full(len(self.w), -1, np.int64)
+            place[low.tok] = low.ctx
+            g.suffix = np.zeros(g.n_ctx, np.int64)  # each context without its first word, as a context of the order below
+            g.suffix[g.ctx] = place[tok]
+        g.hot = g.total * p > total
+        g.sent = np.flatnonzero((shared & (g.total > 0))[g.h])
+        h = g.h[g.sent]
+        x = np.zeros(g.n_ctx, np.uint64)
+        for column in g.words:
+            x = mix64(x + column + np.uint64(1))
+        spread = (-(-g.total * p // max(1, total)) + 1).astype(np.uint64)
+        at = x[h]
+        at = np.where(g.hot[h], at + mix64(self.gid[g.w[g.sent]] + np.uint64(1)) % np.where(g.hot[h], spread[h], np.uint64(1)), at) % np.uint64(p)
+        order = np.argsort(at.astype(np.int64), kind="stable")
+        g.sent, g.part = g.sent[order], at[order].astype(np.int64)
+        self.grams[n] = g
+        return g
+
+    def gram_rows(self, n: int) -> tuple[list[tuple], np.ndarray]:
+        """What goes to each partition, and how many of the n-grams that aren't sent have counts 1 ... K + 1."""
+        g, rows = self.grams[n], []
+        cuts = np.flatnonzero(np.diff(g.part, prepend=-1, append=-1))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            keys = g.sent[i:j]
+            hs, runs = np.unique(g.h[keys], return_counts=True)  # n-grams are sorted by context
+            ws, wi = np.unique(g.w[keys], return_inverse=True)
+            rows.append((int(g.part[i]), *[c[hs] for c in g.words], g.hot[hs], runs, self.gid[ws], wi, g.own[keys], g.lower[keys]))
+        rest = np.ones(len(g.h), bool)
+        rest[g.sent] = False
+        return rows, np.bincount(np.minimum(g.own[rest], K + 2), minlength=K + 3)[1 : K + 2]
+
+    def take_grams(self, n: int, back: list, hot: dict) -> None:
+        """Counts, and the sums of contexts: ``seen`` by the n-grams' counts, ``below`` by their counts one order lower."""
+        g = self.grams[n]
+        g.count, g.shared = g.own.copy(), np.zeros(len(g.h), bool)
+        g.count[g.total[g.h] == 0] = 0
+        g.seen, g.below = _sums(g.h, g.count, g.lower, g.n_ctx)
+        cuts = np.flatnonzero(np.diff(g.part, prepend=-1, append=-1))
+        for b, i, j in zip(back, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            keys = g.sent[i:j]
+            g.count[keys], g.shared[keys] = b[0].astype(np.int64), b[1] > 0
+            hs = np.unique(g.h[keys])
+            g.seen[hs] = np.stack(b[2 : K + 3], 1)
+            g.below[hs] = np.stack(b[K + 3 :], 1)
+        for k in np.flatnonzero(g.hot).tolist() if hot else []:
+            got = hot.get(tuple(g.words[:, k].tolist()))
+            if got is not None:
+                g.seen[k], g.below[k] = got[: K + 1], got[K + 1 :]
+
+    def log_probs(self, uni: "Unigrams", ds: dict[int, np.ndarray]) -> np.ndarray:
+        """log10 P of each token, from the unigram up."""
+        out = np.log10(uni.prob(self.count[self.w]))
+        r = np.arange(1, K + 1)
+        d_low, scale_low = np.ones(K + 1) if uni.plain else uni.d, np.array([float(uni.scale)])
+        for n in sorted(self.grams):
+            g, d = self.grams[n], ds[n]
+            lost = (g.seen[:, :K] * r * (1 - d[1:])).sum(1)
+            plain = lost <= 0  # nothing was discounted: one token is set aside for the words not seen
+            scale = np.where(plain, g.total + 1, np.maximum(g.total, 1)).astype(float)
+            left = np.where(plain, 1.0, lost) / scale
+            mass = ((g.below[:, :K] * r * d_low[1:]).sum(1) + g.below[:, K]) / scale_low[g.suffix]
+            alpha = np.where(g.total > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+            c = g.count[g.of[g.tok]]
+            disc = np.where((c <= K) & ~plain[g.ctx], d[np.minimum(c, K)], 1.0)
+            seen = np.log10(np.maximum(disc * c / scale[g.ctx], 1e-300))
+            out[g.tok] = np.where(c > 0, seen, np.log10(alpha[g.ctx]) + out[g.tok])
+            d_low, scale_low = d, scale
+        return out
+
+
+def _sums(h: np.ndarray, c: np.ndarray, lower: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """By context: how many of its seen n-grams have counts 1 ... K and the sum of the larger; the same by ``lower``."""
+    out = []
+    for x in (c, lower):
+        grid = np.zeros((n, K + 1), np.int64)
+        few = (c > 0) & (x <= K)
+        grid[:, :K] = np.bincount(h[few] * K + x[few] - 1, minlength=n * K).reshape(n, K)
+        many = (c > 0) & (x > K)
+        grid[:, K] = np.bincount(h[many], weights=x[many], minlength=n)
+        out.append(grid)
+    return out[0], out[1]
+
+
+def _number(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of several columns, and each row's number among them."""
+    idx = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        u, inv = np.unique(c, return_inverse=True)
+        _, idx = np.unique(idx * max(1, len(u)) + inv, return_inverse=True)
+    some = np.zeros(int(idx.max()) + 1 if len(idx) else 0, np.int64)
+    some[idx] = np.arange(len(idx))
+    return [c[some] for c in columns], idx
+
+
+def _round(sent: DataFrame, count, url: str, p: int) -> list[list[np.ndarray]]:
+    """Send, count, bring back: one file for each chunk in the shared folder, blobs in order of their partitions. Returns the
+    counting tasks' summaries, one each."""
+    back = sent.repartitionById(p, "part").mapInArrow(count, MESSAGE)
+    ordered = back.repartition(p, "chunk").sortWithinPartitions("chunk", "part")
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(url)
-        now, blobs, done = None, [], 0
+        now, blobs = None, []
 
         def close():
             name = f"{root}/{now}.{TaskContext.get().taskAttemptId()}.tmp"
@@ -179,87 +329,39 @@ def _by_chunk(rows: DataFrame, url: str, n: int) -> None:
 
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if chunk < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
+                    continue
                 if chunk != now:
                     if now is not None:
                         close()
-                        done += 1
                     now, blobs = chunk, []
                 blobs.append(blob)
         if now is not None:
             close()
-            done += 1
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
 
     fs, root = pafs.FileSystem.from_uri(url)
     fs.create_dir(root)
-    ordered.select("chunk", "part", "blob").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return [unpack(r.blob) for r in ordered.mapInArrow(run, "blob binary").collect()]  # one row a counting task
 
 
-def _read_blobs(fs, root: str, chunk: int) -> list[list[np.ndarray]]:
-    with fs.open_input_stream(f"{root}/{chunk}.blobs") as f:
-        raw = f.read()
+def _read_blobs(url: str, chunk: int) -> list[list[np.ndarray]]:
+    fs, root = pafs.FileSystem.from_uri(url)
+    try:
+        with fs.open_input_stream(f"{root}/{chunk}.blobs") as f:
+            raw = f.read()
+    except FileNotFoundError:  # it sent nothing
+        return []
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    sizes = np.frombuffer(raw, "<i8", n, 8).tolist()
     at, out = 8 + 8 * n, []
-    for s in sizes:
+    for s in np.frombuffer(raw, "<i8", n, 8).tolist():
         out.append(unpack(raw[at : at + s]))
         at += s
     return out
 
 
-def _numbers(fs, root: str, chunk: int, n_words: int, hashes: bytes, p: int, ends: int) -> tuple[np.ndarray, np.ndarray]:
-    """(global number, count) of each of the chunk's words; the first is the end."""
-    gid, count = np.zeros(n_words + 1, np.uint64), np.zeros(n_words + 1, np.int64)
-    count[0] = ends
-    part = np.frombuffer(hashes, "<u8") % np.uint64(p)
-    order = np.argsort(part, kind="stable")
-    if n_words:
-        back = _read_blobs(fs, root, chunk)
-        gid[1:][order] = np.concatenate([b[0] for b in back])
-        count[1:][order] = np.concatenate([b[1] for b in back]).astype(np.int64)
-    return gid, count
-
-
-def _pairs(h, w, train, doc, gid, count, p: int, total: int):
-    """The chunk's distinct pairs in the order in which they are sent.
-
-    Returns (pair of each token, context, word, training count, target partition, hot) with contexts and words by the
-    chunk's numbers. A context with more than total / p tokens is hot: it goes to several partitions, by word."""
-    width = len(gid)
-    keys, which = np.unique(h * width + w, return_inverse=True)
-    c = np.bincount(which, weights=train[doc], minlength=len(keys)).astype(np.int64)
-    hh, ww = keys // width, keys % width
-    spread = -(-count * p // max(1, total)) + 1
-    hot = count[hh] * p > total
-    at = mix64(gid[hh] + np.uint64(1))
-    at = np.where(hot, at + mix64(gid[ww] + np.uint64(1)) % np.where(hot, spread[hh], 1).astype(np.uint64), at) % np.uint64(p)
-    order = np.argsort(at, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return place[which], hh[order], ww[order], c[order], at[order].astype(np.int64), hot[order]
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
-    spark = docs.sparkSession
-    p = max(1, parts(spark))
-    chunks = written(make_chunks(docs), "chunks")
-    words_url, pairs_url = scratch(spark, "words"), scratch(spark, "pairs")
-
-    def send_words(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                chunk, texts, tokens, hashes = (batch.column(i)[row].as_py() for i in (0, 2, 3, 4))
-                h, w, doc, train = _tokens(texts, tokens)
-                x = np.frombuffer(hashes, "<u8")
-                c = np.bincount(w, weights=train[doc], minlength=len(x) + 1)[1:].astype(np.uint64)
-                part = (x % np.uint64(p)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(p + 1))
-                rows = [(k, x[order[i:j]], c[order[i:j]]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-                yield _packed(chunk, rows)
-
-    def count_words(batches):
+def _count_words(p: int):
+    def run(batches):
         chunk_of, xs, cs, own = [], [], [], 0
         for batch in batches:
             for chunk, part, blob in zip(*[c.to_pylist() for c in batch.columns]):
@@ -274,130 +376,126 @@ def score(docs: DataFrame) -> DataFrame:
         c = np.bincount(which, weights=np.concatenate(cs).astype(float), minlength=len(uniq)).astype(np.int64)
         rank = np.empty(len(uniq), np.int64)
         rank[np.argsort(-c, kind="stable")] = np.arange(len(uniq))
-        gid = (1 + rank * p + own).astype(np.uint64)
+        gid = 1 + rank * p + own
         cuts = np.cumsum([0, *map(len, xs)])
         for chunk, i, j in zip(chunk_of, cuts[:-1], cuts[1:]):
-            yield _packed(chunk, [(own, gid[which[i:j]], c[which[i:j]].astype(np.uint64))])
+            yield _packed(chunk, [(own, gid[which[i:j]], c[which[i:j]])])
         few = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
-        yield _packed(-1, [(own, np.array([c.sum(), (c > 0).sum(), *few], np.uint64))])
+        yield _packed(-1, [(own, np.array([c.sum(), (c > 0).sum(), *few]))])
 
+    return run
+
+
+def _count_grams(n: int, last: bool):
+    """Counts of order ``n`` in one partition. A negative chunk brings the numbers of the n-grams that weren't sent."""
+
+    def run(batches):
+        chunk_of, ctx, runs, hots, ws, W, C, L, own = [], [], [], [], [], [], [], [], 0
+        few = np.zeros(K + 1, np.int64)
+        for batch in batches:
+            for chunk, part, blob in zip(*[c.to_pylist() for c in batch.columns]):
+                got, own = unpack(blob), part
+                if chunk < 0:
+                    few += got[0].astype(np.int64)
+                    continue
+                chunk_of.append(chunk)
+                ctx.append(got[: n - 1])
+                hot, run_, w, wi, c, low = got[n - 1 :]
+                for to, x in ((hots, hot), (runs, run_.astype(np.int64)), (ws, w), (W, w[wi.astype(np.int64)]), (C, c), (L, low)):
+                    to.append(x)
+        if chunk_of:
+            contexts, number = _number([np.concatenate([c[k] for c in ctx]) for k in range(n - 1)])
+            h = np.repeat(number, np.concatenate(runs))
+            words = np.unique(np.concatenate(ws))
+            keys, which = np.unique(h * len(words) + np.searchsorted(words, np.concatenate(W)), return_inverse=True)
+            c = np.bincount(which, weights=np.concatenate(C).astype(float), minlength=len(keys)).astype(np.int64)
+            shared = np.zeros(len(keys), np.int64) if last else (np.bincount(which, minlength=len(keys)) > 1).astype(np.int64)
+            low = np.zeros(len(keys), np.int64)
+            low[which] = np.concatenate(L).astype(np.int64)
+            seen, below = _sums(keys // len(words), c, low, len(contexts[0]))
+            cuts, ends = np.cumsum([0, *map(len, W)]), np.cumsum([0, *map(len, runs)])
+            for chunk, i, j, a, b in zip(chunk_of, cuts[:-1], cuts[1:], ends[:-1], ends[1:]):
+                s = number[a:b]
+                yield _packed(chunk, [(own, c[which[i:j]], shared[which[i:j]], *seen[s].T, *below[s].T)])
+            few += np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
+            s = np.unique(number[np.concatenate(hots) > 0])
+            yield _packed(-1, [(own, few, *[x[s] for x in contexts], *seen[s].T, *below[s].T)])
+        elif few.any():
+            yield _packed(-1, [(own, few)])
+
+    return run
+
+
+def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
+    if order < 2:
+        raise ValueError("the order must be 2 at least")
+    spark = docs.sparkSession
+    chunks = written(make_chunks(docs, chunk_bytes), "chunks")
+    p = max(1, parts(spark), -(-chunks.count() // CHUNKS_A_PART))
+    urls = {n: scratch(spark, f"grams-{n}") for n in range(1, order + 1)}
     ends = docs.where(crc_mod("doc_id", 10) != 0).count()
-    sent = chunks.mapInArrow(send_words, "chunk long, part int, blob binary")
-    back = written(sent.repartitionById(p, "part").mapInArrow(count_words, "chunk long, part int, blob binary"), "counted")
-    _by_chunk(back, words_url, p)
-    stats = [unpack(r.blob)[0].astype(np.int64) for r in back.where("chunk < 0").select("blob").collect()]  # one row a partition
+
+    def send_words(batches):
+        for batch in batches:
+            for chunk, _, *blobs in zip(*[c.to_pylist() for c in batch.columns]):
+                yield _packed(chunk, Chunk(*blobs).word_rows(p))
+
+    stats = [s[0].astype(np.int64) for s in _round(chunks.mapInArrow(send_words, MESSAGE), _count_words(p), urls[1], p)]
+    release(spark)
     stats = np.sum([*stats, np.zeros(K + 3, np.int64)], axis=0)
     total, distinct, few = int(stats[0]) + ends, int(stats[1]) + (ends > 0), stats[2:].copy()
     if 0 < ends <= K + 1:
         few[ends - 1] += 1
     uni = Unigrams(few.tolist(), total, distinct, few[:K]) if total else None
 
-    def loaded(batch):
-        fs, root = pafs.FileSystem.from_uri(words_url)
-        for row in range(batch.num_rows):
-            chunk, docs_, texts, tokens, hashes = (c[row].as_py() for c in batch.columns)
-            h, w, doc, train = _tokens(texts, tokens)
-            gid, count = _numbers(fs, root, chunk, len(hashes) // 8, hashes, p, ends)
-            yield chunk, docs_, h, w, doc, train, gid, count, _pairs(h, w, train, doc, gid, count, p, total)
-
-    def send_pairs(batches):
-        for batch in batches:
-            for chunk, _, h, w, doc, train, gid, count, (_, hh, ww, c, at, hot) in loaded(batch):
-                cuts = np.searchsorted(at, np.arange(p + 1))
-                rows = []
-                for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                    if j > i:
-                        hs, hi = np.unique(hh[i:j], return_inverse=True)
-                        ws, wi = np.unique(ww[i:j], return_inverse=True)
-                        is_hot = np.zeros(len(hs), np.uint64)
-                        is_hot[hi] = hot[i:j]
-                        rows.append((k, gid[hs], is_hot, np.bincount(hi).astype(np.uint64), gid[ws], count[ws].astype(np.uint64), wi.astype(np.uint64), c[i:j].astype(np.uint64)))
-                yield _packed(chunk, rows)
-
-    def count_pairs(batches):
-        chunk_of, H, W, C, hots, seen_w, seen_c, own = [], [], [], [], [], [], [], 0
-        for batch in batches:
-            for chunk, part, blob in zip(*[c.to_pylist() for c in batch.columns]):
-                hs, is_hot, runs, ws, cw, wi, c = unpack(blob)
-                # In a blob the pairs are sorted by the chunk's own context numbers, so runs rebuild the contexts.
-                H.append(np.repeat(hs, runs.astype(np.int64)))
-                W.append(ws[wi.astype(np.int64)])
-                C.append(c.astype(np.int64))
-                hots.append(hs[is_hot > 0])
-                seen_w.append(ws)
-                seen_c.append(cw)
-                chunk_of.append((chunk, hs))
-                own = part
-        if not H:
-            return
-        contexts, hi = np.unique(np.concatenate(H), return_inverse=True)
-        words, first = np.unique(np.concatenate(seen_w), return_index=True)
-        cw = np.concatenate(seen_c)[first]
-        wi = np.searchsorted(words, np.concatenate(W))
-        keys, which = np.unique(hi.astype(np.int64) * len(words) + wi, return_inverse=True)
-        c = np.bincount(which, weights=np.concatenate(C), minlength=len(keys)).astype(np.int64)
-        k_h, k_w = keys // len(words), keys % len(words)
-        seen = c > 0
-        small = np.stack([np.bincount(k_h[c == r], minlength=len(contexts)) for r in range(1, K + 1)])
-        big = np.bincount(k_h[c > K], weights=c[c > K], minlength=len(contexts)).astype(np.int64)
-        mass = np.bincount(k_h[seen], weights=uni.prob(cw[k_w[seen]]), minlength=len(contexts)) if uni else np.zeros(len(contexts))
-        cuts = np.cumsum([0, *map(len, H)])
-        for (chunk, hs), i, j in zip(chunk_of, cuts[:-1], cuts[1:]):
-            s = np.searchsorted(contexts, hs)
-            yield _packed(chunk, [(own, c[which[i:j]].astype(np.uint64), *[x[s].astype(np.uint64) for x in small], big[s].astype(np.uint64), mass[s])])
-        few = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
-        hot = np.unique(np.concatenate(hots))
-        s = np.searchsorted(contexts, hot)
-        yield _packed(-1, [(own, few.astype(np.uint64), hot, *[x[s].astype(np.uint64) for x in small], big[s].astype(np.uint64), mass[s])])
-
-    pairs = chunks.mapInArrow(send_pairs, "chunk long, part int, blob binary").repartitionById(p, "part")
-    back = written(pairs.mapInArrow(count_pairs, "chunk long, part int, blob binary"), "pair-counts")
-    _by_chunk(back, pairs_url, p)
-    few, hot = np.zeros(K + 1, np.int64), {}
-    for r in back.where("chunk < 0").select("blob").toLocalIterator():  # one row a partition, two hot contexts in it on average at most
-        got = unpack(r.blob)
-        few += got[0].astype(np.int64)
-        for i, g in enumerate(got[1].tolist()):
-            hot[g] = hot.get(g, 0) + np.array([x[i] for x in got[2:]], float)
-    d2 = discounts(few.tolist())
-    hot_ids = np.array(sorted(hot), np.uint64)
-    hot_sums = np.array([hot[g] for g in sorted(hot)]).reshape(len(hot), K + 2)
+    def loaded(chunk, blobs, upto, hot):
+        """A chunk with what came back for the orders below ``upto``, and the n-grams of that order."""
+        made = Chunk(*blobs)
+        made.take_words(_read_blobs(urls[1], chunk), p, ends)
+        for n in range(2, upto + 1):
+            made.build(n, p, total)
+            if n < upto:
+                made.take_grams(n, _read_blobs(urls[n], chunk), hot[n])
+        return made
+
+    def sender(n, hot):
+        def send(batches):
+            for batch in batches:
+                for chunk, _, *blobs in zip(*[c.to_pylist() for c in batch.columns]):
+                    rows, rest = loaded(chunk, blobs, n, hot).gram_rows(n)
+                    yield _packed(chunk, rows)
+                    yield _packed(-1, [(chunk % p, rest)])
+
+        return send
+
+    ds, hot = {}, {}
+    for n in range(2, order + 1) if total else []:
+        few, sums = np.zeros(K + 1, np.int64), {}
+        # One summary a partition, with two hot contexts in it on average at most.
+        for got in _round(chunks.mapInArrow(sender(n, dict(hot)), MESSAGE), _count_grams(n, n == order), urls[n], p):
+            few += got[0].astype(np.int64)
+            for row in zip(*[x.tolist() for x in got[1:]]):
+                key = row[: n - 1]
+                sums[key] = sums.get(key, 0) + np.array(row[n - 1 :], np.int64)
+        ds[n], hot[n] = discounts(few.tolist()), sums
+        release(spark)
 
     def finish(batches):
-        fs, root = pafs.FileSystem.from_uri(pairs_url)
         for batch in batches:
-            for chunk, doc_ids, h, w, doc, train, gid, count, (place, hh, ww, c, at, _) in loaded(batch):
-                n = len(doc_ids)
-                p1 = uni.prob(count[w]) if uni else np.ones(len(w))
-                base = np.log10((count[w] + 0.1) / (total + 0.1 * (distinct + 1)))
-                logp = np.log10(p1)
-                if uni and len(w):
-                    pair_c, sums = np.empty(len(hh), np.int64), np.zeros((len(gid), K + 2))
-                    at_cut = np.searchsorted(at, np.unique(at), side="left").tolist() + [len(at)]
-                    for b, i, j in zip(_read_blobs(fs, root, chunk), at_cut[:-1], at_cut[1:]):
-                        pair_c[i:j] = b[0].astype(np.int64)
-                        sums[np.unique(hh[i:j])] = np.stack(b[1:], 1).astype(float)
-                    if len(hot_ids):
-                        spot = np.minimum(np.searchsorted(hot_ids, gid), len(hot_ids) - 1)
-                        is_hot = hot_ids[spot] == gid
-                        sums[is_hot] = hot_sums[spot[is_hot]]
-                    # ``count`` of number 0 is that of the end, which is that of the start too.
-                    r = np.arange(1, K + 1)
-                    kept = (sums[:, :K] * r * d2[1:]).sum(1) + sums[:, K]
-                    lost = (sums[:, :K] * r * (1 - d2[1:])).sum(1)
-                    plain = lost <= 0
-                    scale = np.where(plain, count + 1, np.maximum(count, 1)).astype(float)
-                    left = np.where(plain, 1 / scale, lost / scale)
-                    alpha = np.where(count > 0, left / (1 - sums[:, K + 1]), 1.0)
-                    cc = pair_c[place]
-                    disc = np.where((cc <= K) & ~plain[h], d2[np.minimum(cc, K)], 1.0)
-                    logp = np.where(cc > 0, np.log10(np.maximum(disc * cc / scale[h], 1e-300)), np.log10(alpha[h]) + logp)
+            for chunk, doc_ids, *blobs in zip(*[c.to_pylist() for c in batch.columns]):
+                made = loaded(chunk, blobs, order if uni else 1, hot)
+                if uni:
+                    made.take_grams(order, _read_blobs(urls[order], chunk), hot[order])
+                c, doc, n = made.count[made.w], made.doc, made.texts
+                base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+                logp = made.log_probs(uni, ds) if uni else np.zeros(len(c))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_ids, pa.int64()),
-                        pa.array(train == 0),
+                        pa.array(made.is_train == 0),
                         pa.array(np.bincount(doc, minlength=n)),
-                        pa.array(np.bincount(doc[count[w] > 0], minlength=n)),
+                        pa.array(np.bincount(doc[c > 0], minlength=n)),
                         pa.array(np.full(n, total)),
                         pa.array(np.bincount(doc, weights=base, minlength=n)),
                         pa.array(np.bincount(doc, weights=logp, minlength=n)),
