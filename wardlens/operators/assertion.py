@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import phrase_map
+from ..functions.text import _let
 from .sections import negative_findings
 
 NEGATION_CAP = 8
@@ -68,15 +69,13 @@ def profile(name: str = "default", **overrides) -> Config:
 
 def phrase_spans(tokens: Column) -> Column:
     """Every span that spells a lexicon's phrase: array<struct<attr, role, phrase, s, e>>."""
-    norms = F.transform(tokens, lambda t: t["norm"])
 
-    def at(t: Column, i: Column) -> Column:
-        some = F.coalesce(F.try_element_at(phrase_map(), t["norm"]), F.expr("cast(array() AS array<struct<attr:string,role:string,phrase:string,n:int>>)"))
-        real = F.filter(some, lambda p: F.concat_ws(" ", F.slice(F.transform(tokens, lambda t: t["norm"]), i + 1, p["n"])) == p["phrase"])
+    def at(norms: Column, norm: Column, i: Column) -> Column:
+        some = F.coalesce(F.try_element_at(phrase_map(), norm), F.expr("cast(array() AS array<struct<attr:string,role:string,phrase:string,n:int>>)"))
+        real = F.filter(some, lambda p: F.concat_ws(" ", F.slice(norms, i + 1, p["n"])) == p["phrase"])
         return F.transform(real, lambda p: F.struct(p["attr"].alias("attr"), p["role"].alias("role"), p["phrase"].alias("phrase"), i.cast("int").alias("s"), (i + p["n"]).cast("int").alias("e")))
 
-    del norms
-    return F.flatten(F.transform(tokens, at))
+    return _let(F.transform(tokens, lambda t: t["norm"]), lambda norms: F.flatten(F.transform(norms, lambda n, i: at(norms, n, i))))
 
 
 def of_role(spans: Column, attr: str, *roles: str) -> Column:
