@@ -1,18 +1,21 @@
 """Toxicity (operator 3): weak supervision.
 
-1. Voters. Term lists vote on a text: words and word stems (first 4 to 8 letters). Lists in four languages are built in;
-   further terms are those that labelled training rows tie to the label (log odds with their standard error). Each kind
-   of term gives two voters (one hit, two hits), the four languages' lists together; one pattern (shouting) is a voter too.
+1. Voters. Seven are built in: a list for each of four languages, two hits of any of them, shouting, and an insult at the reader
+   ("you", "du", "tu" next to a listed word). The other eighteen are lexicons of terms that labelled training rows tie to the label
+   (log odds with their standard error): one of words, five of words' first 4 to 8 letters, each with one, two and four hits.
 2. Label model. A latent two-class model of the voters' patterns is fitted by expectation maximisation: each voter's rate of
-   firing in either class (its accuracies), and the correlations that remain given the class, by which the weight of
-   voters that repeat each other is shared. The training rows' own labels are one more voter, of set accuracy
-   (``LABEL_RATES``), which ties the latent class to toxicity rather than to the largest group of like texts.
-3. Classifier. Logistic regression on the terms, with the label model's posteriors as soft labels.
+   firing in either class (its accuracies, with beta priors), and the correlations that remain given the class, by which the weight of
+   voters that repeat each other is shared. The rows' own labels set where it starts and the priors of the voters' rates; no label
+   votes, and the posteriors come from the voters alone.
+3. Classifier. Logistic regression on the terms, with the label model's posteriors as soft labels; its scores are then calibrated
+   (two numbers) on the training rows.
 
 The fit uses at most ``SAMPLE`` labelled rows (those with the least hash of doc_id), so its cost and what is broadcast (at most
-``TERMS`` terms with weights) are the same at any size; every text is scored whole, in the task that reads it.
+``TERMS`` terms with weights) are the same at any size; every text is scored whole, in the task that reads it. What can be
+chosen here (``PRIOR``, ``HITS``, ``STEMS``, the thresholds) was chosen by four folds inside the training rows.
 
-Edge cases: a null or empty text has no terms and gets the score of the intercept; repeated rows get equal scores; labels
+Edge cases: a null or empty text has no terms and gets the score of the intercept; a very long text is a slice of its own and
+counted whole; ties among terms are broken by kind and spelling, so no order of rows matters; repeated rows get equal scores; labels
 of unknown documents are ignored, several labels of one document count as toxic if one is; without labelled rows
 the built-in lists alone decide; an empty table gives no rows; other columns are ignored. A null doc_id counts as the
 text '' in the fold test.
@@ -29,17 +32,21 @@ from pyspark.sql import functions as F
 from .common import byte_slices, crc_mod, split_words, table
 
 SAMPLE, TERMS = 20_000, 4_096
-LEAST_DOCS, LEAST_Z, LEAST_LOG_ODDS = 5, 3.0, 2.5
+LEAST_DOCS, LEAST_Z, LEAST_LOG_ODDS = 4, 2.5, 2.5
 STEMS = (4, 5, 6, 7, 8)
-#: How often the given label is 1 where the latent class is 0, and 1.
-LABEL_RATES = (0.01, 0.98)
-LEXICON = set(
+HITS = (1, 2, 4)
+PRIOR = 10.0
+LEXICONS = [
     "idiot idiots moron morons stupid loser losers pathetic worthless scum trash garbage clown disgusting imbecile dumbass bastard "
-    "bitch asshole retard retarded vermin subhuman filth filthy whore slut crap bullshit fuck fucking shit dickhead jerk scumbag "
-    "dumm dummkopf idioten trottel arschloch scheiße scheisse abschaum wertlos widerlich versager drecksack hurensohn schlampe "
-    "stupide imbécile connard connasse salaud salope merde ordure pathétique dégoûtant minable crétin abruti débile pourriture "
-    "estúpido estúpida imbécil basura escoria patético asqueroso perdedor inútil gilipollas cabrón puta mierda payaso tarado".split()
-)
+    "bitch asshole retard retarded vermin subhuman filth filthy whore slut crap bullshit fuck fucking shit dickhead jerk scumbag",
+    "dumm dummkopf idioten trottel arschloch scheiße scheisse abschaum wertlos widerlich versager drecksack hurensohn schlampe",
+    "stupide imbécile connard connasse salaud salope merde ordure pathétique dégoûtant minable crétin abruti débile pourriture",
+    "estúpido estúpida imbécil basura escoria patético asqueroso perdedor inútil gilipollas cabrón puta mierda payaso tarado",
+]
+LEXICONS = [frozenset(x.split()) for x in LEXICONS]
+LEXICON = frozenset().union(*LEXICONS)
+READER = frozenset("you your youre you're u du dich dir dein deine tu toi te ton ta vous tú eres usted".split())
+BUILT_IN = len(LEXICONS) + 3
 TRIM = ".,;:!?\"'()[]{}<>«»“”‘’…-—*_|"
 
 
@@ -67,8 +74,8 @@ class Terms:
         self.terms = terms
         self.sets = {k: [(i, t) for i, (kind, t) in enumerate(terms) if kind == k] for k in ("w", *(f"s{k}" for k in STEMS))}
 
-    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, count), and by text: a matrix of (share of capitals > 0.5, hits of the built-in list)."""
+    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(text, term, count), and texts by built-in voters: 1 where one fires."""
         words, codes, off = term_rows(texts)
         n = len(off) - 1
         doc = np.repeat(np.arange(n), np.diff(off))
@@ -82,38 +89,59 @@ class Terms:
                 keys.append(doc[ids >= 0] * len(self.terms) + ids[ids >= 0])
         keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         keys, count = np.unique(keys, return_counts=True)
-        listed = pc.is_in(words, value_set=pa.array(sorted(LEXICON), words.type)).to_numpy(zero_copy_only=False)[codes] if len(words) else np.zeros(0, bool)
-        fired = np.bincount(doc[listed], minlength=n)
-        return np.stack([keys // max(1, len(self.terms)), keys % max(1, len(self.terms)), count], 1), fired, np.diff(off)
+        fired = np.zeros((n, BUILT_IN), np.int8)
+        among = lambda own: pc.is_in(words, value_set=pa.array(sorted(own), words.type)).to_numpy(zero_copy_only=False)[codes] if len(words) else np.zeros(0, bool)
+        listed = np.zeros(len(codes), bool)
+        for k, own in enumerate(LEXICONS):
+            here = among(own)
+            fired[:, k] = np.bincount(doc[here], minlength=n) > 0
+            listed |= here
+        fired[:, -3] = np.bincount(doc[listed], minlength=n) > 1
+        fired[:, -2] = _loud(texts)
+        near = among(READER)
+        beside = np.flatnonzero((near[1:] & listed[:-1] | near[:-1] & listed[1:]) & (doc[1:] == doc[:-1]))
+        fired[doc[beside], -1] = 1
+        width = max(1, len(self.terms))
+        return np.stack([keys // width, keys % width, count], 1), fired
+
+
+def _voters(terms: list[tuple[str, str]], doc: np.ndarray, term: np.ndarray, times: np.ndarray, fired: np.ndarray) -> np.ndarray:
+    """Texts by voters: the built-in ones, then each kind of term with as many hits as HITS says."""
+    kind, out = np.array([k for k, _ in terms]), [fired]
+    for k in ("w", *(f"s{k}" for k in STEMS)):
+        own = kind[term] == k
+        total = np.bincount(doc[own], weights=times[own], minlength=len(fired))
+        out += [(total >= least)[:, None] for least in HITS]
+    return np.concatenate(out, 1).astype(np.int8)
 
 
-def _voters(terms: list[tuple[str, str]], hits: np.ndarray, fired: np.ndarray, loud: np.ndarray) -> np.ndarray:
-    """Texts by voters: 1 where a voter fires."""
-    n = len(fired)
-    out = [fired >= 1, fired >= 2, loud]
-    kind = np.array([k for k, _ in terms]) if terms else np.zeros(0, "<U2")
-    for k in ("w", *(f"s{k}" for k in STEMS)):
-        own = hits[kind[hits[:, 1]] == k] if len(hits) else hits
-        total = np.bincount(own[:, 0], weights=own[:, 2], minlength=n) if len(own) else np.zeros(n)
-        out += [total >= 1, total >= 2]
-    return np.stack(out, 1).astype(np.int8)
+def calibrated(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """(a, b) of the logistic regression of y on z, by Newton's method with a small ridge."""
+    w = np.array([1.0, 0.0])
+    x = np.stack([z, np.ones(len(z))])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        w -= np.linalg.solve((x * p * (1 - p)) @ x.T + 1e-3 * np.eye(2), x @ (p - y) + 1e-3 * (w - [1, 0]))
+    return float(w[0]), float(w[1])
+
 
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, dict]:
+    """Posteriors of the latent class for each row, and the fitted rates and correlations.
 
-def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int = 100) -> tuple[np.ndarray, dict]:
-    """Posteriors of the latent class for each row, and the fitted rates and correlations."""
-    patterns, which, count = np.unique(np.column_stack([votes, given]), axis=0, return_inverse=True, return_counts=True)
+    ``start``: where the class is taken to be 1 at first. It sets the first rates and the class's share; after that only votes count."""
+    patterns, which, count = np.unique(np.column_stack([votes, start]), axis=0, return_inverse=True, return_counts=True)
     which = which.reshape(-1)
-    x, g, c = patterns[:, :-1].astype(float), patterns[:, -1].astype(float), count.astype(float)
+    x, post, c = patterns[:, :-1].astype(float), np.clip(patterns[:, -1].astype(float), 0.02, 0.98), count.astype(float)
+    prior = np.clip((c @ post) / c.sum(), 0.001, 0.999)
+    # Beta priors of the rates: those of the start, worth PRIOR times the rows, and kept off 0 and 1.
+    first = np.stack([c * (1 - post), c * post])
+    a, b = PRIOR * (first @ x) + np.array([[0.5], [1.0]]), PRIOR * first.sum(1) + 10
     share = np.ones(x.shape[1])
-    low, high = LABEL_RATES
-    label = g * np.log(high / low) + (1 - g) * np.log((1 - high) / (1 - low))
-    post = np.clip(0.5 * g + 0.5 * x.mean(1), 0.02, 0.98)
     rates = corr = None
     for step in range(rounds):
         w1, w0 = c * post, c * (1 - post)
-        # Two pseudo-counts keep rates off 0 and 1; they lean to "voters fire more in class 1".
-        rates = np.stack([(w0 @ x + 0.5) / (w0.sum() + 10), (w1 @ x + 2) / (w1.sum() + 4)])
-        if step % 10 == 9:
+        rates = np.stack([(w0 @ x + a[0]) / (w0.sum() + b[0]), (w1 @ x + a[1]) / (w1.sum() + b[1])])
+        if step % 10 == 0:
             corr = np.zeros((x.shape[1], x.shape[1]))
             for r, w in ((rates[0], w0), (rates[1], w1)):
                 d = x - r
@@ -121,12 +149,11 @@ def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int
                 corr += (d.T * w) @ d / np.outer(s, s) * (w.sum() / c.sum())
             np.fill_diagonal(corr, 0)
             share = 1 / (1 + np.clip(corr, 0, 1).sum(1))
-        logit = np.log(prior / (1 - prior)) + label + (x * np.log(rates[1] / rates[0]) + (1 - x) * np.log((1 - rates[1]) / (1 - rates[0]))) @ share
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if step > 30 and np.abs(new - post).max() < 1e-6:
-            post = new
+        fires, quiet = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
+        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + (x * fires + (1 - x) * quiet) @ share, -30, 30)))
+        done, post = step > 20 and np.abs(new - post).max() < 1e-6, new
+        if done:
             break
-        post = new
     return post[which], {"rates": rates, "correlations": corr, "share": share}
 
 
@@ -154,7 +181,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, fold: int, held: int
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray]:
-    """(terms, weights): the weights of the terms, of the built-in list's hits, of loudness, and the intercept."""
+    """(terms, weights): the weights of the terms, of the built-in voters, and the intercept."""
     known = sample(docs, labels, "toxic", 5, 0, SAMPLE)
 
     def count(batches):
@@ -188,33 +215,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray]:
         top = found.where(F.col("pos") >= LEAST_DOCS).select("kind", "term", odds.alias("odds"), z.alias("z")).where((F.col("odds") > LEAST_LOG_ODDS) & (F.col("z") > LEAST_Z))
         terms = [(r.kind, r.term) for r in top.orderBy(F.desc("z"), "kind", "term").limit(TERMS).collect()]
     if not terms:
-        return [], np.array([3.0, 0.0, -2.5])
+        return [], np.array([3.0] * (BUILT_IN - 2) + [0.0, 3.0, -2.5])
     use = Terms(terms)
 
     def rows(batches):
         for batch in batches:
             for a, b in byte_slices(batch.column(0), 8_000_000):
-                texts = batch.column(0).slice(a, b - a)
-                hits, fired, _ = use.hits(texts)
-                loud = _loud(texts)
+                hits, fired = use.hits(batch.column(0).slice(a, b - a))
                 ends = np.searchsorted(hits[:, 0], np.arange(len(fired) + 1))
-                lists = [hits[i:j, 1].tolist() for i, j in zip(ends[:-1], ends[1:])]
-                counts = [hits[i:j, 2].tolist() for i, j in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(fired, pa.int64()), pa.array(loud), batch.column(1).slice(a, b - a)], ["terms", "counts", "fired", "loud", "y"])
+                lists = [pa.array([hits[i:j, k].tolist() for i, j in zip(ends[:-1], ends[1:])], pa.list_(pa.int32())) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([r.tobytes() for r in fired], pa.binary()), batch.column(1).slice(a, b - a)], ["terms", "times", "fired", "y"])
 
-    got = known.mapInArrow(rows, "terms array<int>, counts array<int>, fired long, loud boolean, y int").toArrow()  # at most SAMPLE rows
+    got = known.mapInArrow(rows, "terms array<int>, times array<int>, fired binary, y int").toArrow()  # at most SAMPLE rows
     lens = pc.list_value_length(got.column("terms")).to_numpy()
     n = len(lens)
-    doc = np.repeat(np.arange(n), lens)
-    term, cnt = (got.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "counts"))
-    fired, loud = got.column("fired").to_numpy(), got.column("loud").to_numpy()
-    votes = _voters(terms, np.stack([doc, term, cnt], 1), fired, loud)
-    post, _ = label_model(votes, got.column("y").to_numpy(), n1 / (n1 + n0))
-    width = len(terms) + 2
-    r = np.concatenate([doc, np.flatnonzero(fired), np.flatnonzero(loud)])
-    c = np.concatenate([term, np.full((fired > 0).sum(), width - 2), np.full(loud.sum(), width - 1)])
-    v = np.concatenate([np.ones(len(term)), np.ones((fired > 0).sum()), np.ones(loud.sum())])
-    return terms, logistic(r, c, v, n, width, post)
+    doc, (term, times) = np.repeat(np.arange(n), lens), (got.column(c).combine_chunks().flatten().to_numpy() for c in ("terms", "times"))
+    y = got.column("y").to_numpy()
+    fired = np.frombuffer(b"".join(got.column("fired").to_pylist()), np.int8).reshape(n, BUILT_IN)
+    post, _ = label_model(_voters(terms, doc, term, times, fired), y)
+    width = len(terms) + BUILT_IN
+    r, c = np.nonzero(fired)
+    r, c = np.concatenate([doc, r]), np.concatenate([term, len(terms) + c])
+    w = logistic(r, c, np.ones(len(r)), n, width, post)
+    slope, shift = calibrated(w[-1] + np.bincount(r, weights=w[c], minlength=n), y)
+    w = w * slope
+    w[-1] += shift
+    return terms, w
 
 
 def _loud(texts: pa.Array) -> np.ndarray:
@@ -233,11 +259,10 @@ def score(docs: DataFrame, terms: list, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             for a, b in byte_slices(batch.column(1), 8_000_000):
                 texts = batch.column(1).slice(a, b - a)
-                hits, fired, _ = use.hits(texts)
-                z = np.full(len(fired), weights[-1])
+                hits, fired = use.hits(texts)
+                z = weights[-1] + fired @ weights[-1 - BUILT_IN : -1]
                 if len(hits):
                     z += np.bincount(hits[:, 0], weights=weights[hits[:, 1]], minlength=len(fired))
-                z += weights[-3] * (fired > 0) + weights[-2] * _loud(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
