@@ -3,12 +3,14 @@
 A text's terms are its byte trigrams, the trigrams of its shape (letters, capitals, digits and others as classes) and
 classes of repetition, hashed to ``WIDTH`` columns; damped counts are weighted by inverse document frequency and projected on the
 leading singular vectors of the labelled sample. Every document's cosine with every labelled vector is computed, in
-blocks, and its ``NEIGHBOURS`` nearest vote with their similarity.
+blocks, and its ``NEIGHBOURS`` nearest, with all that tie with the last of them, vote with their similarity's 8th power.
 
 The labelled sample has at most ``SAMPLE`` rows (those with the least hash of doc_id), so what each task receives has a fixed
-bound: SAMPLE x RANK and WIDTH x RANK 32-bit numbers. Every text is read whole; nothing is shuffled.
+bound: SAMPLE x RANK and WIDTH x RANK 32-bit numbers; the driver gets the sample's counts, not its texts. Every text is read
+whole; nothing is shuffled.
 
-Edge cases: a null or empty text has a zero vector and gets the sample's share of label 1; repeated rows get equal scores;
+Edge cases: a null or empty text has a zero vector and gets the sample's share of label 1; a very long text is counted whole, as a
+slice of its own, at about 20 bytes of memory a byte of text; repeated rows get equal scores;
 of several labels of a document the highest counts; without labelled rows every score is 0.5; an empty table gives no rows;
 other columns are ignored; a null doc_id counts as the text '' in the fold test.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import byte_slices, crc_mod, split_words, table
 from .toxicity import sample
 
-SAMPLE, RANK, NEIGHBOURS, POWER = 4_096, 64, 25, 8
+SAMPLE, RANK, NEIGHBOURS = 4_096, 64, 25  # similarities vote with their 8th power
 RAW, SHAPE, REPEAT = 4_096, 1_024, 64
 WIDTH = RAW + SHAPE + REPEAT
 _CLASS = np.arange(256, dtype=np.uint32)
@@ -80,23 +82,37 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(x), block):
             v = self.embed(x[i : i + block])
-            cos = v @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < cos.shape[1] else np.tile(np.arange(cos.shape[1]), (len(v), 1))
-            w = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** POWER
-            y = self.labels[near]
-            total = w.sum(1)
-            found = np.divide((w * y).sum(1), total, out=np.full(len(v), share), where=total > 0)
+            # Rounded, so that copies tie; all that tie with the last neighbour vote, so no order among them matters.
+            cos = np.round(v @ self.vectors.T, 5)
+            last = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+            w = np.where(cos >= last, np.maximum(cos, 0), 0)
+            for _ in range(3):
+                w *= w
+            total = w.sum(1, dtype=np.float64)
+            found = np.divide((w @ self.labels).astype(np.float64), total, out=np.full(len(v), share), where=total > 0)
             out[i : i + block] = np.clip(found, 0, 1)
         return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    got = sample(docs, labels, "quality", 3, 1, SAMPLE).toArrow()  # at most SAMPLE rows
-    if not got.num_rows:
+    def vectors(batches):
+        for batch in batches:
+            for a, b in byte_slices(batch.column(0), 4_000_000):
+                rows = counts(batch.column(0).slice(a, b - a))
+                full = [np.flatnonzero(r) for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i.astype("<u2").tobytes() for i in full], pa.binary()), pa.array([r[i].astype("<f4").tobytes() for r, i in zip(rows, full)], pa.binary()), batch.column(1).slice(a, b - a)],
+                    ["at", "value", "y"],
+                )
+
+    got = sample(docs, labels, "quality", 3, 1, SAMPLE).mapInArrow(vectors, "at binary, value binary, y int").collect()  # at most SAMPLE rows
+    if not got:
         return None
-    order = pc.sort_indices(got, [("text", "ascending"), ("y", "ascending")])
-    texts, y = got.column("text").combine_chunks().take(order), got.column("y").to_numpy()[order.to_numpy()].astype(np.float64)
-    x = np.concatenate([counts(texts.slice(a, b - a)) for a, b in byte_slices(texts, 4_000_000)])
+    got.sort(key=lambda r: (r.at, r.value, r.y))
+    x, y = np.zeros((len(got), WIDTH), np.float32), np.array([r.y for r in got], np.float32)
+    for row, r in zip(x, got):
+        row[np.frombuffer(r.at, "<u2")] = np.frombuffer(r.value, "<f4")
+    del got
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.1)
     x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
