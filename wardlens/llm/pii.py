@@ -4,8 +4,8 @@ Every surrogate is a keyed bijection of the original, so distinct originals stay
 same surrogate wherever it stands (coreference), without a table of entities:
 
 * a value's characters are digits of a mixed-radix number (digits, lower and upper case letters, hexadecimal digits, and
-  letters of other scripts each stay in their own alphabet; the rest stays as it is), and that number is permuted by a
-  Feistel network with cycle walking;
+  letters of other scripts each stay in their own alphabet; the rest stays as it is), and that number goes to the one after it
+  in an order that a Feistel network with cycle walking makes of the key: one cycle through all values, so none stays as it is;
 * card numbers that pass the Luhn test keep their first digit and pass it again; addresses of hosts stay valid, private
   ones in their network; an e-mail's local part and each label of its domain are mapped apart, so that one domain
   stays one domain;
@@ -15,10 +15,14 @@ same surrogate wherever it stands (coreference), without a table of entities:
 Names are found after titles and "name" phrases, and as pairs of a known first and last name. A second pass over a text in which
 names were found replaces every other whole-word mention of them in it: the full name, its last and its first name.
 
-``collisions`` tests the two properties on real output all the same.
+``checked`` tests the two properties on the output all the same, in a job of its own before anything is returned: the query and
+the pipeline's stage fail if a surrogate stands for two originals, or an original has two.
+
+The key is the caller's. The query and the stage take the setting ``spark.wardlens.pii.key``; where it is unset, a random key is
+drawn for the session, so nobody can turn the surrogates back, and another session's surrogates differ.
 
 Edge cases: null text stays null; texts without entities, empty ones included, are returned as they are; repeated rows get
-equal results; an empty table gives no rows; columns besides ``doc_id`` and ``text`` pass through ``replace_pii`` whatever
+equal results, ties included; a very long text is a slice of its own and replaced whole; an empty table gives no rows; columns besides ``doc_id`` and ``text`` pass through ``replace_pii`` whatever
 their names, and ``n_chars``, where there is one, is set to the new text's length if the text changed.
 """
 
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -84,17 +89,23 @@ class Surrogates:
             self.lists[what] = dict(zip(order, order[1:] + order[:1]))  # one cycle: nobody keeps a name
 
     def permute(self, x: int, n: int, tweak: str) -> int:
-        """A keyed bijection of 0 ... n - 1."""
-        if n < 2:
-            return x
+        """A keyed bijection of 0 ... n - 1 of one cycle: the value whose place in a keyed order is the next one."""
+        return self._place((self._place(x, n, tweak, False) + 1) % n, n, tweak, True) if n > 1 else x
+
+    def _place(self, x: int, n: int, tweak: str, back: bool) -> int:
+        """A Feistel network of 8 rounds, or its inverse, walked until it falls below n."""
         half = ((n - 1).bit_length() + 1) // 2
         mask = (1 << half) - 1
         size = (half + 7) // 8 + 8
         while True:
             left, right = x >> half, x & mask
-            for r in range(8):
+            for r in range(7, -1, -1) if back else range(8):
+                if back:
+                    left, right = right, left
                 h = hashlib.blake2b(b"%d|%s|%d" % (r, tweak.encode(), right), digest_size=min(64, size), key=self.key[:64]).digest()
-                left, right = right, left ^ (int.from_bytes(h * (1 + size // 64), "big") & mask)
+                left ^= int.from_bytes(h * (1 + size // 64), "big") & mask
+                if not back:
+                    left, right = right, left
             x = left << half | right
             if x < n:
                 return x
@@ -263,7 +274,17 @@ def luhn(d: str) -> bool:
 ENTITIES = "entities array<struct<kind:string,start:int,end:int,surrogate:string,digest:string>>"
 
 
-def replace_pii(docs: DataFrame, key: bytes = b"wardlens", text: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The setting's key, or a random one that lasts as long as the session."""
+    key = spark.conf.get("spark.wardlens.pii.key", None)
+    if key is not None:
+        return key.encode()
+    if not hasattr(spark, "_wardlens_key"):
+        spark._wardlens_key = secrets.token_bytes(32)
+    return spark._wardlens_key
+
+
+def replace_pii(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """The rows with surrogates in ``text`` and a column ``entities``: kind, span in the original, surrogate, keyed digest."""
     names = docs.columns
     at = names.index(text)
@@ -304,11 +325,23 @@ def collisions(replaced: DataFrame) -> DataFrame:
     return two.unionByName(e.groupBy("kind", F.col("digest").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
 
 
+def checked(replaced: DataFrame) -> DataFrame:
+    """``replaced`` as it is, once no collision was found in it. Texts are read a second time; nothing but the distinct pairs of
+    surrogate and keyed digest is shuffled."""
+    bad = collisions(replaced).limit(5).collect()
+    if bad:
+        raise RuntimeError(f"surrogates collide: {[(r.kind, r.n) for r in bad]}")
+    return replaced
+
+
 def stage(docs: DataFrame) -> DataFrame:
-    return replace_pii(docs).select(*docs.columns)
+    names = docs.columns
+    inner = docs.select(*[F.col(f"`{c}`").alias(c if c in ("text", "n_chars") else f"d{i}") for i, c in enumerate(names)])
+    out = checked(replace_pii(inner, session_key(docs.sparkSession)))
+    return out.select(*[F.col(c if c in ("text", "n_chars") else f"d{i}").alias(c) for i, c in enumerate(names)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = checked(replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark)))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
