@@ -84,8 +84,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.vocab = self.tok.get_vocab_size()
+        # Texts that spell an added token, in any case, go to the library whole: it looks for those before it cuts.
+        added = [re.escape(t.content.lower()) for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.added = "|".join(sorted(added)) or None
         self.cut = _cutting(json.loads(self.tok.to_str()))
         self.end_id, self.max_pieces, self.max_chars = end_id, max_pieces, max_chars
         self.old = _Pieces()
@@ -147,6 +149,13 @@ class Encoder:
         texts = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
         if len(self.new.codes) > self.max_pieces // 2 or self.new.chars > self.max_chars // 2:
             self.old, self.new = self.new, _Pieces()
+        whole = None
+        if self.cut and self.added:
+            spelt = pc.match_substring_regex(texts, self.added, ignore_case=True)
+            if pc.any(spelt).as_py():
+                whole = spelt.to_numpy(zero_copy_only=False)
+                lens_w, ids_w = self._raw(texts.filter(spelt).to_pylist())
+                texts = pc.if_else(spelt, pa.scalar("", texts.type), texts)
         if self.cut == "drop":
             flat, off = split_words(pc.replace_substring_regex(texts, _EDGE, r"\1 \2"), lower=True)
             ids, off = self._by_pieces(flat, off)
@@ -155,6 +164,13 @@ class Encoder:
         else:
             lens, ids = self._raw(texts.to_pylist())
             off = np.concatenate([[0], np.cumsum(lens)])
+        if whole is not None:
+            lens = np.diff(off)
+            lens[whole] = lens_w
+            merged = np.empty(lens.sum(), np.uint32)
+            from_raw = np.repeat(whole, lens)
+            merged[from_raw], merged[~from_raw] = ids_w, ids
+            ids, off = merged, np.concatenate([[0], np.cumsum(lens)])
         if self.end_id is None:
             return ids, off
         n = len(off) - 1
