@@ -31,16 +31,21 @@ class _Pieces:
     """Distinct pieces with their ids end to end."""
 
     def __init__(self):
-        self.codes: dict[str, int] = {}
-        self.chars = 0
+        self.keys, self.chars = pa.array([], pa.large_string()), 0
         self.starts, self.lens, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def add(self, pieces: list[str], lens: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, pieces: pa.Array, lens: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Their codes."""
         n = len(self.starts)
         self.starts = np.concatenate([self.starts, len(self.store) + np.cumsum(lens) - lens])
         self.lens, self.store = np.concatenate([self.lens, lens]), np.concatenate([self.store, ids])
-        self.codes.update(zip(pieces, range(n, n + len(pieces))))
-        self.chars += sum(map(len, pieces))
+        self.keys = pa.concat_arrays([self.keys, pieces])
+        self.chars += pc.sum(pc.binary_length(pieces)).as_py() or 0
+        return np.arange(n, len(self.starts))
+
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """Their codes; -1 for unknown ones."""
+        return pc.fill_null(pc.index_in(pieces, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -89,6 +94,11 @@ class Encoder:
         added = [re.escape(t.content.lower()) for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.added = "|".join(sorted(added)) or None
         self.cut = _cutting(json.loads(self.tok.to_str()))
+        # A line's end before a piece stays a token by itself; where white space is dropped, a nought between spaces does.
+        self.mark, self.plain = ("\n", r"^ ?[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+$") if self.cut == "space" else (" 0 ", r"^[^\s0\x0b\x1c-\x1f\x{85}\p{Z}]+$")
+        if self.cut:
+            (only,) = self.tok.encode(self.mark, add_special_tokens=False).ids
+            self.mark = self.mark, only
         self.end_id, self.max_pieces, self.max_chars = end_id, max_pieces, max_chars
         self.old = _Pieces()
         self.new = _Pieces()
@@ -103,28 +113,46 @@ class Encoder:
                 ids.extend(x)
         return np.array(lens, np.int64), np.array(ids, np.uint32)
 
-    def _lookup(self, pieces: list[str]) -> np.ndarray:
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``_raw`` of distinct pieces, many to a text: with a mark between them that is a pre-token of its own and has an id that no
+        piece without it has, so the ids are cut apart again. Pieces in which the mark or other white space stands go by themselves."""
+        mark, id_ = self.mark
+        plain = pc.match_substring_regex(pieces, self.plain).to_numpy(zero_copy_only=False)
+        lens, ids = np.zeros(len(pieces), np.int64), []
+        one = np.flatnonzero(plain)
+        for i in range(0, len(one), 20_000):
+            got = np.array(self.tok.encode_batch_fast([mark.join(pieces.take(pa.array(one[i : i + 20_000])).to_pylist())], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(got == id_)
+            lens[one[i : i + 20_000]] = np.diff(cuts, prepend=-1, append=len(got)) - 1
+            ids.append(np.delete(got, cuts))
+        own, rest = self._raw(pieces.filter(pa.array(~plain)).to_pylist())
+        lens[~plain] = own
+        out, from_plain = np.empty(lens.sum(), np.uint32), np.repeat(plain, lens)
+        out[from_plain], out[~from_plain] = np.concatenate([*ids, np.zeros(0, np.uint32)]), rest
+        return lens, out
+
+    def _lookup(self, pieces: pa.Array) -> np.ndarray:
         """Codes in ``new`` of distinct pieces."""
-        new = self.new
-        found = list(map(new.codes.get, pieces))
-        if None in found:
-            missing = [p for p, c in zip(pieces, found) if c is None]
-            before = list(map(self.old.codes.get, missing))
-            fresh = [p for p, c in zip(missing, before) if c is None]
-            if fresh:
-                new.add(fresh, *self._raw(fresh))
-            if len(fresh) < len(missing):
-                known = np.array([c for c in before if c is not None], np.int64)
-                n = self.old.lens[known]
-                new.add([p for p, c in zip(missing, before) if c is not None], n, self.old.store[_runs(self.old.starts[known], n)])
-            found = list(map(new.codes.get, pieces))
-        return np.array(found, np.int64)
+        codes = self.new.find(pieces)
+        open_ = np.flatnonzero(codes < 0)
+        if len(open_):
+            asked = pieces.take(pa.array(open_))
+            before = self.old.find(asked)
+            fresh, known = np.flatnonzero(before < 0), np.flatnonzero(before >= 0)
+            if len(fresh):
+                own = asked.take(pa.array(fresh))
+                codes[open_[fresh]] = self.new.add(own, *self._joined(own))
+            if len(known):
+                at = before[known]
+                n = self.old.lens[at]
+                codes[open_[known]] = self.new.add(asked.take(pa.array(known)), n, self.old.store[_runs(self.old.starts[at], n)])
+        return codes
 
     def _by_pieces(self, flat: pa.Array, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(flat):
             return np.zeros(0, np.uint32), off
         enc = flat.dictionary_encode()
-        codes = self._lookup(enc.dictionary.to_pylist())[enc.indices.to_numpy()]
+        codes = self._lookup(enc.dictionary)[enc.indices.to_numpy()]
         n = self.new.lens[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
         return self.new.store[_runs(self.new.starts[codes], n)], ends[off]
@@ -147,7 +175,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts, each with the end id, and the texts' offsets among them. Null is an empty text."""
         texts = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
-        if len(self.new.codes) > self.max_pieces // 2 or self.new.chars > self.max_chars // 2:
+        if len(self.new.starts) > self.max_pieces // 2 or self.new.chars > self.max_chars // 2:
             self.old, self.new = self.new, _Pieces()
         whole = None
         if self.cut and self.added:
@@ -178,7 +206,7 @@ class Encoder:
         out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(off))] = ids
         return out, off + np.arange(n + 1)
 
-    def slices(self, texts: pa.Array, limit: int = 2_000_000):
+    def slices(self, texts: pa.Array, limit: int = 4_000_000):
         """(first row, ids, offsets) for runs of rows of about ``limit`` bytes of text."""
         for a, b in byte_slices(texts, limit):
             ids, off = self.encode(texts.slice(a, b - a))

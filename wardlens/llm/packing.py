@@ -29,7 +29,7 @@ from .encoding import encoder
 
 TIERS = (256, 512, 1024, 2048)
 STEP = 8
-BLOCK = 1_500_000
+BLOCK = 4_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
