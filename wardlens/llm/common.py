@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -67,8 +68,10 @@ def drop(spark: SparkSession, *urls: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that have ended: Spark removes them once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round finds the plans, the second what only they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def local_path(url: str) -> str:

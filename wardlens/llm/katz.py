@@ -15,7 +15,8 @@ packed by target partition, and gets back what it needs to know about them, in t
   context's sums: how many words were seen after it 1 ... K times or oftener, and the same by their counts after h'. All are whole
   numbers, so the weights are exactly normalised whatever order they are added in.
 
-An n-gram whose context only one chunk has is not sent: that chunk knows all about it. A context with more than a partition's
+An n-gram of which the context, or all but the first word, is in no other chunk is not sent: its chunk knows its count. What such
+n-grams add to the sums of contexts that others have too is sent in their place. A context with more than a partition's
 share of all tokens is spread over several partitions by word; its partial sums, at most two a partition in all, are added up
 on the driver. The number of partitions grows with the number of chunks, so what a task holds doesn't grow. Discounts
 need only the numbers of items with counts 1 ... K + 1; where those are too bumpy for Good-Turing, a log-linear fit takes their place.
@@ -165,6 +166,13 @@ class _Grams:
         self.at = np.zeros(len(keys), np.int64)  # some token where each stands
         self.at[which] = tok
 
+    def parts(self):
+        """(partition, contexts named to it, whether it is their own, their numbers of n-grams sent, those n-grams)."""
+        cuts = np.flatnonzero(np.diff(self.to, prepend=-1, append=-1))
+        ends = np.concatenate([[0], np.cumsum(self.runs)])
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield int(self.to[i]), self.named[i:j], self.home[i:j], self.runs[i:j], self.sent[ends[i] : ends[j]]
+
 
 class Chunk:
     """A chunk's texts as numbers, and what the round trips have brought back so far, order by order."""
@@ -195,12 +203,13 @@ class Chunk:
     def take_words(self, back: list, p: int, ends: int) -> None:
         """Global numbers and counts of the words; word 0 is the end, and as a context the start."""
         n = len(self.hashes) + 1
-        self.gid, self.count = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        self.gid, self.count, self.shared = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.ones(n, bool)
         self.count[0] = ends
         order = np.argsort((self.hashes % np.uint64(p)).astype(np.int64), kind="stable")
         if back:
             self.gid[1:][order] = np.concatenate([b[0] for b in back])
             self.count[1:][order] = np.concatenate([b[1] for b in back]).astype(np.int64)
+            self.shared[1:][order] = np.concatenate([b[2] for b in back]) > 0
 
     def build(self, n: int, p: int, total: int) -> _Grams:
         """The n-grams of order ``n``, and in which order the sent ones go to which partitions. Lower orders must be there."""
@@ -209,41 +218,49 @@ class Chunk:
             ctx = np.where(self.pos > 0, np.concatenate([[0], self.w[:-1]]), 0) if len(self.w) else tok
             g = _Grams(tok, ctx, self.w, len(self.gid), self.train, len(self.gid))
             g.total, shared, g.words = self.count, np.ones(len(self.gid), bool), self.gid[None, :]
-            g.lower, g.suffix = self.count[g.w], np.zeros(len(self.gid), np.int64)
+            g.lower, g.suffix, below = self.count[g.w], np.zeros(len(self.gid), np.int64), self.shared[g.w]
         else:
             low = self.grams[n - 1]
             tok = np.flatnonzero(self.pos >= n - 2)
             g = _Grams(tok, low.of[tok - 1], self.w, len(self.gid), self.train, len(low.h))
             g.total, shared = low.count, low.shared
             g.words = np.concatenate([low.words[:, low.h], self.gid[None, low.w]])
-            g.lower = low.count[low.of[g.at]]
+            g.lower, below = low.count[low.of[g.at]], low.shared[low.of[g.at]]
             place = np.full(len(self.w), -1, np.int64)
             place[low.tok] = low.ctx
             g.suffix = np.zeros(g.n_ctx, np.int64)  # each context without its first word, as a context of the order below
             g.suffix[g.ctx] = place[tok]
         g.hot = g.total * p > total
-        g.sent = np.flatnonzero((shared & (g.total > 0))[g.h])
+        asked = shared & (g.total > 0)
+        g.local = asked[g.h] & ~below
+        g.sent = np.flatnonzero(asked[g.h] & below)
         h = g.h[g.sent]
         x = np.zeros(g.n_ctx, np.uint64)
         for column in g.words:
             x = mix64(x + column + np.uint64(1))
         spread = (-(-g.total * p // max(1, total)) + 1).astype(np.uint64)
-        at = x[h]
+        base, at = (x % np.uint64(p)).astype(np.int64), x[h]
         at = np.where(g.hot[h], at + mix64(self.gid[g.w[g.sent]] + np.uint64(1)) % np.where(g.hot[h], spread[h], np.uint64(1)), at) % np.uint64(p)
         order = np.argsort(at.astype(np.int64), kind="stable")
         g.sent, g.part = g.sent[order], at[order].astype(np.int64)
+        # Which contexts are named to which partitions: each to its own, a hot one also where its n-grams go.
+        asked = np.flatnonzero(asked)
+        names = np.unique(np.concatenate([base[asked] * g.n_ctx + asked, g.part * g.n_ctx + g.h[g.sent]]))
+        g.to, g.named = names // max(1, g.n_ctx), names % max(1, g.n_ctx)
+        g.home = base[g.named] == g.to
+        g.runs = np.bincount(np.searchsorted(names, g.part * g.n_ctx + g.h[g.sent]), minlength=len(names))
         self.grams[n] = g
         return g
 
     def gram_rows(self, n: int) -> tuple[list[tuple], np.ndarray]:
         """What goes to each partition, and how many of the n-grams that aren't sent have counts 1 ... K + 1."""
         g, rows = self.grams[n], []
-        cuts = np.flatnonzero(np.diff(g.part, prepend=-1, append=-1))
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            keys = g.sent[i:j]
-            hs, runs = np.unique(g.h[keys], return_counts=True)  # n-grams are sorted by context
+        own = np.flatnonzero(g.local)
+        seen, below = _sums(g.h[own], g.own[own], g.lower[own], g.n_ctx)
+        for part, hs, home, runs, keys in g.parts():
             ws, wi = np.unique(g.w[keys], return_inverse=True)
-            rows.append((int(g.part[i]), *[c[hs] for c in g.words], g.hot[hs], runs, self.gid[ws], wi, g.own[keys], g.lower[keys]))
+            more = [np.where(home, x[hs], 0) for x in (*seen.T, *below.T)]
+            rows.append((part, *[c[hs] for c in g.words], g.hot[hs], runs, *more, self.gid[ws], wi, g.own[keys], g.lower[keys]))
         rest = np.ones(len(g.h), bool)
         rest[g.sent] = False
         return rows, np.bincount(np.minimum(g.own[rest], K + 2), minlength=K + 3)[1 : K + 2]
@@ -254,11 +271,8 @@ class Chunk:
         g.count, g.shared = g.own.copy(), np.zeros(len(g.h), bool)
         g.count[g.total[g.h] == 0] = 0
         g.seen, g.below = _sums(g.h, g.count, g.lower, g.n_ctx)
-        cuts = np.flatnonzero(np.diff(g.part, prepend=-1, append=-1))
-        for b, i, j in zip(back, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            keys = g.sent[i:j]
+        for b, (_, hs, _, _, keys) in zip(back, g.parts(), strict=True):
             g.count[keys], g.shared[keys] = b[0].astype(np.int64), b[1] > 0
-            hs = np.unique(g.h[keys])
             g.seen[hs] = np.stack(b[2 : K + 3], 1)
             g.below[hs] = np.stack(b[K + 3 :], 1)
         for k in np.flatnonzero(g.hot).tolist() if hot else []:
@@ -377,9 +391,10 @@ def _count_words(p: int):
         rank = np.empty(len(uniq), np.int64)
         rank[np.argsort(-c, kind="stable")] = np.arange(len(uniq))
         gid = 1 + rank * p + own
+        shared = (np.bincount(which, minlength=len(uniq)) > 1).astype(np.int64)
         cuts = np.cumsum([0, *map(len, xs)])
         for chunk, i, j in zip(chunk_of, cuts[:-1], cuts[1:]):
-            yield _packed(chunk, [(own, gid[which[i:j]], c[which[i:j]])])
+            yield _packed(chunk, [(own, gid[which[i:j]], c[which[i:j]], shared[which[i:j]])])
         few = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
         yield _packed(-1, [(own, np.array([c.sum(), (c > 0).sum(), *few]))])
 
@@ -390,7 +405,7 @@ def _count_grams(n: int, last: bool):
     """Counts of order ``n`` in one partition. A negative chunk brings the numbers of the n-grams that weren't sent."""
 
     def run(batches):
-        chunk_of, ctx, runs, hots, ws, W, C, L, own = [], [], [], [], [], [], [], [], 0
+        chunk_of, ctx, runs, hots, more, ws, W, C, L, own = [], [], [], [], [], [], [], [], [], 0
         few = np.zeros(K + 1, np.int64)
         for batch in batches:
             for chunk, part, blob in zip(*[c.to_pylist() for c in batch.columns]):
@@ -400,8 +415,8 @@ def _count_grams(n: int, last: bool):
                     continue
                 chunk_of.append(chunk)
                 ctx.append(got[: n - 1])
-                hot, run_, w, wi, c, low = got[n - 1 :]
-                for to, x in ((hots, hot), (runs, run_.astype(np.int64)), (ws, w), (W, w[wi.astype(np.int64)]), (C, c), (L, low)):
+                hot, run_, *sums, w, wi, c, low = got[n - 1 :]
+                for to, x in ((hots, hot), (more, np.stack(sums, 1).astype(np.int64)), (runs, run_.astype(np.int64)), (ws, w), (W, w[wi.astype(np.int64)]), (C, c), (L, low)):
                     to.append(x)
         if chunk_of:
             contexts, number = _number([np.concatenate([c[k] for c in ctx]) for k in range(n - 1)])
@@ -412,7 +427,9 @@ def _count_grams(n: int, last: bool):
             shared = np.zeros(len(keys), np.int64) if last else (np.bincount(which, minlength=len(keys)) > 1).astype(np.int64)
             low = np.zeros(len(keys), np.int64)
             low[which] = np.concatenate(L).astype(np.int64)
-            seen, below = _sums(keys // len(words), c, low, len(contexts[0]))
+            seen, below = _sums(keys // max(1, len(words)), c, low, len(contexts[0]))
+            for k, x in enumerate(np.concatenate(more).T):
+                (seen if k <= K else below)[:, k % (K + 1)] += np.bincount(number, weights=x, minlength=len(seen)).astype(np.int64)
             cuts, ends = np.cumsum([0, *map(len, W)]), np.cumsum([0, *map(len, runs)])
             for chunk, i, j, a, b in zip(chunk_of, cuts[:-1], cuts[1:], ends[:-1], ends[1:]):
                 s = number[a:b]
