@@ -67,8 +67,65 @@ def retokenized(norm: Column) -> Column:
     return F.when(joined == "", norm).otherwise(joined)
 
 
-def retokenize(terms: DataFrame) -> DataFrame:
-    return terms.withColumn("norm", retokenized(F.col("norm")))
+def retokenize(terms: DataFrame, most: int = 4, log=None) -> DataFrame:
+    """Repeats until no term changes, ``most`` times at most. ``log`` is told how many changed each time; without it one pass is
+    made, which is a fixed point for this tokenizer."""
+    if log is None:
+        return terms.withColumn("norm", retokenized(F.col("norm")))
+    for k in range(1, most + 1):
+        step = terms.withColumn("norm_", retokenized(F.col("norm")))
+        changed = step.where("norm_ <> norm").count()
+        log(f"pass {k}: {changed} terms respelled")
+        terms = step.drop("norm").withColumnRenamed("norm_", "norm").select(*terms.columns)
+        if not changed:
+            return terms
+    log("terms were still changing: the tokenizer has no fixed point here")
+    return terms
+
+
+STAGES = ("build", "retokenize", "index")
+
+
+def run_stages(conso: DataFrame, sty: DataFrame, first: str = "build", only: str | None = None, dry: bool = False, given: dict[str, DataFrame] | None = None, log=print) -> dict[str, DataFrame]:
+    """The three stages in order, from ``first`` on or ``only`` one; ``given`` has what the ones left out would have made. A dry run
+    names the stages and makes nothing. A stage that fails stops the run."""
+    for s in (first, only or first):
+        if s not in STAGES:
+            raise ValueError(f"no stage {s!r}: there are {', '.join(STAGES)}")
+    out = dict(given or {})
+    for stage in STAGES[STAGES.index(first) :] if only is None else (only,):
+        log(stage)
+        if dry:
+            continue
+        if stage == "build":
+            raw = atoms(conso, None)
+            types = concept_tui(semantic_types(sty, None), raw, code_cuis(conso, CODE_SOURCES))
+            out |= {"concept": concepts(raw, types), "concept_tui": types, "term": term_table(raw, types)}
+        elif "term" not in out:
+            raise ValueError(f"{stage} needs the terms of build")
+        elif stage == "retokenize":
+            if "meta" in out and out["meta"].where("key = 'source' AND value = 'pretokenized'").limit(1).count():
+                raise ValueError("an imported dictionary is spelled by its own tokenizer")
+            out["term"] = retokenize(out["term"]).distinct()
+            out.pop("rare_term", None)  # it was made of the old spellings
+            out["meta"] = conso.sparkSession.createDataFrame([("terms_retokenized", "yes")], "key string, value string")
+        else:
+            out["rare_term"] = rare_word_index(out["term"])
+    return out
+
+
+def tui_whitelist(concept_tui: DataFrame) -> DataFrame:
+    return concept_tui.select(F.upper(F.trim("tui")).alias("tui")).distinct().orderBy("tui")
+
+
+def top_keys(rare_term: DataFrame, k: int = 5) -> DataFrame:
+    """The rare words with most candidates."""
+    return rare_term.groupBy("rare_word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rare_word").limit(k)
+
+
+def fallbacks(rare_term: DataFrame) -> DataFrame:
+    """How many terms of several tokens stand under a word that isn't rarable, since they have no other."""
+    return rare_term.where((F.col("token_count") > 1) & ~rarable(F.col("rare_word"))).agg(F.countDistinct("norm").alias("fallbacks"))
 
 
 def rarable(word: Column) -> Column:

@@ -92,6 +92,61 @@ def tag_confusion(gold: DataFrame, predicted: DataFrame, closed: list[str]) -> D
     return a.groupBy("gold_tag", "tag", "gold_anchor", "anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
+def boundary_scores(gold: DataFrame, windows: DataFrame, docs: DataFrame, unit: str) -> DataFrame:
+    """Agreement on exact spans by document. gold: doc_id, begin, end, type; newline tokens of the reference don't count.
+    ``unit``: ``sentence`` (first token's start to last one's end) or ``token``."""
+    if unit == "sentence":
+        own = windows.select("doc_id", F.element_at("tokens", 1)["start"].alias("begin"), F.element_at("tokens", -1)["end"].alias("end"))
+    else:
+        own = windows.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.col("t.start").alias("begin"), F.col("t.end").alias("end"))
+    return set_scores(gold.where(F.coalesce(F.col("type") != "NewlineToken", F.lit(True))), own, docs, ["begin", "end"])
+
+
+NEVER_ANCHOR = ("PunctuationToken", "SymbolToken", "NumToken", "ContractionToken", "NewlineToken")
+
+
+def tag_agreement(gold: DataFrame, windows: DataFrame, closed: list[str]) -> DataFrame:
+    """Tags on tokens of the same span, by document. gold: doc_id, begin, end, type, pos. A token anchors a lookup by its type
+    first, then by its tag; flips have a direction."""
+    own = windows.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.col("t.start").alias("begin"), F.col("t.end").alias("end"), F.col("t.pos").alias("tag"), F.col("t.is_word").alias("is_word"))
+    j = gold.where(F.col("type") != "NewlineToken").join(own, ["doc_id", "begin", "end"], "left")
+    open_ = lambda c: F.coalesce(~F.col(c).isin(*closed), F.lit(True))
+    on, theirs, ours = F.col("is_word").isNotNull(), ~F.col("type").isin(*NEVER_ANCHOR) & open_("pos"), F.col("is_word") & open_("tag")
+    j = j.select("doc_id", on.alias("on"), F.coalesce(F.col("pos") == F.col("tag"), F.lit(False)).alias("same"), theirs.alias("theirs"), ours.alias("ours"))
+    c = lambda x: F.count_if(F.col("on") & x)
+    a = j.groupBy("doc_id").agg(
+        c(F.lit(True)).alias("compared"), F.count_if(~F.col("on")).alias("unaligned"), c(F.col("same")).alias("tag_matches"), c(F.col("theirs") == F.col("ours")).alias("anchor_matches"),
+        c(~F.col("theirs") & F.col("ours")).alias("extra_anchors"), c(F.col("theirs") & ~F.col("ours")).alias("missed_anchors"),
+    )
+    return a.withColumns({"tag_agreement": ratio("tag_matches", "compared"), "anchor_agreement": ratio("anchor_matches", "compared")})
+
+
+def second_opinion(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Two engines' flags on the same mentions (doc_id, start, end, cui, value): agree and disagree by both values; a mention that
+    one lacks is ``missing`` there."""
+    keys = ["doc_id", "start", "end", "cui"]
+    j = ours.select(*keys, F.col("value").alias("ours")).distinct().join(theirs.select(*keys, F.col("value").alias("theirs")).distinct(), keys, "full")
+    kind = F.when(F.col("ours").isNull() | F.col("theirs").isNull(), "missing").when(F.col("ours") == F.col("theirs"), "agree").otherwise("disagree")
+    return j.groupBy(kind.alias("kind"), "ours", "theirs").agg(F.count(F.lit(1)).alias("n"))
+
+
+def disagreement_examples(gold: DataFrame, predicted: DataFrame, most: int = 3) -> DataFrame:
+    """Per concept that the reference of a document lacks: mentions, documents, and the first examples in order of document and place.
+
+    Each document's first mentions are kept before documents come together, so no concept's mentions are gathered whole."""
+    from pyspark.sql import Window
+
+    keys = ["doc_id", "cui"]
+    fp = predicted.join(gold.select(*keys).distinct(), keys, "left_anti")
+    k = F.row_number().over(Window.partitionBy("doc_id", "cui").orderBy("begin", "end"))
+    x = fp.withColumn("k", k)
+    per = x.groupBy("cui").agg(F.count(F.lit(1)).alias("fp_mentions"), F.count_if(F.col("k") == 1).alias("fp_docs"))
+    first = F.row_number().over(Window.partitionBy("cui").orderBy("doc_id", "begin", "end"))
+    few = x.where(F.col("k") <= most).withColumn("r", first).where(F.col("r") <= most)
+    few = few.groupBy("cui").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%020d:%010d:%010d", F.col("doc_id"), F.col("begin"), F.col("end")))), " ").alias("examples"))
+    return per.join(few, "cui")
+
+
 def disagreements(gold: DataFrame, predicted: DataFrame, top: int = 20) -> DataFrame:
     """Per concept: mentions predicted in documents whose reference lacks it, and documents that lack it the other way."""
     keys = ["doc_id", "cui"]
@@ -109,19 +164,31 @@ def errors_by_cue(pairs: DataFrame, evidence: DataFrame, attr: str = "negated")
 
 
 def latency(df: DataFrame, value: str) -> DataFrame:
-    """Index-based percentiles: the element at int(n * p) of the sorted values, as a rank over a sort rather than one array."""
-    from pyspark.sql import Window
-
+    """Index-based percentiles: the element at int(n * p) of the sorted values. No task sees all of them: values fall into ranges, the
+    ranges' sizes say in which one a rank lies, and only that range is sorted."""
     n = df.where(F.col(value).isNotNull()).select(value)
-    # The ranks that are asked for are few; a total order over all rows is cut into ranges first.
     total = n.count()
     if not total:
         return n.agg(F.avg(value).alias("mean"), F.max(value).alias("median"), F.max(value).alias("p95"), F.max(value).alias("p99"), F.max(value).alias("max"))
     per = n.groupBy(value).agg(F.count(F.lit(1)).alias("k"))
-    cum = per.withColumn("upto", F.sum("k").over(Window.orderBy(value)))
-    at = lambda p: min(int(total * p), total - 1)
-    pick = lambda p: F.min(F.when(F.col("upto") > at(p), F.col(value)))
-    return cum.agg((F.sum(F.col(value) * F.col("k")) / total).alias("mean"), pick(0.5).alias("median"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.max(value).alias("max"))
+    cuts = per.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.005)
+    bucket = F.expr(" + ".join(["0", *[f"cast({value} > {c!r}D AS int)" for c in sorted(set(cuts))]]))
+    per = per.withColumn("bucket", bucket)
+    sizes = {r.bucket: r.n for r in per.groupBy("bucket").agg(F.sum("k").alias("n")).collect()}  # 64 rows at most
+    wanted, below = {}, 0
+    for b in sorted(sizes):
+        for name, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99)):
+            at = min(int(total * p), total - 1)
+            if below <= at < below + sizes[b]:
+                wanted[name] = (b, at - below)
+        below += sizes[b]
+    from pyspark.sql import Window
+
+    inside = per.where(F.col("bucket").isin(*{b for b, _ in wanted.values()}))
+    inside = inside.withColumn("upto", F.sum("k").over(Window.partitionBy("bucket").orderBy(value)))
+    picks = [F.min(F.when((F.col("bucket") == b) & (F.col("upto") > at), F.col(value))).alias(name) for name, (b, at) in wanted.items()]
+    whole = per.agg((F.sum(F.col(value) * F.col("k")) / total).alias("mean"), F.max(value).alias("max"))
+    return whole.crossJoin(inside.agg(*picks)).select("mean", "median", "p95", "p99", "max")  # one row each
 
 
 def duplicate_labels(paths: DataFrame) -> DataFrame:

@@ -41,20 +41,21 @@ def match(windows: DataFrame, rare_term: DataFrame, concept: DataFrame, longest:
     return out.join(c, "cui", "left").withColumns({"preferred_text": F.coalesce("preferred_text", F.lit("")), "grp": F.coalesce("grp", F.lit(""))})
 
 
-def longest_non_overlapping(matches: Column) -> Column:
-    """Of an array of match structs: longest first, then leftmost, then cui; co-extensive ones all stay."""
+def longest_non_overlapping(matches: Column, coextensive: bool = True) -> Column:
+    """Of an array of match structs: longest first, then leftmost, then cui; co-extensive ones all stay, or the first of them alone."""
     order = F.array_sort(F.transform(matches, lambda m: F.struct((m["start"] - m["end"]).alias("k"), m["start"].alias("s"), m["cui"].alias("c"), m.alias("m"))))
 
     def take(kept: Column, x: Column) -> Column:
         m = x["m"]
-        clash = F.exists(kept, lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"]) & ~((k["start"] == m["start"]) & (k["end"] == m["end"])))
+        same = lambda k: (k["start"] == m["start"]) & (k["end"] == m["end"]) & F.lit(coextensive)
+        clash = F.exists(kept, lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"]) & ~same(k))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(m)))
 
     return F.aggregate(order, F.slice(matches, 1, 0), take)
 
 
-def resolve_overlaps(matches: DataFrame) -> DataFrame:
+def resolve_overlaps(matches: DataFrame, coextensive: bool = True) -> DataFrame:
     """One row a kept match; a window's matches are folded in one row."""
     names = [c for c in matches.columns if c not in ("doc_id", "win")]
     g = matches.groupBy("doc_id", "win").agg(F.collect_list(F.struct(*names)).alias("ms"))
-    return g.select("doc_id", "win", F.explode(longest_non_overlapping(F.col("ms"))).alias("m")).select("doc_id", "win", "m.*")
+    return g.select("doc_id", "win", F.explode(longest_non_overlapping(F.col("ms"), coextensive)).alias("m")).select("doc_id", "win", "m.*")

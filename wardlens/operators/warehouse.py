@@ -19,6 +19,26 @@ def load(annotations: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
     return {"documents": dim, "annotations": facts}
 
 
+def keyed(documents: DataFrame, annotations: DataFrame) -> dict[str, DataFrame]:
+    """The same tables with a numeric key of the documents: 63 bits of the source's hash, which no split of the input changes. Two
+    sources with one key are refused."""
+    dim = documents.withColumn("document_key", F.xxhash64("source").bitwiseAND(F.lit((1 << 63) - 1)))
+    if dim.groupBy("document_key").agg(F.countDistinct("source").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("two sources have one key")
+    return {"documents": dim, "annotations": annotations.join(dim.select("doc_id", "document_key"), "doc_id")}
+
+
+def dropped_values(annotations: DataFrame, kept: DataFrame) -> DataFrame:
+    """attribute, dropped: values in columns that the narrow table hasn't."""
+    gone = [c for c in OPTIONAL if c in annotations.columns and c not in kept.columns]
+    n = annotations.agg(*[F.count(c).alias(c) for c in gone], F.lit(0).alias("_"))
+    return n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("long").alias("dropped")) for c in gone], F.struct(F.lit("_").alias("attribute"), F.lit(0).cast("long").alias("dropped")))).alias("x")).select("x.*").where("attribute <> '_'")
+
+
+def histogram(annotations: DataFrame, column: str) -> DataFrame:
+    return annotations.groupBy(F.coalesce(F.col(column), F.lit("(none)")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def load_report(annotations: DataFrame) -> DataFrame:
     """attribute, assessed, positive."""
     parts = [annotations.agg(F.count("negated").alias("assessed"), F.count_if(F.col("negated")).alias("positive")).withColumn("attribute", F.lit("negated"))]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import section_table, tui_table
-from ..operators import adjudicate, assertion, dictionary, evaluate, lookup, sections, warehouse
+from ..operators import adjudicate, assertion, dictionary, evaluate, explain, lookup, sections, warehouse
 from ..operators.assess import assess
 from ..session import stored
 from . import fixtures, oracle
@@ -449,18 +449,15 @@ def errors_by_cue(spark, sf_dir):
     """Every cue behind a prediction counts."""
     a = annotated(spark, sf_dir)
     g = F.col("negated") != ((F.col("doc_id") + F.col("start")) % 9 == 0)
-    e = a.where("negated").select(g.alias("g"), F.explode("negated_causes").alias("c"))
-    return e.groupBy(F.col("c.cue").alias("cue")).agg(F.count_if("g").alias("correct"), F.count_if(~F.col("g")).alias("wrong"))
+    pairs = a.select("doc_id", "cui", F.col("start").alias("p_begin"), F.col("end").alias("p_end"), g.alias("value"), F.col("negated").alias("p_value")).distinct()
+    return evaluate.errors_by_cue(pairs, a, "negated")
 
 
-@register("assessed_spans", oracle.query([*_AN], "SELECT row_number() OVER (ORDER BY doc_id, \"start\", \"end\", cui, term) AS span_id, doc_id, \"start\", \"end\", cui, negated, subject, uncertain, true AS assessed FROM an WHERE doc_id % 3 = 0"))
+@register("assessed_spans", oracle.query([*_AN], "SELECT concat_ws(':', doc_id, \"start\", \"end\", cui, term) AS span_id, doc_id, \"start\", \"end\", cui, negated, subject, uncertain, true AS assessed FROM an"))
 def assessed_spans(spark, sf_dir):
-    """Spans that the caller brings are assessed as the engine's own are, those of all notes. The SQL has a third of them."""
-    from pyspark.sql import Window
-
+    """Spans that the caller brings are assessed as the engine's own are, those of all notes. What a span is names it."""
     w, m, d = matched(spark, sf_dir)
-    k = F.row_number().over(Window.orderBy("doc_id", "start", "end", "cui", "term")).cast("long")
-    s = m.select("doc_id", k.alias("span_id"), "start", "end", "cui")
+    s = m.select("doc_id", F.concat_ws(":", "doc_id", "start", "end", "cui", "term").alias("span_id"), "start", "end", "cui")
     out = assess(fixtures.notes(spark, sf_dir), w, s, d["concept"])
     return out.select("span_id", "doc_id", "start", "end", "cui", "negated", "subject", "uncertain", "assessed")
 
@@ -479,3 +476,162 @@ def semantic_groups(spark, sf_dir):
 @register("tokens_conversations", oracle.query(["d2 AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)", *oracle.tokens("d2")], f"SELECT doc_id, {_TOKEN_SUMS} FROM tok GROUP BY doc_id"))
 def tokens_conversations(spark, sf_dir):
     return _token_sums(spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+
+
+_STRICT = [*_MATCHED, *_GREEDY, 'kp AS (SELECT mc.* FROM mc JOIN k2 ON k2.doc_id = mc.doc_id AND k2.win = mc.win AND k2.s = mc."start" AND k2.e = mc."end")']
+
+
+@register("overlaps_strict", oracle.query(_STRICT, 'SELECT doc_id, win, min(cui) AS cui, "start", "end" FROM kp GROUP BY doc_id, win, "start", "end"'))
+def overlaps_strict(spark, sf_dir):
+    """O1, second form: of spans that are the same, the first concept alone stays."""
+    return lookup.resolve_overlaps(matched(spark, sf_dir)[1], coextensive=False).select("doc_id", "win", "cui", "start", "end")
+
+
+@register("affirmed_only", oracle.query(_AN, 'SELECT doc_id, cui, term, "start", "end" FROM an WHERE NOT negated'))
+def affirmed_only(spark, sf_dir):
+    """one polarity."""
+    from ..cli import by_polarity
+
+    return by_polarity(annotated(spark, sf_dir), affirmed=True).select("doc_id", "cui", "term", "start", "end")
+
+
+@register("dictionary_top_keys", oracle.query(oracle.dictionary(), "SELECT rare_word, count(*) AS n FROM rare_term GROUP BY rare_word ORDER BY n DESC, rare_word LIMIT 5"))
+def dictionary_top_keys(spark, sf_dir):
+    """The keys with most candidates."""
+    return dictionary.top_keys(tables(spark, sf_dir)["rare_term"])
+
+
+@register("dictionary_fallbacks", oracle.query(oracle.dictionary(), "SELECT count(DISTINCT norm) AS fallbacks FROM rare_term WHERE token_count > 1 AND rare_word NOT IN (SELECT word FROM rc)"))
+def dictionary_fallbacks(spark, sf_dir):
+    return dictionary.fallbacks(tables(spark, sf_dir)["rare_term"])
+
+
+@register("tui_whitelist", oracle.query(oracle.dictionary(), "SELECT DISTINCT upper(trim(tui)) AS tui FROM concept_tui"))
+def tui_whitelist(spark, sf_dir):
+    """D12."""
+    return dictionary.tui_whitelist(tables(spark, sf_dir)["concept_tui"])
+
+
+@register("subject_histogram", oracle.query(_FACT, "SELECT coalesce(subject, '(none)') AS value, count(*) AS n FROM an GROUP BY subject"))
+def subject_histogram(spark, sf_dir):
+    """G17."""
+    return warehouse.histogram(annotated(spark, sf_dir), "subject")
+
+
+@register("warehouse_keys", oracle.query(_FACT, "SELECT count(*) AS documents, count(DISTINCT source) AS keys, sum(n_annotations)::BIGINT AS annotations FROM dim"))
+def warehouse_keys(spark, sf_dir):
+    """K5: documents have keys of their own, and every annotation has its document's."""
+    t = _load(spark, sf_dir)
+    k = warehouse.keyed(t["documents"], t["annotations"])
+    n = k["documents"].agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("document_key").alias("keys"))
+    return n.crossJoin(k["annotations"].agg(F.count("document_key").alias("annotations")))  # one row each
+
+
+_LOST = "(doc_id + win) % 4 <> 0"
+_SPAN_SCORES = "SELECT n.doc_id, count_if(g.b IS NOT NULL AND p.b IS NOT NULL) AS tp, count_if(g.b IS NULL AND p.b IS NOT NULL) AS fp, count_if(g.b IS NOT NULL AND p.b IS NULL) AS fn FROM notes n LEFT JOIN (gg g FULL JOIN pp p ON g.doc_id = p.doc_id AND g.b = p.b AND g.e = p.e) ON n.doc_id = coalesce(g.doc_id, p.doc_id) GROUP BY n.doc_id"
+_WINDOWED = [f"notes AS MATERIALIZED ({fixtures.NOTES})", *oracle.tokens("notes"), *oracle.windows("notes")]
+
+
+def _own_tokens(w: DataFrame) -> DataFrame:
+    t = w.select("doc_id", "win", F.explode("tokens").alias("t")).select("doc_id", "win", F.col("t.start").alias("begin"), F.col("t.end").alias("end"), F.col("t.is_word").alias("is_word"))
+    return t.withColumn("type", F.when((F.col("begin") % 11) == 3, "NewlineToken").when(F.col("is_word"), "WordToken").otherwise("PunctuationToken"))
+
+
+@register("sentence_boundaries", oracle.query([*_WINDOWED, "pp AS (SELECT DISTINCT doc_id, w_b AS b, w_e AS e FROM wn)", f"gg AS (SELECT doc_id, w_b AS b, w_e + (win % 2) AS e FROM wn WHERE {_LOST})"], _SPAN_SCORES))
+def sentence_boundaries(spark, sf_dir):
+    """G5 against a reference that lacks some sentences and ends others one later."""
+    w = windows(spark, sf_dir)
+    g = w.where(_LOST).select("doc_id", F.element_at("tokens", 1)["start"].alias("begin"), (F.element_at("tokens", -1)["end"] + F.col("win") % 2).alias("end"), F.lit("Sentence").alias("type"))
+    return evaluate.boundary_scores(g, w, fixtures.notes(spark, sf_dir), "sentence").select("doc_id", "tp", "fp", "fn")
+
+
+@register("token_boundaries", oracle.query([*_WINDOWED, "pp AS (SELECT DISTINCT doc_id, b, e FROM win)", f"gg AS (SELECT DISTINCT doc_id, b, e + (win % 2) AS e FROM win WHERE {_LOST} AND b % 11 <> 3)"], _SPAN_SCORES))
+def token_boundaries(spark, sf_dir):
+    """Newline tokens of the reference don't count."""
+    w = windows(spark, sf_dir)
+    g = _own_tokens(w).where(_LOST).withColumn("end", F.col("end") + F.col("win") % 2)
+    return evaluate.boundary_scores(g, w, fixtures.notes(spark, sf_dir), "token").select("doc_id", "tp", "fp", "fn")
+
+
+@register(
+    "tag_agreement",
+    oracle.query([*_WINDOWED, "gt AS (SELECT doc_id, b, e, is_word, b % 2 = 0 AS closed, e % 5 = 0 AS moved FROM win WHERE b % 11 <> 3)"], "SELECT doc_id, count_if(NOT moved) AS compared, count_if(moved) AS unaligned, 0::BIGINT AS tag_matches, count_if(NOT moved AND (NOT is_word OR NOT closed)) AS anchor_matches, count_if(NOT moved AND is_word AND closed) AS extra_anchors, 0::BIGINT AS missed_anchors FROM gt GROUP BY doc_id"),
+)
+def tag_agreement(spark, sf_dir):
+    """Tags on tokens of the same span; a reference that tags every other token as closed."""
+    w = windows(spark, sf_dir)
+    g = _own_tokens(w).select("doc_id", F.when(F.col("end") % 5 == 0, F.col("begin") + 100_000).otherwise(F.col("begin")).alias("begin"), "end", "type", F.when(F.col("begin") % 2 == 0, "DT").otherwise("NN").alias("pos"))
+    a = evaluate.tag_agreement(g, w, lookup.CLOSED_TAGS)
+    return a.select("doc_id", "compared", "unaligned", "tag_matches", "anchor_matches", "extra_anchors", "missed_anchors")
+
+
+@register("second_opinion", oracle.query(_AN, "SELECT kind, ours, theirs, count(*) AS n FROM (SELECT DISTINCT doc_id, \"start\", \"end\", cui, negated AS ours, CASE WHEN (doc_id + \"start\") % 5 = 0 THEN NULL ELSE negated <> (doc_id % 7 = 0) END AS theirs, CASE WHEN (doc_id + \"start\") % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'disagree' ELSE 'agree' END AS kind FROM an) GROUP BY ALL"))
+def second_opinion(spark, sf_dir):
+    """Two engines on the same mentions, one of which lacks some."""
+    a = annotated(spark, sf_dir).select("doc_id", "start", "end", "cui", F.col("negated").alias("value"))
+    b = a.where((F.col("doc_id") + F.col("start")) % 5 != 0).withColumn("value", F.col("value") != (F.col("doc_id") % 7 == 0))
+    return evaluate.second_opinion(a, b)
+
+
+@register(
+    "disagreement_examples",
+    oracle.query([*_EVAL, "fx AS (SELECT doc_id, cui, b, e FROM pr WHERE (doc_id, cui) NOT IN (SELECT (doc_id, cui) FROM go))", "fr AS (SELECT *, row_number() OVER (PARTITION BY cui ORDER BY doc_id, b, e) AS r FROM fx)"], "SELECT cui, count(*) AS fp_mentions, count(DISTINCT doc_id) AS fp_docs, string_agg(lpad(doc_id::VARCHAR, 20, '0') || ':' || lpad(b::VARCHAR, 10, '0') || ':' || lpad(e::VARCHAR, 10, '0'), ' ' ORDER BY doc_id, b, e) FILTER (r <= 3) AS examples FROM fr GROUP BY cui"),
+)
+def disagreement_examples(spark, sf_dir):
+    """The first mentions behind a concept's disagreements."""
+    return evaluate.disagreement_examples(*_occurrences(spark, sf_dir))
+
+
+@register(
+    "miss_causes",
+    oracle.query([*_AN, "ms AS (SELECT doc_id, win FROM an WHERE NOT negated AND (doc_id + \"start\") % 9 = 0)", "nm AS (SELECT doc_id, win, string_agg(DISTINCT phrase, ', ' ORDER BY phrase) AS named FROM cu WHERE attr = 'negated' AND role IN ('forward', 'backward') GROUP BY doc_id, win)"], "SELECT CASE WHEN named IS NULL THEN 'no trigger' ELSE 'out of scope: ' || named END AS cause, count(*) AS n FROM ms LEFT JOIN nm USING (doc_id, win) GROUP BY cause"),
+)
+def miss_causes(spark, sf_dir):
+    """What stood in the window of a missed positive."""
+    missed = annotated(spark, sf_dir).where("NOT negated AND (doc_id + start) % 9 = 0")
+    return explain.miss_causes(missed, windows(spark, sf_dir))
+
+
+@register("explained_history", oracle.query(_AN, "SELECT rule, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = an.doc_id AND h.win = an.win AND h.cui = an.cui AND h.term = an.term AND h.ts = an.ts AND h.te = an.te AND h.attr = 'history') THEN 'cue' ELSE 'section' END AS rule, 1 AS n FROM an WHERE history_of) GROUP BY rule"))
+def explained_history(spark, sf_dir):
+    """Which rule claimed each positive."""
+    return explain.cues_by_rule(annotated(spark, sf_dir), "history_of").groupBy("rule").agg(F.sum("n").alias("n"))
+
+
+@register(
+    "weighted_cues",
+    oracle.query(
+        [
+            *_CASES,
+            "lb AS (SELECT doc_id, win, cui, term, ts, te, array_to_string(list_sort(list(phrase)), ' | ') AS label FROM hit WHERE attr = 'negated' GROUP BY ALL)",
+            "le AS (SELECT DISTINCT 'negated:' || doc_id || ':' || \"start\" || ':' || \"end\" || ':' || cui AS case_id, label FROM an JOIN lb USING (doc_id, win, cui, term, ts, te))",
+            "wt AS (SELECT stratum, population::DOUBLE / count(*) AS w FROM ve JOIN po USING (stratum) GROUP BY stratum, population)",
+        ],
+        "SELECT label, round(sum(CASE WHEN verdict = 'negated' THEN w ELSE 0 END), 6) AS tp, round(sum(CASE WHEN verdict <> 'negated' THEN w ELSE 0 END), 6) AS fp FROM ve JOIN wt USING (stratum) JOIN le USING (case_id) WHERE stratum IN ('both_positive', 'engine_only') GROUP BY label",
+    ),
+)
+def weighted_cues(spark, sf_dir):
+    """Estimated right and wrong flags of each set of cues."""
+    c = _cases(spark, sf_dir)
+    s = adjudicate.sample(c)
+    e = explain.weighted_cues(s, _verdicts(s), adjudicate.design(c, s), annotated(spark, sf_dir))
+    return e.select("label", F.round("tp", 6).alias("tp"), F.round("fp", 6).alias("fp"))
+
+
+@register("notes_as_json", oracle.query(_FACT, "SELECT source, n_annotations FROM dim"))
+def notes_as_json(spark, sf_dir):
+    """P5, K1: one JSON array a note, empty ones included; what is compared is its length."""
+    from ..sources.writers import json_array
+
+    j = json_array(annotated(spark, sf_dir), fixtures.notes(spark, sf_dir))
+    return j.select("source", F.json_array_length("json").cast("long").alias("n_annotations"))
+
+
+@register("batch_results", oracle.query(_FACT, "SELECT doc_id, CASE WHEN length(text) > 60 THEN 'TextTooLong' END AS error, CASE WHEN length(text) > 60 THEN NULL ELSE coalesce(k, 0) END AS n_annotations FROM notes LEFT JOIN (SELECT doc_id, count(*) AS k FROM an GROUP BY doc_id) USING (doc_id)"))
+def batch_results(spark, sf_dir):
+    """A batch in which a note that can't be analysed has an error, and the others have their annotations."""
+    from ..streaming.notes import analyze_batch
+
+    d = tables(spark, sf_dir)
+    out = analyze_batch(fixtures.notes(spark, sf_dir), d["rare_term"], d["concept"], assertion.profile(max_chars=60))
+    return out.select("doc_id", "error", F.when(F.col("error").isNull(), F.size("annotations").cast("long")).alias("n_annotations"))

@@ -18,6 +18,25 @@ def analyze(docs: DataFrame, rare_term: DataFrame, concept: DataFrame, config: a
     return assertion.assess_windows(w, lookup.match(w, rare_term, concept, longest), config)
 
 
+ANNOTATION = ("cui", "start", "end", "grp", "negated", "subject", "history_of", "uncertain", "conditional", "generic", "preferred_text", "term")
+
+
+def analyze_batch(docs: DataFrame, rare_term: DataFrame, concept: DataFrame, config: assertion.Config = assertion.PROFILES["default"], longest: int | None = None, metrics=None) -> DataFrame:
+    """doc_id, annotations, error for every document: one that can't be analysed has the error's kind (NoText, TextTooLong) and no
+    annotations, and the others are analysed all the same. ``metrics`` (an Observation) gets documents, failed, chars, annotations."""
+    from pyspark.sql import functions as F
+
+    error = F.when(F.col("text").isNull(), "NoText").when(F.length("text") > config.max_chars, "TextTooLong")
+    d = docs.select("doc_id", "text", error.alias("error"))
+    found = analyze(d.where("error IS NULL"), rare_term, concept, config, longest)
+    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", *[c for c in ANNOTATION if c not in ("start", "end")]))).alias("annotations"))
+    empty = F.slice(F.array(F.lit(None).cast(found.schema["annotations"].dataType.elementType)), 1, 0)
+    out = d.join(found, "doc_id", "left").withColumn("annotations", F.when(F.col("error").isNull(), F.coalesce("annotations", empty)))
+    if metrics is not None:
+        out = out.observe(metrics, F.count(F.lit(1)).alias("documents"), F.count("error").alias("failed"), F.sum(F.length("text")).alias("chars"), F.sum(F.greatest(F.size("annotations"), F.lit(0))).alias("annotations"))
+    return out.select("doc_id", "annotations", "error")
+
+
 def stream(docs: DataFrame, rare_term: DataFrame, concept: DataFrame, out: str, checkpoint: str, config: assertion.Config = assertion.PROFILES["default"]):
     """A streaming query that appends each batch's annotations below ``out``, in a folder of the batch: a batch that is run again
     after a failure replaces its own rows."""
