@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import excluded_texts, not_rare, tui_table, whitelist
-from ..functions.text import dictionary_norm, strip_semantic_tag, tokens
+from ..functions.text import dictionary_norm, fenced, strip_semantic_tag, tokens
 
 CODE_SOURCES = ("SNOMEDCT_US", "RXNORM")
 UNKNOWN = "UNKNOWN"
@@ -26,9 +26,9 @@ def atoms(conso: DataFrame, sources: tuple[str, ...] | None = None, strip_tags:
     a = conso.where("lat = 'ENG' AND suppress = 'N'")
     if sources is not None:
         a = a.where(F.col("sab").isin(*sources))
-    a = a.withColumn("text", F.trim("str")).withColumn("norm", dictionary_norm(F.col("text")))
+    a = a.withColumn("text", F.trim("str")).withColumn("norm", fenced(dictionary_norm(F.col("text"))))
     if strip_tags:
-        a = a.withColumn("norm", F.when(F.col("tty") == "FN", strip_semantic_tag(F.col("norm"))).otherwise(F.col("norm")))
+        a = a.withColumn("norm", fenced(F.when(F.col("tty") == "FN", strip_semantic_tag(F.col("norm"))).otherwise(F.col("norm"))))
     a = a.where("norm <> ''")
     if exclude:
         a = a.where(~F.col("norm").isin(*excluded_texts()))
@@ -71,9 +71,10 @@ def retokenize(terms: DataFrame, most: int = 4, log=None) -> DataFrame:
     """Repeats until no term changes, ``most`` times at most. ``log`` is told how many changed each time; without it one pass is
     made, which is a fixed point for this tokenizer."""
     if log is None:
-        return terms.withColumn("norm", retokenized(F.col("norm")))
+        # Spelled once: joins push their filters on norm down, and each would spell it again.
+        return terms.withColumn("norm", fenced(retokenized(F.col("norm"))))
     for k in range(1, most + 1):
-        step = terms.withColumn("norm_", retokenized(F.col("norm")))
+        step = terms.withColumn("norm_", fenced(retokenized(F.col("norm"))))
         changed = step.where("norm_ <> norm").count()
         log(f"pass {k}: {changed} terms respelled")
         terms = step.drop("norm").withColumnRenamed("norm_", "norm").select(*terms.columns)

@@ -38,7 +38,8 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         _BUILT.clear()
-        d = dictionary.build(fixtures.conso(spark, sf_dir), fixtures.sty(spark, sf_dir))
+        # The build reads its release files several times; the made-up ones are written once, as real ones would be there.
+        d = dictionary.build(stored(fixtures.conso(spark, sf_dir), "conso"), stored(fixtures.sty(spark, sf_dir), "sty"))
         d = d | {n: stored(d[n], n) for n in ("term", "concept", "concept_tui")}
         _BUILT[key] = d | {"rare_term": stored(dictionary.rare_word_index(d["term"]), "rare_term")}
     return _BUILT[key]
