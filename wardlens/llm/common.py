@@ -59,6 +59,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def has_rows(spark: SparkSession, url: str) -> bool:
+    """Whether a partition's folder was written at all."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(url)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def drop(spark: SparkSession, *urls: str) -> None:
     """Remove paths of the shared folder that nothing reads any more."""
     for url in urls:

@@ -38,12 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, crc_mod, hash64, mix64, parts, release, scratch, split_words, table, written
+from .common import byte_slices, crc_mod, drop, has_rows, hash64, mix64, parts, release, scratch, split_words, table
 
 CHUNK = 5_000_000
 K = 5  # counts up to K are discounted
 ORDER = 3
 CHUNKS_A_PART = 4
+SPREAD = 1 << 14  # words fall into so many classes by hash, and classes into partitions
 MESSAGE = "chunk long, part int, blob binary"
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -122,7 +123,8 @@ class Unigrams:
 
 
 def make_chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """chunk, and a blob each of the texts' lengths and folds, the token numbers and the words' hashes. Token 0 is the end."""
+    """Two rows a chunk. ``texts``: a blob each of the texts' lengths and folds, the token numbers, and what places each word in a
+    partition; token 0 is the end. ``words``: the words' training counts and hashes, which only their own round trip needs."""
 
     def run(batches):
         task, seq = TaskContext.get().partitionId(), 0
@@ -137,20 +139,36 @@ def make_chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
                 number[order] = np.arange(1, len(order) + 1)
                 n = np.diff(off)
                 train = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False)
+                words = hash64(enc.dictionary)[order]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([task << 32 | seq], pa.int64()),
-                        pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([pack(n.astype(np.uint64), train.astype(np.uint64))], pa.binary()),
-                        pa.array([pack(number[codes].astype(np.uint64))], pa.binary()),
-                        pa.array([hash64(enc.dictionary)[order].astype("<u8").tobytes()], pa.binary()),
+                        pa.array([task << 32 | seq] * 2, pa.int64()),
+                        pa.array([batch.column(0).slice(a, b - a).to_pylist(), None], pa.list_(pa.int64())),
+                        pa.array([pack(n.astype(np.uint64), train.astype(np.uint64)), pack(np.bincount(codes[np.repeat(train, n)], minlength=len(order))[order])], pa.binary()),
+                        pa.array([pack(number[codes].astype(np.uint64)), words.astype("<u8").tobytes()], pa.binary()),
+                        pa.array([pack(words % np.uint64(SPREAD)), None], pa.binary()),
+                        pa.array(["texts", "words"]),
                     ],
-                    ["chunk", "docs", "texts", "tokens", "words"],
+                    ["chunk", "docs", "texts", "tokens", "spread", "kind"],
                 )
                 seq += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod("doc_id", 10) != 0).alias("train"))
-    return rows.mapInArrow(run, "chunk long, docs array<long>, texts binary, tokens binary, words binary")
+    return rows.mapInArrow(run, "chunk long, docs array<long>, texts binary, tokens binary, spread binary, kind string")
+
+
+def _part(spread: np.ndarray, p: int) -> np.ndarray:
+    """Which partition a word goes to."""
+    return (mix64(spread + np.uint64(1)) % np.uint64(p)).astype(np.int32)
+
+
+def word_rows(counts: bytes, hashes: bytes, p: int) -> list[tuple]:
+    """What a chunk's words send to each partition."""
+    x, (c,) = np.frombuffer(hashes, "<u8"), unpack(counts)
+    part = _part(x % np.uint64(SPREAD), p)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(p + 1))
+    return [(k, x[order[i:j]], c[order[i:j]]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
 
 
 class _Grams:
@@ -177,7 +195,7 @@ class _Grams:
 class Chunk:
     """A chunk's texts as numbers, and what the round trips have brought back so far, order by order."""
 
-    def __init__(self, texts: bytes, tokens: bytes, hashes: bytes):
+    def __init__(self, texts: bytes, tokens: bytes, spread: bytes):
         n, train = (x.astype(np.int64) for x in unpack(texts))
         (t,) = unpack(tokens)
         ends = np.cumsum(n + 1) - 1
@@ -190,22 +208,15 @@ class Chunk:
         self.pos = np.arange(len(w)) - (ends - n)[self.doc]
         self.is_train = train
         self.train = train[self.doc]
-        self.hashes = np.frombuffer(hashes, "<u8")
+        self.spread = unpack(spread)[0]
         self.grams: dict[int, _Grams] = {}
 
-    def word_rows(self, p: int) -> list[tuple]:
-        c = np.bincount(self.w, weights=self.train, minlength=len(self.hashes) + 1)[1:].astype(np.uint64)
-        part = (self.hashes % np.uint64(p)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(p + 1))
-        return [(k, self.hashes[order[i:j]], c[order[i:j]]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-
     def take_words(self, back: list, p: int, ends: int) -> None:
         """Global numbers and counts of the words; word 0 is the end, and as a context the start."""
-        n = len(self.hashes) + 1
+        n = len(self.spread) + 1
         self.gid, self.count, self.shared = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.ones(n, bool)
         self.count[0] = ends
-        order = np.argsort((self.hashes % np.uint64(p)).astype(np.int64), kind="stable")
+        order = np.argsort(_part(self.spread, p), kind="stable")
         if back:
             self.gid[1:][order] = np.concatenate([b[0] for b in back])
             self.count[1:][order] = np.concatenate([b[1] for b in back]).astype(np.int64)
@@ -217,14 +228,14 @@ class Chunk:
             tok = np.arange(len(self.w))
             ctx = np.where(self.pos > 0, np.concatenate([[0], self.w[:-1]]), 0) if len(self.w) else tok
             g = _Grams(tok, ctx, self.w, len(self.gid), self.train, len(self.gid))
-            g.total, shared, g.words = self.count, np.ones(len(self.gid), bool), self.gid[None, :]
+            g.total, shared, g.words_of = self.count, np.ones(len(self.gid), bool), lambda some: self.gid[None, some]
             g.lower, g.suffix, below = self.count[g.w], np.zeros(len(self.gid), np.int64), self.shared[g.w]
         else:
             low = self.grams[n - 1]
             tok = np.flatnonzero(self.pos >= n - 2)
             g = _Grams(tok, low.of[tok - 1], self.w, len(self.gid), self.train, len(low.h))
             g.total, shared = low.count, low.shared
-            g.words = np.concatenate([low.words[:, low.h], self.gid[None, low.w]])
+            g.words_of = lambda some: np.concatenate([low.words_of(low.h[some]), self.gid[None, low.w[some]]])
             g.lower, below = low.count[low.of[g.at]], low.shared[low.of[g.at]]
             place = np.full(len(self.w), -1, np.int64)
             place[low.tok] = low.ctx
@@ -234,18 +245,22 @@ class Chunk:
         asked = shared & (g.total > 0)
         g.local = asked[g.h] & ~below
         g.sent = np.flatnonzero(asked[g.h] & below)
-        h = g.h[g.sent]
-        x = np.zeros(g.n_ctx, np.uint64)
-        for column in g.words:
+        asked = np.flatnonzero(asked)
+        x = np.zeros(len(asked), np.uint64)
+        for column in g.words_of(asked):
             x = mix64(x + column + np.uint64(1))
-        spread = (-(-g.total * p // max(1, total)) + 1).astype(np.uint64)
-        base, at = (x % np.uint64(p)).astype(np.int64), x[h]
-        at = np.where(g.hot[h], at + mix64(self.gid[g.w[g.sent]] + np.uint64(1)) % np.where(g.hot[h], spread[h], np.uint64(1)), at) % np.uint64(p)
-        order = np.argsort(at.astype(np.int64), kind="stable")
-        g.sent, g.part = g.sent[order], at[order].astype(np.int64)
+        base = np.zeros(g.n_ctx, np.int64)
+        base[asked] = (x % np.uint64(p)).astype(np.int64)
+        part = base[g.h[g.sent]].astype(np.int32)
+        hot = np.flatnonzero(g.hot[g.h[g.sent]])
+        if len(hot):
+            spread = (-(-g.total[g.h[g.sent[hot]]] * p // max(1, total)) + 1).astype(np.uint64)
+            part[hot] = (part[hot] + (mix64(self.gid[g.w[g.sent[hot]]] + np.uint64(1)) % spread).astype(np.int64)) % p
         # Which contexts are named to which partitions: each to its own, a hot one also where its n-grams go.
-        asked = np.flatnonzero(asked)
-        names = np.unique(np.concatenate([base[asked] * g.n_ctx + asked, g.part * g.n_ctx + g.h[g.sent]]))
+        names = [base[asked] * g.n_ctx + asked, part[hot].astype(np.int64) * g.n_ctx + g.h[g.sent[hot]]]
+        names = np.unique(np.concatenate(names)) if len(hot) else np.sort(names[0])
+        order = np.argsort(part, kind="stable")
+        g.sent, g.part = g.sent[order], part[order].astype(np.int64)
         g.to, g.named = names // max(1, g.n_ctx), names % max(1, g.n_ctx)
         g.home = base[g.named] == g.to
         g.runs = np.bincount(np.searchsorted(names, g.part * g.n_ctx + g.h[g.sent]), minlength=len(names))
@@ -260,7 +275,7 @@ class Chunk:
         for part, hs, home, runs, keys in g.parts():
             ws, wi = np.unique(g.w[keys], return_inverse=True)
             more = [np.where(home, x[hs], 0) for x in (*seen.T, *below.T)]
-            rows.append((part, *[c[hs] for c in g.words], g.hot[hs], runs, *more, self.gid[ws], wi, g.own[keys], g.lower[keys]))
+            rows.append((part, *g.words_of(hs), g.hot[hs], runs, *more, self.gid[ws], wi, g.own[keys], g.lower[keys]))
         rest = np.ones(len(g.h), bool)
         rest[g.sent] = False
         return rows, np.bincount(np.minimum(g.own[rest], K + 2), minlength=K + 3)[1 : K + 2]
@@ -275,14 +290,15 @@ class Chunk:
             g.count[keys], g.shared[keys] = b[0].astype(np.int64), b[1] > 0
             g.seen[hs] = np.stack(b[2 : K + 3], 1)
             g.below[hs] = np.stack(b[K + 3 :], 1)
-        for k in np.flatnonzero(g.hot).tolist() if hot else []:
-            got = hot.get(tuple(g.words[:, k].tolist()))
+        often = np.flatnonzero(g.hot)
+        for k, key in zip(often.tolist(), g.words_of(often).T.tolist()) if hot else []:
+            got = hot.get(tuple(key))
             if got is not None:
                 g.seen[k], g.below[k] = got[: K + 1], got[K + 1 :]
 
     def log_probs(self, uni: "Unigrams", ds: dict[int, np.ndarray]) -> np.ndarray:
         """log10 P of each token, from the unigram up."""
-        out = np.log10(uni.prob(self.count[self.w]))
+        out = uni.prob(self.count)[self.w]
         r = np.arange(1, K + 1)
         d_low, scale_low = np.ones(K + 1) if uni.plain else uni.d, np.array([float(uni.scale)])
         for n in sorted(self.grams):
@@ -293,12 +309,13 @@ class Chunk:
             left = np.where(plain, 1.0, lost) / scale
             mass = ((g.below[:, :K] * r * d_low[1:]).sum(1) + g.below[:, K]) / scale_low[g.suffix]
             alpha = np.where(g.total > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
-            c = g.count[g.of[g.tok]]
-            disc = np.where((c <= K) & ~plain[g.ctx], d[np.minimum(c, K)], 1.0)
-            seen = np.log10(np.maximum(disc * c / scale[g.ctx], 1e-300))
-            out[g.tok] = np.where(c > 0, seen, np.log10(alpha[g.ctx]) + out[g.tok])
+            # By n-gram, in the order of their contexts; 0 where one wasn't seen.
+            few = (g.count <= K) & ~plain[g.h]
+            seen = np.where(few, d[np.minimum(g.count, K)], 1.0) * g.count / scale[g.h]
+            seen = seen[g.of[g.tok]]
+            out[g.tok] = np.where(seen > 0, seen, alpha[g.ctx] * out[g.tok])
             d_low, scale_low = d, scale
-        return out
+        return np.log10(np.maximum(out, 1e-300))
 
 
 def _sums(h: np.ndarray, c: np.ndarray, lower: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -448,17 +465,22 @@ def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK) -> Data
     if order < 2:
         raise ValueError("the order must be 2 at least")
     spark = docs.sparkSession
-    chunks = written(make_chunks(docs, chunk_bytes), "chunks")
+    path = scratch(spark, "chunks")
+    made = make_chunks(docs, chunk_bytes)
+    made.write.partitionBy("kind").parquet(path)
+    made = made.drop("kind").schema
+    chunks, words = (spark.read.schema(made).parquet(f"{path}/kind={k}") if has_rows(spark, f"{path}/kind={k}") else spark.createDataFrame([], made) for k in ("texts", "words"))
     p = max(1, parts(spark), -(-chunks.count() // CHUNKS_A_PART))
     urls = {n: scratch(spark, f"grams-{n}") for n in range(1, order + 1)}
     ends = docs.where(crc_mod("doc_id", 10) != 0).count()
 
     def send_words(batches):
         for batch in batches:
-            for chunk, _, *blobs in zip(*[c.to_pylist() for c in batch.columns]):
-                yield _packed(chunk, Chunk(*blobs).word_rows(p))
+            for chunk, _, counts, hashes, _ in zip(*[c.to_pylist() for c in batch.columns]):
+                yield _packed(chunk, word_rows(counts, hashes, p))
 
-    stats = [s[0].astype(np.int64) for s in _round(chunks.mapInArrow(send_words, MESSAGE), _count_words(p), urls[1], p)]
+    stats = [s[0].astype(np.int64) for s in _round(words.mapInArrow(send_words, MESSAGE), _count_words(p), urls[1], p)]
+    drop(spark, f"{path}/kind=words")
     release(spark)
     stats = np.sum([*stats, np.zeros(K + 3, np.int64)], axis=0)
     total, distinct, few = int(stats[0]) + ends, int(stats[1]) + (ends > 0), stats[2:].copy()
