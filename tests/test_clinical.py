@@ -172,3 +172,57 @@ def test_assessed_spans_are_those_of_all_notes(spark):
     want = catalog.annotated(spark, SF).select("doc_id", "start", "end", "cui", "term", "negated", "subject", "uncertain").collect()
     assert {r.doc_id % 3 for r in want} == {0, 1, 2} and all(r.assessed for r in got)
     assert sorted((r.span_id, r.negated, r.subject, r.uncertain) for r in got) == sorted((f"{r.doc_id}:{r.start}:{r.end}:{r.cui}:{r.term}", r.negated, r.subject, r.uncertain) for r in want)
+
+
+def test_strict_overlaps(spark):
+    m = spark.createDataFrame([(1, 0, 0, 5, "A"), (1, 0, 0, 12, "D"), (1, 0, 0, 12, "B"), (1, 0, 12, 15, "E")], "doc_id int, win int, start int, end int, cui string")
+    assert {r.cui for r in lookup.resolve_overlaps(m, coextensive=False).collect()} == {"B", "E"}
+
+
+def test_batch_isolates_what_fails(spark, index):
+    from wardlens.streaming.notes import analyze_batch
+
+    docs = spark.createDataFrame([("a", "No fever."), ("b", None), ("c", "x" * 40), ("d", "")], "doc_id string, text string")
+    got = {r.doc_id: r for r in analyze_batch(docs, *index, assertion.profile(max_chars=20)).collect()}
+    assert [got[k].error for k in "abcd"] == [None, "NoText", "TextTooLong", None]
+    assert [a.term for a in got["a"].annotations] == ["fever"] and got["d"].annotations == [] and got["b"].annotations is None
+
+
+def test_explained(spark, index):
+    from wardlens.operators import explain
+
+    docs = spark.createDataFrame([(1, "History of diabetes. Past Medical History: Copd."), (2, "Mother with diabetes.")], "doc_id int, text string")
+    a = analyze(docs, *index, assertion.profile("clinical_recall"))
+    got = {(r.rule, r.label) for r in explain.explained(a, "history_of").collect()}
+    assert ("cue", "history of (forward)") in got and ("section", "past_medical_history") in got
+    assert {(r.rule, r.label) for r in explain.explained(a, "subject").collect()} == {("cue", "mother (forward)")}
+    x = spark.createDataFrame([(2, 0, "mother", 12, 20)], "doc_id int, win int, cue string, start int, end int")
+    (r,) = explain.cue_examples(x, docs, T.windows(docs).select("doc_id", F.posexplode("windows").alias("win", "tokens"))).collect()
+    assert (r.cue, r.n, r.examples[0].mention, r.examples[0].sentence) == ("mother", 1, "diabetes", "Mother with diabetes.")
+
+
+def test_attribute_registry():
+    from wardlens import attributes
+
+    assert attributes.names(True) == ("negated", "subject", "history_of", "uncertain") and attributes.scorable("conditional") == ("conditional",)
+    assert attributes.attribute("negated").verdicts == ("negated", "affirmed", "unclear") and "prototype" in attributes.attribute("conditional").caveat()
+    with pytest.raises(KeyError, match="negated"):
+        attributes.attribute("nothing")
+    with pytest.raises(ValueError):
+        attributes.scorable("generic")
+
+
+def test_stages_of_the_dictionary(spark):
+    conso = spark.createDataFrame([("C1", "ENG", "Y", "RXNORM", "PT", "X-ray of head", "N")], "cui string, lat string, ispref string, sab string, tty string, str string, suppress string")
+    sty = spark.createDataFrame([("C1", "T047")], "cui string, tui string")
+    said = []
+    assert dictionary.run_stages(conso, sty, dry=True, log=said.append) == {} and said == list(dictionary.STAGES)
+    out = dictionary.run_stages(conso, sty, log=said.append)
+    assert [r.norm for r in out["term"].collect()] == ["x - ray of head"] and out["rare_term"].count() == 1
+    with pytest.raises(ValueError):
+        dictionary.run_stages(conso, sty, only="index")
+    with pytest.raises(ValueError):
+        dictionary.run_stages(conso, sty, first="nothing")
+    said = []
+    dictionary.retokenize(out["term"], log=said.append)
+    assert said == ["pass 1: 0 terms respelled"]

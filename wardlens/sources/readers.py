@@ -185,7 +185,7 @@ def annotation_table(spark: SparkSession, path: str) -> DataFrame:
     if "annotations" in t.columns:
         out = t.select(F.col("source").alias("document"), F.explode("annotations").alias("a")).select("document", "a.*")
     elif "mentions" in t.columns:  # reference records: one row a mention and concept
-        m = t.select(F.col("source_file").alias("document"), F.explode("mentions").alias("m")).select("document", "m.*")
+        m = records(spark, path).select(F.col("source_file").alias("document"), F.explode("mentions").alias("m")).select("document", "m.*")
         out = m.withColumn("c", F.explode("concepts")).select("document", F.col("begin").alias("start"), "end", "negated", "uncertain", "conditional", "generic", "subject", "history_of", "c.cui", "c.preferred_text").where("cui IS NOT NULL")
     else:
         raise ValueError("the records have neither annotations nor mentions")
