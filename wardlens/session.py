@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def stored(df, name: str):
-    """Write a table to the folder that all executors share (``spark.checkpoint.dir``; only where it is unset, a folder of the
-    driver's) and read it back: later plans start from a file, not from a long lineage."""
+    """Write a table to the folder that all executors share, ``spark.checkpoint.dir``, and read it back: later plans start from a
+    file, not from a long lineage. Only a local master may go without the setting."""
     import atexit
     import shutil
     import tempfile
@@ -39,6 +39,8 @@ def stored(df, name: str):
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wardlens-")
         atexit.register(shutil.rmtree, root[7:], True)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
