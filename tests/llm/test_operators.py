@@ -133,6 +133,28 @@ def test_near_dedup(docs, empty, size, percent, bands):
     assert near_dedup.keep_one(empty).count() == 0
 
 
+def test_near_dedup_with_shared_ids(spark):
+    """A doc_id whose rows have different texts is one node: it joins what either text is linked with."""
+    a, b = "a b c d e f g h i j k l m n o p q", "z y x w v u t s r q p"
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b + " o"), (9, "unlike all of the others here"), (5, b)], "doc_id long, text string")
+    got = near_dedup.near_duplicates(d, 3, 85, 20).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (5, 1), (7, 1), (9, 9)} and len(got) == 6
+    assert sorted(r.n_shingles for r in got if r.doc_id == 5) == [9, 9, 15]
+
+
+def test_runs_of_benchmark_words(spark):
+    """Runs cross block borders, repeat themselves, and must have 13 words; a long document doesn't hide one."""
+    words = [f"b{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "tick tock " * 20)], "item_id long, text string")
+    other = " ".join(f"o{i}" for i in range(900))
+    cases = {0: words[5:18], 1: words[5:17], 2: words[27:], 3: words[:12] + ["x"] + words[12:26], 4: ["tick", "tock"] * 50, 5: ["tock"] + ["tick", "tock"] * 5}
+    d = spark.createDataFrame([(k, f"{other} {' '.join(w)} {other}") for k, w in cases.items()], "doc_id long, text string")
+    got = {r.doc_id: r.hits for r in decontamination.scan(d, bench).collect()}
+    assert {k: (h.n_hit, h.longest, list(h.item_ids)) for k, h in got.items()} == {0: (13, 13, ["1"]), 1: (0, 0, []), 2: (13, 13, ["1"]), 3: (14, 14, ["1"]), 4: (100, got[4].longest, ["2"]), 5: (0, 0, [])}
+    assert got[4].longest >= 13 and len(got[0].spans) == 1
+    assert {r.doc_id for r in decontamination.drop_contaminated(d, bench).collect()} == {1, 5}
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(1, BASE.upper() + "!"), (2, "two WORDS"), (2, "One"), (None, "cat"), (4, None), (5, "")], "item_id long, text string")
     got = decontamination.scan(docs, bench).collect()
