@@ -38,9 +38,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, crc_mod, drop, has_rows, hash64, mix64, parts, release, scratch, split_words, table
+from .common import byte_slices, crc_mod, drop, has_rows, hash64, mix64, parts, release, scratch, split_words, table, tidied
 
-CHUNK = 5_000_000
+CHUNK = 3_000_000
 K = 5  # counts up to K are discounted
 ORDER = 3
 CHUNKS_A_PART = 4
@@ -154,7 +154,7 @@ def make_chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
                 seq += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod("doc_id", 10) != 0).alias("train"))
-    return rows.mapInArrow(run, "chunk long, docs array<long>, texts binary, tokens binary, spread binary, kind string")
+    return rows.mapInArrow(tidied(run), "chunk long, docs array<long>, texts binary, tokens binary, spread binary, kind string")
 
 
 def _part(spread: np.ndarray, p: int) -> np.ndarray:
@@ -175,13 +175,14 @@ class _Grams:
     """The n-grams of one order in a chunk. ``tok``: tokens that have one; ``of``: the n-gram that ends at each token, or -1."""
 
     def __init__(self, tok, ctx, w, width, train, n_ctx):
-        keys, which = np.unique(ctx * width + w[tok], return_inverse=True)
-        self.tok, self.ctx, self.n_ctx = tok, ctx, n_ctx
-        self.of = np.full(len(w), -1, np.int64)
+        keys, which = np.unique(ctx.astype(np.int64) * width + w[tok], return_inverse=True)
+        which = which.astype(np.int32)  # a chunk's own numbers are small; global counts and numbers stay 64 bits wide
+        self.tok, self.ctx, self.n_ctx = tok.astype(np.int32), ctx.astype(np.int32), n_ctx
+        self.of = np.full(len(w), -1, np.int32)
         self.of[tok] = which
-        self.h, self.w = keys // width, keys % width
-        self.own = np.bincount(which, weights=train[tok], minlength=len(keys)).astype(np.int64)
-        self.at = np.zeros(len(keys), np.int64)  # some token where each stands
+        self.h, self.w = (keys // width).astype(np.int32), (keys % width).astype(np.int32)
+        self.own = np.bincount(which[train[tok]], minlength=len(keys)).astype(np.int32)
+        self.at = np.zeros(len(keys), np.int32)  # some token where each stands
         self.at[which] = tok
 
     def parts(self):
@@ -199,15 +200,15 @@ class Chunk:
         n, train = (x.astype(np.int64) for x in unpack(texts))
         (t,) = unpack(tokens)
         ends = np.cumsum(n + 1) - 1
-        w = np.zeros(len(t) + len(n), np.int64)
+        w = np.zeros(len(t) + len(n), np.int32)
         inner = np.ones(len(w), bool)
         inner[ends] = False
-        w[inner] = t.astype(np.int64)
+        w[inner] = t.astype(np.int32)
         self.w, self.texts = w, len(n)
-        self.doc = np.repeat(np.arange(len(n)), n + 1)
-        self.pos = np.arange(len(w)) - (ends - n)[self.doc]
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
+        self.pos = (np.arange(len(w)) - (ends - n)[self.doc]).astype(np.int32)
         self.is_train = train
-        self.train = train[self.doc]
+        self.train = (train > 0)[self.doc]
         self.spread = unpack(spread)[0]
         self.grams: dict[int, _Grams] = {}
 
@@ -237,7 +238,7 @@ class Chunk:
             g.total, shared = low.count, low.shared
             g.words_of = lambda some: np.concatenate([low.words_of(low.h[some]), self.gid[None, low.w[some]]])
             g.lower, below = low.count[low.of[g.at]], low.shared[low.of[g.at]]
-            place = np.full(len(self.w), -1, np.int64)
+            place = np.full(len(self.w), -1, np.int32)
             place[low.tok] = low.ctx
             g.suffix = np.zeros(g.n_ctx, np.int64)  # each context without its first word, as a context of the order below
             g.suffix[g.ctx] = place[tok]
@@ -283,7 +284,7 @@ class Chunk:
     def take_grams(self, n: int, back: list, hot: dict) -> None:
         """Counts, and the sums of contexts: ``seen`` by the n-grams' counts, ``below`` by their counts one order lower."""
         g = self.grams[n]
-        g.count, g.shared = g.own.copy(), np.zeros(len(g.h), bool)
+        g.count, g.shared = g.own.astype(np.int64), np.zeros(len(g.h), bool)
         g.count[g.total[g.h] == 0] = 0
         g.seen, g.below = _sums(g.h, g.count, g.lower, g.n_ctx)
         for b, (_, hs, _, _, keys) in zip(back, g.parts(), strict=True):
@@ -345,7 +346,7 @@ def _number(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 def _round(sent: DataFrame, count, url: str, p: int) -> list[list[np.ndarray]]:
     """Send, count, bring back: one file for each chunk in the shared folder, blobs in order of their partitions. Returns the
     counting tasks' summaries, one each."""
-    back = sent.repartitionById(p, "part").mapInArrow(count, MESSAGE)
+    back = sent.repartitionById(p, "part").mapInArrow(tidied(count), MESSAGE)
     ordered = back.repartition(p, "chunk").sortWithinPartitions("chunk", "part")
 
     def run(batches):
@@ -501,10 +502,12 @@ def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK) -> Data
     def sender(n, hot):
         def send(batches):
             for batch in batches:
-                for chunk, _, *blobs in zip(*[c.to_pylist() for c in batch.columns]):
+                for row in range(batch.num_rows):
+                    chunk, _, *blobs = (c[row].as_py() for c in batch.columns)
                     rows, rest = loaded(chunk, blobs, n, hot).gram_rows(n)
                     yield _packed(chunk, rows)
                     yield _packed(-1, [(chunk % p, rest)])
+                    del rows, rest, blobs
 
         return send
 
@@ -512,7 +515,7 @@ def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK) -> Data
     for n in range(2, order + 1) if total else []:
         few, sums = np.zeros(K + 1, np.int64), {}
         # One summary a partition, with two hot contexts in it on average at most.
-        for got in _round(chunks.mapInArrow(sender(n, dict(hot)), MESSAGE), _count_grams(n, n == order), urls[n], p):
+        for got in _round(chunks.mapInArrow(tidied(sender(n, dict(hot))), MESSAGE), _count_grams(n, n == order), urls[n], p):
             few += got[0].astype(np.int64)
             for row in zip(*[x.tolist() for x in got[1:]]):
                 key = row[: n - 1]
@@ -522,7 +525,9 @@ def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK) -> Data
 
     def finish(batches):
         for batch in batches:
-            for chunk, doc_ids, *blobs in zip(*[c.to_pylist() for c in batch.columns]):
+            for row in range(batch.num_rows):
+                made = None  # one chunk at a time
+                chunk, doc_ids, *blobs = (c[row].as_py() for c in batch.columns)
                 made = loaded(chunk, blobs, order if uni else 1, hot)
                 if uni:
                     made.take_grams(order, _read_blobs(urls[order], chunk), hot[order])
@@ -542,7 +547,7 @@ def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK) -> Data
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return chunks.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.mapInArrow(tidied(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _packed(chunk: int, rows: list[tuple]) -> pa.RecordBatch:
