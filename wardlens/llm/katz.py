@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, crc_mod, drop, has_rows, hash64, mix64, parts, release, scratch, split_words, table, tidied
 
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 K = 5  # counts up to K are discounted
 ORDER = 3
 CHUNKS_A_PART = 4
