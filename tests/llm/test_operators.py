@@ -421,3 +421,49 @@ def test_url_filters_deep_paths(spark):
     assert {(got[i].template, got[i].verdict) for i in [*range(100, 260), 501]} == {("x/{n}/w/*", "allow")} and got[502].template == "x"
     assert {(got[i].template, got[i].verdict) for i in range(300, 360)} == {("{n}/{n}/{n}/news/*/{n}", "block")}
     assert {(got[i].template, got[i].verdict) for i in range(400, 480)} == {("q/r/s/t0/u", "allow"), ("q/r/s/t1/u", "block")}
+
+
+def test_joining_finds_the_components_of_all_pairs():
+    rng = np.random.default_rng(5)
+    for n, universe in ((2, 30), (12, 60), (80, 300), (200, 90)):
+        base = rng.choice(1 << 40, universe, replace=False).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(universe) < rng.uniform(0.75, 1)], rng.integers(0, 1 << 40, rng.integers(0, 4)).astype(np.uint64)])) for _ in range(n)]
+        roots, wide = rng.integers(0, max(2, n // 3), n), [set(s.tolist()) for s in sets]
+        linked = lambda i, j: 100 * len(wide[i] & wide[j]) >= 85 * len(wide[i] | wide[j])
+
+        def groups(links):
+            label = roots.tolist()
+            for i, j in links:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+            return {tuple(k for k in range(n) if label[k] == x) for x in label}
+
+        got = near_dedup.joining(sets, roots, 85)
+        assert all(linked(i, j) for i, j in got) and len(got) < n
+        assert groups(got) == groups([(i, j) for i in range(n) for j in range(i) if linked(i, j)])
+
+
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 6000])
+def test_unlike_copies_of_a_text_make_no_table_of_pairs(spark, monkeypatch, block):
+    rng = np.random.default_rng(9)
+    words = ["t%d" % i for i in range(120)]
+    texts = [" ".join(w if rng.random() > q else "x%d" % rng.integers(1 << 40) for w in words) for q in rng.uniform(0.0, 0.12, 250)]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    most, write = {}, near_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        most[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85, 20).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 20
+    assert max(most.values()) <= 20 * len(texts) and most["links2"] < 10 * len(texts)

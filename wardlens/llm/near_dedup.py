@@ -6,10 +6,12 @@
    a column-wise minimum of runs.
 2. Equal sets fall together by digest; the least doc_id stands for them from there on.
 3. Bands of the signature name buckets. In a bucket every document is paired with the least one only; each document's first
-   such partner is verified, and components of the links are taken. After that only pairs from one bucket but different
-   components are left to verify. So a group of thousands of near copies costs about one verification a member, and no link
-   between different components is missed that banding finds.
-4. Pairs are verified on full sets, recomputed from the texts. The texts of candidates, which a bitmap of fixed size picks
+   such partner is verified, and components of the links are taken. After that only buckets whose documents are in different
+   components are left. Their documents are brought together with their texts, once a bucket instead of once a pair, and
+   common shingles of all pairs are counted at once, as a matrix product; only links that join components are returned. So no
+   link between different components is missed that banding finds. A bucket of more than ``BLOCK`` shingles is dealt out in
+   blocks, and each two blocks are compared by themselves.
+4. Links are verified on full sets, recomputed from the texts. The texts of candidates, which a bitmap of fixed size picks
    out of the scan, are written once.
 
 Nothing is collected but counts. Hot buckets, digests and ids are combined before shuffles or split by adaptive joins.
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, byte_slices, hash64, mix64, resident, split_words, table, tidied, written
+from .common import UPPER, byte_slices, hash64, mix64, parts, resident, split_words, table, tidied, written
 from .components import components
 from .encoding import _runs
 
 BITS = 22
 BITMAP = 24
 ROWS = 5
+BLOCK = 2_000_000
 
 
 def _permutations(coordinates: int):
@@ -149,6 +152,107 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
+def _common(rows: np.ndarray, dense: np.ndarray, doc: np.ndarray, col: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles each of ``rows`` has in common with each of ``n`` documents: frequent shingles are columns of ``dense``, of
+    the others the documents ``doc`` stand by shingle ``col``, each from ``starts`` on."""
+    out = np.zeros((len(rows), n))
+    width = max(16, min(512, 4_000_000 // n))
+    for c in range(0, dense.shape[1], width):
+        part = dense[:, c : c + width].astype(np.float32)
+        out += part[rows] @ part.T
+    at = np.full(n, -1)
+    at[rows] = np.arange(len(rows))
+    own = np.flatnonzero(at[doc] >= 0)
+    many = np.diff(starts)[col[own]]
+    cuts = np.append(np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()), 2_000_000)), len(own))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        e, m = own[i:j], many[i:j]
+        out += np.bincount(np.repeat(at[doc[e]], m) * n + doc[_runs(starts[col[e]], m)], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def joining(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) with 100 * intersection >= percent * union that join components, given as ``roots``, as all such links do."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    doc = np.repeat(np.arange(n), size)
+    _, col = np.unique(np.concatenate(sets), return_inverse=True)
+    for _ in range(3):  # who has too few shingles that any other has is linked with nothing
+        freq = np.bincount(col)
+        shared = freq[col] > 1
+        stay = 100 * np.bincount(doc[shared], minlength=n) >= percent * size
+        keep = shared & stay[doc]
+        if keep.all():
+            break
+        doc, col = doc[keep], col[keep]
+    if not len(doc):
+        return []
+    here, doc = np.unique(doc, return_inverse=True)
+    size, label, n = size[here], np.unique(roots[here], return_inverse=True)[1], len(here)
+    freq = np.bincount(col)
+    often = freq * 8 > n
+    number = np.cumsum(often) - 1
+    dense = np.zeros((n, int(often.sum())), np.uint8)
+    frequent = often[col]
+    dense[doc[frequent], number[col[frequent]]] = 1
+    doc, col = doc[~frequent], col[~frequent]
+    order = np.argsort(col, kind="stable")
+    doc, col = doc[order], col[order]
+    starts = np.searchsorted(col, np.arange(len(freq) + 1))
+    out, most = [], np.bincount(label).argmax()
+    others = np.flatnonzero(label != most)  # of two components, one isn't the largest
+    step = max(1, 4_000_000 // n)
+    for k in range(0, len(others), step):
+        rows = others[k : k + step]
+        both = _common(rows, dense, doc, col, starts, n)
+        linked = (both > 0) & ((100 + percent) * both.astype(np.int64) >= percent * (size[rows][:, None] + size[None, :]))
+        while True:
+            new = linked & (label[rows][:, None] != label[None, :])
+            found = np.flatnonzero(new.any(1))
+            if not len(found):
+                break
+            for r, c in zip(rows[found].tolist(), new[found].argmax(1).tolist()):
+                if label[r] != label[c]:
+                    out.append((int(here[r]), int(here[c])))
+                    label[label == label[r]] = label[c]
+    return out
+
+
+def joined(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links (a, b), a < b, that join the components of each bucket's ``members`` (key, doc_id, n_shingles, root)."""
+    blocks = members.groupBy("key").agg(F.ceil(F.sum(F.col("n_shingles") + 100) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)"))
+    dealt = dealt.withColumn("with", F.explode(F.expr("if(blocks = 1, array(0L), filter(sequence(0L, blocks - 1L), x -> x <> block))")))
+    dealt = dealt.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "doc_id", "root")
+    group = ["key", "lo", "hi"]
+    rows = dealt.join(texts, "doc_id").select(*group, "doc_id", "root", "text").repartition(parts(members.sparkSession), *group).sortWithinPartitions(*group)
+
+    def run(batches):
+        now, ids, roots, sets = None, [], [], []
+
+        def close():
+            links = joining(sets, np.array(roots), percent) if len(set(roots)) > 1 else []
+            pairs = sorted({(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in links})
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for whole in batches:
+            for i, j in byte_slices(whole.column(5), 4_000_000):
+                part = whole.slice(i, j - i)
+                keys = zip(*[part.column(k).to_pylist() for k in range(3)])
+                with np.errstate(over="ignore"):
+                    for key, doc_id, root, s in zip(keys, part.column(3).to_pylist(), part.column(4).to_pylist(), shingle_sets(part.column(5), size)):
+                        if key != now:
+                            if len(ids) > 1:
+                                yield close()
+                            now, ids, roots, sets = key, [], [], []
+                        ids.append(doc_id)
+                        roots.append(root)
+                        sets.append(s)
+        if len(ids) > 1:
+            yield close()
+
+    return rows.mapInArrow(tidied(run), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 30) -> DataFrame:
     """doc_id, n_shingles, digest, component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -162,7 +266,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     buckets = written(buckets.join(sizes.select("key", "leader"), "key"), "buckets")
     texts = marked(docs, buckets.select("doc_id").distinct()).where("maybe").select("doc_id", "text")
     texts = written(texts.dropDuplicates(["doc_id", "text"]), "candidates")
-    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     # A doc_id whose rows have different sets is one node all the same: its classes are linked.
     several = written(known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id"), "several")
     own = known.join(several, "doc_id").join(classes, "digest").select("doc_id", "rep").distinct()
@@ -175,11 +278,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     tagged = buckets.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     open_ = written(tagged.join(mixed, "key").select("key", "doc_id", "n_shingles", "root"), "mixed")
-    x = open_.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("root").alias("r_a"))
-    y = open_.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("root").alias("r_b"))
-    rest = x.join(y, "key").where(f"a < b AND r_a <> r_b AND {near}").select("a", "b").distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = written(verified(written(rest, "pairs"), texts, size, percent), "links2")
+    more = written(joined(open_, texts, size, percent), "links2")
     roots = components(links.unionByName(more).distinct())
     out = sk.join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
