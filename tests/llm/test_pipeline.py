@@ -9,7 +9,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wardlens.llm import pii
+from wardlens.llm import near_dedup, pii
 from wardlens.llm.quality_rules import RULES, STOP_WORDS
 
 SF = "/root/testdata/sf0.001"
@@ -141,3 +141,19 @@ def test_no_secret_is_left(spark):
     for r in pii.stage(docs).join(docs.selectExpr("doc_id", "text AS old"), "doc_id").collect():
         for m in re.findall(r"[\w.+-]+@[\w.-]+\.\w+|AKIA[0-9A-Z]{16}|\+1 \(\d{3}\) \d{3}-\d{4}", r.old):
             assert m not in r.text
+
+
+def test_unlike_copies_make_no_table_of_pairs_in_the_dedup_stage(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["t%d" % i for i in range(120)]
+    texts = [" ".join(w if rng.random() > q else "x%d" % rng.integers(1 << 40) for w in words) for q in rng.uniform(0.0, 0.1, 250)]
+    most, write = [], near_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    kept = corpus_pipeline.dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").count()
+    assert 20 < kept < len(texts) and max(most) <= 30 * len(texts)
