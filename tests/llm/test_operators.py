@@ -467,3 +467,22 @@ def test_unlike_copies_of_a_text_make_no_table_of_pairs(spark, monkeypatch, bloc
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85, 20).collect()}
     assert got == dict(enumerate(root)) and len(set(root)) > 20
     assert max(most.values()) <= 20 * len(texts) and most["links2"] < 10 * len(texts)
+
+
+def test_katz_brings_back_sums_for_held_out_contexts_only():
+    back = {}
+    for train in (1, 0):
+        g = katz.Chunk(katz.pack(np.array([4, 3], np.uint64), np.array([1, train], np.uint64)), katz.pack(np.array([1, 2, 3, 1, 1, 2, 4], np.uint64)), np.arange(10, 14, dtype="<u8").tobytes())
+        g.take_words([(np.arange(1, 5, dtype=np.uint64), np.array([3, 2, 1, 1], np.uint64), np.ones(4, np.uint64))], 1, 2)
+        g.build(2, 1, 9)
+        rows, _ = g.gram_rows(2)
+        back[train] = [x for b in katz._count_grams(2, True)(iter([katz._packed(0, rows)])) for chunk, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) if chunk == 0]
+    sizes = {k: [len(x) for x in katz.unpack(v[0])] for k, v in back.items()}
+    assert set(sizes[1][3:]) == {0} and set(sizes[0][3:]) == {4} and sizes[1][2] == 5
+
+
+def test_katz_numbers_of_distinct_keys():
+    rng = np.random.default_rng(2)
+    for keys in (np.zeros(0, np.int64), np.array([7]), rng.integers(0, 50, 999), rng.integers(0, 1 << 62, 99), rng.integers(0, 1 << 63, 99).astype(np.uint64) * np.uint64(2), np.array([-3, 2, -3])):
+        got, want = katz.distinct(keys), np.unique(keys, return_inverse=True)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want)) and got[0].dtype == want[0].dtype

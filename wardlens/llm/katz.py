@@ -11,9 +11,10 @@ are numbered within the chunk (table ``chunks``). Then one round trip for each o
 packed by target partition, and gets back what it needs to know about them, in the same order:
 
 * words go to the partition of their hash, and come back with a global number and count;
-* n-grams go to the partition of their context, and come back with their count, whether another chunk has them too, and the
-  context's sums: how many words were seen after it 1 ... K times or oftener, and the same by their counts after h'. All are whole
-  numbers, so the weights are exactly normalised whatever order they are added in.
+* n-grams go to the partition of their context, and come back with their count, whether another chunk has them too, whether the
+  context has any count that is discounted, and, where the chunk has a held-out token after it, the context's sums: how many words
+  were seen after it 1 ... K times or oftener, and the same by their counts after h'. All are whole numbers, so the weights are
+  exactly normalised whatever order they are added in. A training token is never unseen and needs no weight.
 
 An n-gram of which the context, or all but the first word, is in no other chunk is not sent: its chunk knows its count. What such
 n-grams add to the sums of contexts that others have too is sent in their place. A context with more than a partition's
@@ -153,16 +154,41 @@ def make_chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, docs array<long>, texts binary, tokens binary, words binary")
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse. Whole numbers that leave room for their places are sorted together with those, as numbers: several
+    times faster than sorting places by them."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if not len(keys) or int(keys.max()) >> (64 - bits) or int(keys.min()) < 0:
+        return np.unique(keys, return_inverse=True)
+    s = np.sort(keys.astype(np.uint64) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+    at = (s & np.uint64((1 << bits) - 1)).astype(np.int64)
+    s >>= np.uint64(bits)
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    which = np.empty(len(s), np.int64)
+    which[at] = np.cumsum(new) - 1
+    return s[new].astype(keys.dtype), which
+
+
+def _by_part(part: np.ndarray, p: int) -> np.ndarray:
+    """The stable order by partition. Numpy sorts 16-bit numbers by radix."""
+    return np.argsort(part.astype(np.uint16 if p <= 1 << 16 else np.int64), kind="stable")
+
+
 class _Grams:
     """The n-grams of one order in a chunk. ``tok``: tokens that have one; ``of``: the n-gram that ends at each token, or -1."""
 
     def __init__(self, tok, ctx, w, width, train, n_ctx):
-        keys, which = np.unique(ctx * width + w[tok], return_inverse=True)
+        keys, which = distinct(ctx * width + w[tok])
         self.tok, self.ctx, self.n_ctx = tok, ctx, n_ctx
         self.of = np.full(len(w), -1, np.int64)
         self.of[tok] = which
-        self.h, self.w = keys // width, keys % width
+        self.h = keys // width
+        self.w = keys - self.h * width
         self.own = np.bincount(which, weights=train[tok], minlength=len(keys)).astype(np.int64)
+        self.asks = np.zeros(n_ctx, bool)  # contexts of held-out tokens: theirs alone are the words not seen
+        self.asks[ctx[train[tok] == 0]] = True
+        self.row = np.cumsum(self.asks) - 1
         self.at = np.zeros(len(keys), np.int64)  # some token where each stands
         self.at[which] = tok
 
@@ -196,7 +222,7 @@ class Chunk:
     def word_rows(self, p: int) -> list[tuple]:
         c = np.bincount(self.w, weights=self.train, minlength=len(self.hashes) + 1)[1:].astype(np.uint64)
         part = (self.hashes % np.uint64(p)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        order = _by_part(part, p)
         cuts = np.searchsorted(part[order], np.arange(p + 1))
         return [(k, self.hashes[order[i:j]], c[order[i:j]]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
 
@@ -205,7 +231,7 @@ class Chunk:
         n = len(self.hashes) + 1
         self.gid, self.count, self.shared = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.ones(n, bool)
         self.count[0] = ends
-        order = np.argsort((self.hashes % np.uint64(p)).astype(np.int64), kind="stable")
+        order = _by_part(self.hashes % np.uint64(p), p)
         if back:
             self.gid[1:][order] = np.concatenate([b[0] for b in back])
             self.count[1:][order] = np.concatenate([b[1] for b in back]).astype(np.int64)
@@ -225,7 +251,8 @@ class Chunk:
             g = _Grams(tok, low.of[tok - 1], self.w, len(self.gid), self.train, len(low.h))
             g.total, shared = low.count, low.shared
             g.words = np.concatenate([low.words[:, low.h], self.gid[None, low.w]])
-            g.lower, below = low.count[low.of[g.at]], low.shared[low.of[g.at]]
+            end = low.of[g.at]
+            g.lower, below = low.count[end], low.shared[end]
             place = np.full(len(self.w), -1, np.int64)
             place[low.tok] = low.ctx
             g.suffix = np.zeros(g.n_ctx, np.int64)  # each context without its first word, as a context of the order below
@@ -238,17 +265,18 @@ class Chunk:
         x = np.zeros(g.n_ctx, np.uint64)
         for column in g.words:
             x = mix64(x + column + np.uint64(1))
-        spread = (-(-g.total * p // max(1, total)) + 1).astype(np.uint64)
-        base, at = (x % np.uint64(p)).astype(np.int64), x[h]
-        at = np.where(g.hot[h], at + mix64(self.gid[g.w[g.sent]] + np.uint64(1)) % np.where(g.hot[h], spread[h], np.uint64(1)), at) % np.uint64(p)
-        order = np.argsort(at.astype(np.int64), kind="stable")
+        base, at, k = (x % np.uint64(p)).astype(np.int64), x[h], np.flatnonzero(g.hot[h])
+        spread = (-(-g.total[h[k]] * p // max(1, total)) + 1).astype(np.uint64)
+        at[k] += mix64(self.gid[g.w[g.sent[k]]] + np.uint64(1)) % spread
+        at %= np.uint64(p)
+        order = _by_part(at, p)
         g.sent, g.part = g.sent[order], at[order].astype(np.int64)
         # Which contexts are named to which partitions: each to its own, a hot one also where its n-grams go.
         asked = np.flatnonzero(asked)
-        names = np.unique(np.concatenate([base[asked] * g.n_ctx + asked, g.part * g.n_ctx + g.h[g.sent]]))
+        names, named = distinct(np.concatenate([base[asked] * g.n_ctx + asked, g.part * g.n_ctx + g.h[g.sent]]))
         g.to, g.named = names // max(1, g.n_ctx), names % max(1, g.n_ctx)
         g.home = base[g.named] == g.to
-        g.runs = np.bincount(np.searchsorted(names, g.part * g.n_ctx + g.h[g.sent]), minlength=len(names))
+        g.runs = np.bincount(named[len(asked) :], minlength=len(names))
         self.grams[n] = g
         return g
 
@@ -258,57 +286,70 @@ class Chunk:
         own = np.flatnonzero(g.local)
         seen, below = _sums(g.h[own], g.own[own], g.lower[own], g.n_ctx)
         for part, hs, home, runs, keys in g.parts():
-            ws, wi = np.unique(g.w[keys], return_inverse=True)
+            ws, wi = distinct(g.w[keys])
             more = [np.where(home, x[hs], 0) for x in (*seen.T, *below.T)]
-            rows.append((part, *[c[hs] for c in g.words], g.hot[hs], runs, *more, self.gid[ws], wi, g.own[keys], g.lower[keys]))
+            rows.append((part, *[c[hs] for c in g.words], g.hot[hs], runs, g.asks[hs], *more, self.gid[ws], wi, g.own[keys], g.lower[keys]))
         rest = np.ones(len(g.h), bool)
         rest[g.sent] = False
         return rows, np.bincount(np.minimum(g.own[rest], K + 2), minlength=K + 3)[1 : K + 2]
 
     def take_grams(self, n: int, back: list, hot: dict) -> None:
-        """Counts, and the sums of contexts: ``seen`` by the n-grams' counts, ``below`` by their counts one order lower."""
+        """Counts, whether contexts are ``plain``: nothing after them is discounted, and the sums of those that ask: ``seen`` by the
+        n-grams' counts, ``below`` by their counts one order lower."""
         g = self.grams[n]
         g.count, g.shared = g.own.copy(), np.zeros(len(g.h), bool)
         g.count[g.total[g.h] == 0] = 0
-        g.seen, g.below = _sums(g.h, g.count, g.lower, g.n_ctx)
+        asked = np.flatnonzero(g.asks[g.h])
+        g.seen, g.below = _sums(g.row[g.h[asked]], g.count[asked], g.lower[asked], int(g.asks.sum()))
+        g.plain = np.ones(g.n_ctx, bool)
+        g.plain[g.h[(g.count > 0) & (g.count <= K)]] = False
         for b, (_, hs, _, _, keys) in zip(back, g.parts(), strict=True):
-            g.count[keys], g.shared[keys] = b[0].astype(np.int64), b[1] > 0
-            g.seen[hs] = np.stack(b[2 : K + 3], 1)
-            g.below[hs] = np.stack(b[K + 3 :], 1)
+            g.count[keys], g.shared[keys], g.plain[hs] = b[0].astype(np.int64), b[1] > 0, b[2] > 0
+            rows = g.row[hs[g.asks[hs]]]
+            g.seen[rows] = np.stack(b[3 : K + 4], 1)
+            g.below[rows] = np.stack(b[K + 4 :], 1)
         for k in np.flatnonzero(g.hot).tolist() if hot else []:
             got = hot.get(tuple(g.words[:, k].tolist()))
             if got is not None:
-                g.seen[k], g.below[k] = got[: K + 1], got[K + 1 :]
+                g.plain[k] = not got[:K].any()
+                if g.asks[k]:
+                    g.seen[g.row[k]], g.below[g.row[k]] = got[: K + 1], got[K + 1 :]
 
     def log_probs(self, uni: "Unigrams", ds: dict[int, np.ndarray]) -> np.ndarray:
-        """log10 P of each token, from the unigram up."""
-        out = np.log10(uni.prob(self.count[self.w]))
-        r = np.arange(1, K + 1)
-        d_low, scale_low = np.ones(K + 1) if uni.plain else uni.d, np.array([float(uni.scale)])
-        for n in sorted(self.grams):
-            g, d = self.grams[n], ds[n]
-            lost = (g.seen[:, :K] * r * (1 - d[1:])).sum(1)
-            plain = lost <= 0  # nothing was discounted: one token is set aside for the words not seen
-            scale = np.where(plain, g.total + 1, np.maximum(g.total, 1)).astype(float)
-            left = np.where(plain, 1.0, lost) / scale
-            mass = ((g.below[:, :K] * r * d_low[1:]).sum(1) + g.below[:, K]) / scale_low[g.suffix]
-            alpha = np.where(g.total > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
-            c = g.count[g.of[g.tok]]
-            disc = np.where((c <= K) & ~plain[g.ctx], d[np.minimum(c, K)], 1.0)
-            seen = np.log10(np.maximum(disc * c / scale[g.ctx], 1e-300))
-            out[g.tok] = np.where(c > 0, seen, np.log10(alpha[g.ctx]) + out[g.tok])
-            d_low, scale_low = d, scale
+        """log10 P of each token: from the highest order down, to where its n-gram was seen."""
+        out, need, r = np.zeros(len(self.w)), np.ones(len(self.w), bool), np.arange(1, K + 1)
+        # Where nothing was discounted, one token is set aside for the words not seen.
+        scales = {n: np.maximum(g.total + g.plain, 1).astype(float) for n, g in self.grams.items()}
+        for n in sorted(self.grams, reverse=True):
+            g, d, scale = self.grams[n], ds[n], scales[n]
+            tok, ctx = (g.tok, g.ctx) if need.all() else (g.tok[need[g.tok]], g.ctx[need[g.tok]])
+            c = g.count[g.of[tok]]
+            seen, new = np.flatnonzero(c), np.flatnonzero(c == 0)
+            c, h = c[seen], ctx[seen]
+            disc = np.where((c <= K) & ~g.plain[h], d[np.minimum(c, K)], 1.0)
+            out[tok[seen]] += np.log10(np.maximum(disc * c / scale[h], 1e-300))
+            need[tok[seen]] = False
+            asks = np.flatnonzero(g.asks)
+            d_low = ds.get(n - 1, np.ones(K + 1) if uni.plain else uni.d)
+            scale_low = scales[n - 1][g.suffix[asks]] if n > 2 else float(uni.scale)
+            left = np.where(g.plain[asks], 1.0, g.seen[:, :K] @ (r * (1 - d[1:]))) / scale[asks]
+            mass = (g.below[:, :K] @ (r * d_low[1:]) + g.below[:, K]) / scale_low
+            alpha = np.where(g.total[asks] > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
+            out[tok[new]] += np.log10(alpha)[g.row[ctx[new]]]
+        need = np.flatnonzero(need)
+        out[need] += np.log10(uni.prob(self.count))[self.w[need]]
         return out
 
 
 def _sums(h: np.ndarray, c: np.ndarray, lower: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """By context: how many of its seen n-grams have counts 1 ... K and the sum of the larger; the same by ``lower``."""
-    out = []
+    if not c.all():
+        some = np.flatnonzero(c)
+        h, c, lower = h[some], c[some], lower[some]
+    out, at = [], h * (K + 1) - 1
     for x in (c, lower):
-        grid = np.zeros((n, K + 1), np.int64)
-        few = (c > 0) & (x <= K)
-        grid[:, :K] = np.bincount(h[few] * K + x[few] - 1, minlength=n * K).reshape(n, K)
-        many = (c > 0) & (x > K)
+        grid = np.bincount(at + np.minimum(x, K + 1), minlength=n * (K + 1)).reshape(n, K + 1)
+        many = np.flatnonzero(x > K)
         grid[:, K] = np.bincount(h[many], weights=x[many], minlength=n)
         out.append(grid)
     return out[0], out[1]
@@ -318,8 +359,8 @@ def _number(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of several columns, and each row's number among them."""
     idx = np.zeros(len(columns[0]), np.int64)
     for c in columns:
-        u, inv = np.unique(c, return_inverse=True)
-        _, idx = np.unique(idx * max(1, len(u)) + inv, return_inverse=True)
+        u, inv = distinct(c)
+        _, idx = distinct(idx * max(1, len(u)) + inv)
     some = np.zeros(int(idx.max()) + 1 if len(idx) else 0, np.int64)
     some[idx] = np.arange(len(idx))
     return [c[some] for c in columns], idx
@@ -386,7 +427,7 @@ def _count_words(p: int):
                 own = part
         if not xs:
             return
-        uniq, which = np.unique(np.concatenate(xs), return_inverse=True)
+        uniq, which = distinct(np.concatenate(xs))
         c = np.bincount(which, weights=np.concatenate(cs).astype(float), minlength=len(uniq)).astype(np.int64)
         rank = np.empty(len(uniq), np.int64)
         rank[np.argsort(-c, kind="stable")] = np.arange(len(uniq))
@@ -405,7 +446,7 @@ def _count_grams(n: int, last: bool):
     """Counts of order ``n`` in one partition. A negative chunk brings the numbers of the n-grams that weren't sent."""
 
     def run(batches):
-        chunk_of, ctx, runs, hots, more, ws, W, C, L, own = [], [], [], [], [], [], [], [], [], 0
+        chunk_of, ctx, runs, hots, asking, more, ws, W, C, L, own = [], [], [], [], [], [], [], [], [], [], 0
         few = np.zeros(K + 1, np.int64)
         for batch in batches:
             for chunk, part, blob in zip(*[c.to_pylist() for c in batch.columns]):
@@ -415,28 +456,39 @@ def _count_grams(n: int, last: bool):
                     continue
                 chunk_of.append(chunk)
                 ctx.append(got[: n - 1])
-                hot, run_, *sums, w, wi, c, low = got[n - 1 :]
-                for to, x in ((hots, hot), (more, np.stack(sums, 1).astype(np.int64)), (runs, run_.astype(np.int64)), (ws, w), (W, w[wi.astype(np.int64)]), (C, c), (L, low)):
+                hot, run_, ask, *sums, w, wi, c, low = got[n - 1 :]
+                for to, x in ((hots, hot), (asking, ask > 0), (more, np.stack(sums, 1).astype(np.int64)), (runs, run_.astype(np.int64)), (ws, w), (W, wi.astype(np.int64)), (C, c), (L, low)):
                     to.append(x)
         if chunk_of:
             contexts, number = _number([np.concatenate([c[k] for c in ctx]) for k in range(n - 1)])
             h = np.repeat(number, np.concatenate(runs))
-            words = np.unique(np.concatenate(ws))
-            keys, which = np.unique(h * len(words) + np.searchsorted(words, np.concatenate(W)), return_inverse=True)
+            words, place = distinct(np.concatenate(ws))
+            place = np.split(place, np.cumsum([len(x) for x in ws])[:-1])
+            keys, which = distinct(h * len(words) + np.concatenate([x[i] for x, i in zip(place, W)]))
             c = np.bincount(which, weights=np.concatenate(C).astype(float), minlength=len(keys)).astype(np.int64)
             shared = np.zeros(len(keys), np.int64) if last else (np.bincount(which, minlength=len(keys)) > 1).astype(np.int64)
             low = np.zeros(len(keys), np.int64)
             low[which] = np.concatenate(L).astype(np.int64)
-            seen, below = _sums(keys // max(1, len(words)), c, low, len(contexts[0]))
-            for k, x in enumerate(np.concatenate(more).T):
-                (seen if k <= K else below)[:, k % (K + 1)] += np.bincount(number, weights=x, minlength=len(seen)).astype(np.int64)
+            of, more, hots, asking = keys // max(1, len(words)), np.concatenate(more), np.concatenate(hots) > 0, np.concatenate(asking)
+            plain = np.ones(len(contexts[0]), bool)
+            plain[of[(c > 0) & (c <= K)]] = False
+            plain[number[more[:, :K].any(1)]] = False
+            asks = np.zeros(len(plain), bool)  # a hot context's partial sums are asked for by the driver
+            asks[number[asking | hots]] = True
+            row = np.cumsum(asks) - 1
+            some = np.flatnonzero(asks[of])
+            seen, below = _sums(row[of[some]], c[some], low[some], int(asks.sum()))
+            some = np.flatnonzero(asks[number])
+            for k, x in enumerate(more[some].T):
+                (seen if k <= K else below)[:, k % (K + 1)] += np.bincount(row[number[some]], weights=x, minlength=len(seen)).astype(np.int64)
             cuts, ends = np.cumsum([0, *map(len, W)]), np.cumsum([0, *map(len, runs)])
             for chunk, i, j, a, b in zip(chunk_of, cuts[:-1], cuts[1:], ends[:-1], ends[1:]):
                 s = number[a:b]
-                yield _packed(chunk, [(own, c[which[i:j]], shared[which[i:j]], *seen[s].T, *below[s].T)])
+                told = row[s[asking[a:b]]]
+                yield _packed(chunk, [(own, c[which[i:j]], shared[which[i:j]], plain[s], *seen[told].T, *below[told].T)])
             few += np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
-            s = np.unique(number[np.concatenate(hots) > 0])
-            yield _packed(-1, [(own, few, *[x[s] for x in contexts], *seen[s].T, *below[s].T)])
+            s = np.unique(number[hots])
+            yield _packed(-1, [(own, few, *[x[s] for x in contexts], *seen[row[s]].T, *below[row[s]].T)])
         elif few.any():
             yield _packed(-1, [(own, few)])
 
@@ -505,7 +557,7 @@ def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK) -> Data
                 if uni:
                     made.take_grams(order, _read_blobs(urls[order], chunk), hot[order])
                 c, doc, n = made.count[made.w], made.doc, made.texts
-                base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+                base = np.log10((made.count + 0.1) / (total + 0.1 * (distinct + 1)))[made.w]
                 logp = made.log_probs(uni, ds) if uni else np.zeros(len(c))
                 yield pa.RecordBatch.from_arrays(
                     [
