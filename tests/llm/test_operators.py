@@ -2,6 +2,7 @@
 clashing column names."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -486,3 +487,26 @@ def test_katz_numbers_of_distinct_keys():
     for keys in (np.zeros(0, np.int64), np.array([7]), rng.integers(0, 50, 999), rng.integers(0, 1 << 62, 99), rng.integers(0, 1 << 63, 99).astype(np.uint64) * np.uint64(2), np.array([-3, 2, -3])):
         got, want = katz.distinct(keys), np.unique(keys, return_inverse=True)
         assert all(np.array_equal(a, b) for a, b in zip(got, want)) and got[0].dtype == want[0].dtype
+
+
+def test_katz_rounds_leave_no_shuffle_files(spark, monkeypatch):
+    """Whether or not the driver's garbage is collected between the rounds. Spark removes files a moment after it is told to."""
+    disk, setting = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(katz.CLEANUP, None)
+    shuffles = lambda: set(re.findall(r"shuffle_\d+", disk.getAllFiles().mkString("\n")))
+    docs = spark.createDataFrame(rows(), SCHEMA).coalesce(1)
+    seen, before = set(), shuffles()
+
+    def noted(*args):
+        out = run(*args)
+        seen.add(args[2])
+        end = time.time() + 10
+        while shuffles() - before and time.time() < end:
+            time.sleep(0.2)
+        assert not shuffles() - before
+        return out
+
+    run = katz._round
+    monkeypatch.setattr(katz, "_round", noted)
+    monkeypatch.setattr(katz, "release", lambda spark: None)
+    katz.score(docs, 3)
+    assert len(seen) == 3 and spark.conf.get(katz.CLEANUP, None) == setting

@@ -46,6 +46,9 @@ K = 5  # counts up to K are discounted
 ORDER = 3
 CHUNKS_A_PART = 4
 MESSAGE = "chunk long, part int, blob binary"
+#: Shuffle files go when the query that wrote them ends. Until the driver's garbage is collected, which may take until after the next
+#: round, they would lie beside that round's.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -54,7 +57,10 @@ def pack(*arrays: np.ndarray) -> bytes:
     out = []
     for a in arrays:
         width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-        raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(len(a), 8)[:, :width].T).tobytes()
+        planes, full = np.empty((width, len(a)), np.uint8), np.ascontiguousarray(a.astype("<u8", copy=False)).view(np.uint8)
+        for k in range(width):
+            planes[k] = full[k::8]
+        raw = planes.tobytes()
         z = _ZSTD.compress(raw, asbytes=True) if len(raw) > 40 else raw
         short = len(z) < len(raw)
         out += [struct.pack("<bii", width, len(a), len(z) if short else -1), z if short else raw]
@@ -71,9 +77,18 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         at += size
         if z >= 0:
             raw = _ZSTD.decompress(raw, decompressed_size=width * n, asbytes=True)
-        full = np.zeros((n, 8), np.uint8)
-        full[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
-        out.append(full.reshape(-1).view("<u8"))
+        planes = np.frombuffer(raw, np.uint8).reshape(width, n)
+        if width <= 3:
+            full = planes[-1].astype("<u8")
+            for k in range(width - 2, -1, -1):
+                full <<= np.uint64(8)
+                full |= planes[k]
+        else:
+            full = np.zeros((n, 8), np.uint8)
+            for k in range(width):
+                full[:, k] = planes[k]
+            full = full.reshape(-1).view("<u8")
+        out.append(full)
     return out
 
 
@@ -179,12 +194,13 @@ class _Grams:
     """The n-grams of one order in a chunk. ``tok``: tokens that have one; ``of``: the n-gram that ends at each token, or -1."""
 
     def __init__(self, tok, ctx, w, width, train, n_ctx):
-        keys, which = distinct(ctx * width + w[tok])
+        bits = max(1, width - 1).bit_length()
+        keys, which = distinct(ctx << bits | w[tok])
         self.tok, self.ctx, self.n_ctx = tok, ctx, n_ctx
         self.of = np.full(len(w), -1, np.int64)
         self.of[tok] = which
-        self.h = keys // width
-        self.w = keys - self.h * width
+        self.h = keys >> bits
+        self.w = keys & ((1 << bits) - 1)
         self.own = np.bincount(which, weights=train[tok], minlength=len(keys)).astype(np.int64)
         self.asks = np.zeros(n_ctx, bool)  # contexts of held-out tokens: theirs alone are the words not seen
         self.asks[ctx[train[tok] == 0]] = True
@@ -261,22 +277,31 @@ class Chunk:
         asked = shared & (g.total > 0)
         g.local = asked[g.h] & ~below
         g.sent = np.flatnonzero(asked[g.h] & below)
-        h = g.h[g.sent]
-        x = np.zeros(g.n_ctx, np.uint64)
+        h, asked = g.h[g.sent], np.flatnonzero(asked)
+        x, base = np.zeros(len(asked), np.uint64), np.zeros(g.n_ctx, np.int64)
         for column in g.words:
-            x = mix64(x + column + np.uint64(1))
-        base, at, k = (x % np.uint64(p)).astype(np.int64), x[h], np.flatnonzero(g.hot[h])
+            x = mix64(x + column[asked] + np.uint64(1))
+        base[asked] = x % np.uint64(p)
+        at, hot = base[h], g.hot[h]
+        k = np.flatnonzero(hot)
         spread = (-(-g.total[h[k]] * p // max(1, total)) + 1).astype(np.uint64)
-        at[k] += mix64(self.gid[g.w[g.sent[k]]] + np.uint64(1)) % spread
-        at %= np.uint64(p)
+        at[k] = (x[np.searchsorted(asked, h[k])] + mix64(self.gid[g.w[g.sent[k]]] + np.uint64(1)) % spread) % np.uint64(p)
         order = _by_part(at, p)
-        g.sent, g.part = g.sent[order], at[order].astype(np.int64)
+        g.sent, g.part, hot = g.sent[order], at[order], hot[order]
         # Which contexts are named to which partitions: each to its own, a hot one also where its n-grams go.
-        asked = np.flatnonzero(asked)
-        names, named = distinct(np.concatenate([base[asked] * g.n_ctx + asked, g.part * g.n_ctx + g.h[g.sent]]))
-        g.to, g.named = names // max(1, g.n_ctx), names % max(1, g.n_ctx)
+        asked = asked[_by_part(base[asked], p)]
+        names = base[asked] * g.n_ctx + asked
+        away, many = np.unique(g.part[hot] * g.n_ctx + g.h[g.sent[hot]], return_counts=True)
+        g.runs = np.bincount(g.h[g.sent[~hot]], minlength=g.n_ctx)[asked]
+        if len(away):
+            into = np.searchsorted(names, away)
+            fresh = np.append(names, -1)[into] != away
+            new, into = away[fresh], into[fresh]
+            names, g.runs = np.insert(names, into, new), np.insert(g.runs, into, 0)
+            g.runs[np.searchsorted(names, away)] += many
+        g.to = names // max(1, g.n_ctx)
+        g.named = names - g.to * g.n_ctx
         g.home = base[g.named] == g.to
-        g.runs = np.bincount(named[len(asked) :], minlength=len(names))
         self.grams[n] = g
         return g
 
@@ -397,7 +422,13 @@ def _round(sent: DataFrame, count, url: str, p: int) -> list[list[np.ndarray]]:
 
     fs, root = pafs.FileSystem.from_uri(url)
     fs.create_dir(root)
-    return [unpack(r.blob) for r in ordered.mapInArrow(run, "blob binary").collect()]  # one row a counting task
+    conf = sent.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return [unpack(r.blob) for r in ordered.mapInArrow(run, "blob binary").collect()]  # one row a counting task
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
 def _read_blobs(url: str, chunk: int) -> list[list[np.ndarray]]:
@@ -533,7 +564,9 @@ def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK) -> Data
             for batch in batches:
                 for chunk, _, *blobs in zip(*[c.to_pylist() for c in batch.columns]):
                     rows, rest = loaded(chunk, blobs, n, hot).gram_rows(n)
-                    yield _packed(chunk, rows)
+                    out = _packed(chunk, rows)
+                    del rows  # before the next chunk is loaded
+                    yield out
                     yield _packed(-1, [(chunk % p, rest)])
 
         return send
@@ -571,6 +604,7 @@ def score(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK) -> Data
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del made, c, doc, base, logp  # before the next chunk is loaded
 
     return chunks.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
