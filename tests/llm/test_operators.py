@@ -492,21 +492,18 @@ def test_katz_numbers_of_distinct_keys():
 def test_katz_rounds_leave_no_shuffle_files(spark, monkeypatch):
     """Whether or not the driver's garbage is collected between the rounds. Spark removes files a moment after it is told to."""
     disk, setting = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(katz.CLEANUP, None)
-    shuffles = lambda: set(re.findall(r"shuffle_\d+", disk.getAllFiles().mkString("\n")))
-    docs = spark.createDataFrame(rows(), SCHEMA).coalesce(1)
-    seen, before = set(), shuffles()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+[.\w]*", disk.getAllFiles().mkString("\n")))
+    run, left = katz._round, []
 
     def noted(*args):
+        before, end = files(), time.time() + 30  # counts of rows have left theirs
         out = run(*args)
-        seen.add(args[2])
-        end = time.time() + 10
-        while shuffles() - before and time.time() < end:
+        while files() - before and time.time() < end:
             time.sleep(0.2)
-        assert not shuffles() - before
+        left.append(files() - before)
         return out
 
-    run = katz._round
     monkeypatch.setattr(katz, "_round", noted)
     monkeypatch.setattr(katz, "release", lambda spark: None)
-    katz.score(docs, 3)
-    assert len(seen) == 3 and spark.conf.get(katz.CLEANUP, None) == setting
+    katz.score(spark.createDataFrame(rows(), SCHEMA).coalesce(1), 3)
+    assert left == [set(), set(), set()] and spark.conf.get(katz.CLEANUP, None) == setting
