@@ -39,9 +39,10 @@ def align(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     overlap, the earlier start among equals. doc_id, cui, begin, end, value, p_begin, p_end, p_value (null: unaligned).
 
     ``gold`` and ``predicted``: doc_id, begin, end, cui, value, order. The fold runs inside one (document, concept) row."""
-    g = gold.groupBy("doc_id", "cui").agg(F.array_sort(F.collect_list(F.struct("order", "begin", "end", "value"))).alias("gs"))
-    p = predicted.groupBy("doc_id", "cui").agg(F.array_sort(F.collect_list(F.struct("order", "begin", "end", "value"))).alias("ps"))
-    j = g.join(p, ["doc_id", "cui"], "left").withColumn("ps", F.coalesce("ps", F.slice("gs", 1, 0)))
+    # Both sides are gathered in one shuffle.
+    side = lambda df, g: df.select("doc_id", "cui", F.struct("order", "begin", "end", "value").alias("x"), F.lit(g).alias("g"))
+    of = lambda g: F.array_sort(F.collect_list(F.when(F.col("g") == g, F.col("x"))))
+    j = side(gold, True).unionByName(side(predicted, False)).groupBy("doc_id", "cui").agg(of(True).alias("gs"), of(False).alias("ps")).where(F.size("gs") > 0)
 
     def step(acc: Column, x: Column) -> Column:
         cand = F.filter(
