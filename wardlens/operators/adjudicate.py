@@ -25,7 +25,8 @@ def sample(cases: DataFrame, seed: int = 0, quotas: dict[str, int | None] | None
     A stratum with a quota is cut by a rank after the best of each partition have been kept, so that a large one isn't sorted whole."""
     quotas = QUOTAS if quotas is None else quotas
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("case_id")).cast("binary"))
-    parts = [cases.where((F.col("stratum") == s) & F.lit(q is None)) if q is None else cases.where(F.col("stratum") == s).orderBy(key, "case_id").limit(q) for s, q in quotas.items()]
+    whole = [s for s, q in quotas.items() if q is None]  # one pass for all of them
+    parts = [cases.where(F.col("stratum").isin(*whole))] + [cases.where(F.col("stratum") == s).orderBy(key, "case_id").limit(q) for s, q in quotas.items() if q is not None]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
